@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, neighbours, packing, search, secrets, tokens, toxicity, urls
+from . import html, mixing, near, neighbours, packing, search, secrets, tokens, toxicity, urls
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -50,7 +54,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_nearest_neighbours, op3_packing, op4_toxicity, op5_html, op6_token_counts, op7_mixing, op8_url_filters, op9_secrets, op10_exact_topk]
+    every = [op1_nearest_neighbours, op2_ngram_jaccard, op3_packing, op4_toxicity, op5_html, op6_token_counts, op7_mixing, op8_url_filters, op9_secrets, op10_exact_topk]
     return {f.__name__: f for f in every}
 
 

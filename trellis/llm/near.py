@@ -281,3 +281,18 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         out = whole.select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
     result = described.select("doc_id", F.col("size").alias("n_shingles")).join(out.select("doc_id", "component_id"), "doc_id", "left")
     return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs, with all its columns, less those that ngram_jaccard() links with a
+    row of a smaller doc_id. Of repeated rows of one doc_id, the one of the least hash of its
+    text stays; rows with a null doc_id stay."""
+    classes = ngram_jaccard(docs, n, percent)
+    gone = classes.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_again")).agg(F.count("*").alias("c")).where("c > 1").select("_again")
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    if again.isEmpty():
+        return kept
+    rows = kept.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    one = F.row_number().over(Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text")))
+    return rows.withColumn("r", F.when(F.col("row.doc_id").isNull(), 1).otherwise(one)).where("r = 1").select("row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -38,29 +39,36 @@ class Words:
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.bounds, self.rows = np.empty((1 << 18, 2), np.int64), 0
 
-    def _add(self, lists: list) -> None:
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         ends = self.used + np.cumsum(sizes)
-        while len(lists) and ends[-1] > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        while self.rows + len(lists) > len(self.bounds):
+        while self.rows + len(words) > len(self.bounds):
             self.bounds = np.concatenate((self.bounds, np.empty_like(self.bounds)))
-        if len(lists):
-            self.flat[self.used : ends[-1]] = np.concatenate([np.asarray(x, np.uint32) for x in lists])
-            self.bounds[self.rows : self.rows + len(lists)] = np.stack((ends - sizes, ends), 1)
-            self.used, self.rows = int(ends[-1]), self.rows + len(lists)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.bounds[self.rows : self.rows + len(words)] = np.stack((ends - sizes, ends), 1)
+        self.known.update(zip(words, range(self.rows, self.rows + len(words))))
+        self.used, self.rows = self.used + len(flat), self.rows + len(words)
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these rows one after the other, and how many each has."""
+        begin, size = self.bounds[rows, 0], self.bounds[rows, 1] - self.bounds[rows, 0]
+        return self.flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
     def _learn(self, words: list[str]) -> None:
-        known = self.known
-        split = [m.groups() if (m := self.PLAIN.fullmatch(w)) else (w,) for w in words]
-        parts = [p for p in dict.fromkeys(p for x in split for p in x) if p not in known]
-        first = self.rows
-        self._add([e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
-        known.update(zip(parts, range(first, self.rows)))
-        whole = [(w, x) for w, x in zip(words, split) if len(x) > 1]
-        first, at = self.rows, lambda p: self.flat[slice(*self.bounds[known[p]])]
-        self._add([np.concatenate((at(a), at(b))) for _, (a, b) in whole])
-        known.update(zip((w for w, _ in whole), range(first, self.rows)))
+        split = list(map(self.PLAIN.fullmatch, words))
+        whole = [(w, *m.groups()) for w, m in zip(words, split) if m]
+        parts = dict.fromkeys(w for w, m in zip(words, split) if not m)
+        parts.update(dict.fromkeys(p for x in whole for p in x[1:]))
+        parts = [p for p in parts if p not in self.known]
+        letters = [p for p in parts if p.isascii() and p.isalpha()]  # one word to the model, whose bytes stand for themselves
+        others = [p for p in parts if not (p.isascii() and p.isalpha())]
+        parts, cut = letters + others, self.tokenizer.model.tokenize
+        lists = [[x.id for x in cut(p)] for p in letters] + [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        self._add(parts, np.fromiter(itertools.chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+        if whole:
+            flat, size = self._gather(np.array([self.known[p] for x in whole for p in x[1:]]))
+            self._add([x[0] for x in whole], flat, size.reshape(-1, 2).sum(axis=1))
 
     def ids(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """The ids of each text, then `end`."""
@@ -76,10 +84,8 @@ class Words:
         if new := [w for w in words if get(w) is None]:
             self._learn(new)
         rows = np.fromiter(map(get, words), np.int64, len(words))[coded.indices.to_numpy()]
-        begin, size = self.bounds[rows, 0], self.bounds[rows, 1] - self.bounds[rows, 0]
-        before = np.cumsum(size) - size
-        flat = self.flat[np.repeat(begin - before, size) + np.arange(size.sum())]
-        cuts = np.append(before, len(flat))[lists.offsets.to_numpy()]
+        flat, size = self._gather(rows)
+        cuts = np.concatenate(([0], np.cumsum(size)))[lists.offsets.to_numpy()]
         last, out = np.array([end], np.uint32), []
         for i in range(len(texts)):
             own = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids if odd[i] else flat[cuts[i] : cuts[i + 1]]

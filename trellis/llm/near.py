@@ -18,6 +18,8 @@ GROUPS = 64
 TREE, NODE = 1024, 16
 #: A sixteenth of the documents is looked at for frequent n-grams, which are ordered last.
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 6, 200_000
+#: Anchors that are sorted together.
+BUCKET = 1_000_000
 #: Document ids that may be broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -68,16 +70,17 @@ def signature(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).astype(np.int64))
 
 
-def anchors(grams: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+def anchors(grams: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The first n-grams of a set of s in a fixed order (frequent ones last, then by hash),
-    one more than the most that a partner may lack. Two sets that link have one in common."""
+    one more than the most that a partner may lack, and how many of them aren't frequent. Two
+    sets that link have one in common."""
     size = len(grams)
-    most = size - -(-percent * size // 100) + 1 if size else 0
+    most = size - -(-percent * size // 100) + 1
+    often = np.zeros(size, bool)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        often = frequent[at] == grams
+        often = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
         grams = np.concatenate((grams[~often], grams[often]))
-    return grams[:most]
+    return grams[:most], min(most, size - int(often.sum()))
 
 
 def counts(grams: np.ndarray) -> np.ndarray:
@@ -158,6 +161,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose count vectors leave a link possible."""
+    left, right = points.toDF("a", "x"), points.toDF("b", "y")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int32).reshape(-1, GROUPS) for c in ("x", "y"))
+            yield t.select(["a", "b"]).filter(pa.array(links(np.minimum(x, y).sum(axis=1), x.sum(axis=1), y.sum(axis=1), percent)))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
 def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of a group that an R-tree leaves, of different labels.
 
@@ -195,20 +210,66 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     return m.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(search, "a long, b long").distinct()
 
 
+def _grouped(described: DataFrame) -> DataFrame:
+    """Distinct (key, sig): anchors that several sets share.
+
+    Anchors travel packed: each task deals its anchors by their upper bits into buckets of
+    about BUCKET anchors, in one row of bytes for each bucket. Anchors known to be frequent
+    aren't in there; they go as rows, summed by Spark before they are dealt."""
+    total = described.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    buckets = max(1, total // (6 * BUCKET))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.divide(pc.binary_length(b.column(1)), 6).to_numpy()
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 6)
+            low, high = np.ascontiguousarray(raw[:, :4]).view(np.uint32).ravel(), np.ascontiguousarray(raw[:, 4:]).view(np.uint16).ravel()
+            bucket = (high.astype(np.int64) * buckets) >> 16
+            owner = np.repeat(np.arange(b.num_rows, dtype=np.uint32), sizes)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            sig, rows = b.column(0).to_numpy(), []
+            for k in np.flatnonzero(np.diff(cuts)):
+                at = order[cuts[k] : cuts[k + 1]]
+                own, place = np.unique(owner[at], return_inverse=True)
+                rows.append((int(k), low[at].tobytes(), place.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes(), sig[own].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["bucket", "low", "place", "sigs"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        low = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("low").to_pylist()])
+        sig = np.concatenate([np.frombuffer(s, np.int64)[np.frombuffer(x, np.uint16 if len(s) < 8 * 65536 else np.uint32)] for x, s in zip(t.column("place").to_pylist(), t.column("sigs").to_pylist())])
+        order = np.lexsort((sig, low))
+        low, sig = low[order], sig[order]
+        new = np.concatenate(([True], (low[1:] != low[:-1]) | (sig[1:] != sig[:-1])))
+        low, sig = low[new], sig[new]  # distinct
+        first = np.concatenate(([True], low[1:] != low[:-1]))
+        many = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] > 1
+        return pa.table({"key": (int(t.column("bucket")[0].as_py()) << 32) + low[many].astype(np.int64), "sig": sig[many]})
+
+    packed = described.where("octet_length(keys) > 0").select("sig", "keys").mapInArrow(deal, "bucket long, low binary, place binary, sigs binary")
+    cold = packed.groupBy("bucket").applyInArrow(meet, "key long, sig long")
+    hot = described.where("size(often) > 0").select(F.explode("often").alias("key"), "sig").distinct()
+    shared = hot.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+    hot = hot.join(shared, hot["key"] == shared["k"]).select((-F.abs("key") - 1).alias("key"), "sig")
+    return cold.union(hot)
+
+
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """Classes of documents under links of `percent` % Jaccard similarity of n-gram sets.
 
-    1. Each text gives its set's size, signature and anchors (see anchors()); equal sets have
-       one signature and are one node from here on.
+    1. Each text gives its set's size, signature, count vector and anchors (see anchors()).
+       Equal sets have one signature and are one node from here on.
     2. Anchors that nodes of different sets share make groups; of groups with the same
        members one is kept. Groups are the shards of the R-trees.
-    3. Each node is first verified against one member of each of a few of its groups. What
-       these links connect needs no further link between its own nodes.
-    4. In groups that are still apart, R-trees over count vectors give the pairs whose bound
-       suffices; the sets verify them. All pairs that link and aren't connected yet pass, so
-       classes are exact.
+    3. Each node's vector is held against that of one member of its groups; where the bound
+       suffices for a link the sets verify it. What such links connect needs no further link
+       between its own nodes.
+    4. In groups that are still apart, R-trees over count vectors give all pairs of nodes
+       whose bound suffices, and the sets verify them. So classes are exact.
 
-    Nothing is capped: large groups are cut into blocks that meet pairwise.
+    Nothing is capped: large groups are cut into blocks that meet pairwise. Sets are made
+    again from the texts for the nodes of such pairs only.
 
     docs: doc_id, text; other columns are ignored. Null texts and texts without words have
     n_shingles 0 and are linked with nothing; rows with one doc_id are one document whose
@@ -233,49 +294,55 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         for whole in batches:
             for b in (whole.slice(k, 2048) for k in range(0, whole.num_rows, 2048)):
                 sets = ngram_sets(b.column(1), n)
-                keys = [anchors(x, frequent.value, percent).view(np.int64) for x in sets]
-                offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.int64()), made], names=["doc_id", "size", "sig", "keys"])
-
-    described = written(texts.mapInArrow(describe, "doc_id long, size long, sig long, keys array<long>"))
-    entries = described.where("size > 1 and doc_id is not null").select(F.explode("keys").alias("key"), "sig", "size")
-    shared = entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
-    entries = written(entries.join(shared, "key").groupBy("key", "sig").agg(F.first("size").alias("size")))
-    groups = entries.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("sum"), F.min_by("sig", F.xxhash64("sig", "key")).alias("pivot"))
+                cold, hot = [], []
+                for x in sets:
+                    keys, plain = anchors(x, frequent.value, percent) if len(x) > 1 else (x[:0], 0)  # a set of one only equals others
+                    cold.append((keys[:plain] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                    hot.append(keys[plain:].view(np.int64))
+                points = [counts(x).astype("<u4").tobytes() for x in sets]
+                columns = [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.int64()), pa.array(points, pa.binary()), pa.array(cold, pa.binary()), pa.array(hot, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "sig", "points", "keys", "often"])
+
+    described = written(texts.mapInArrow(describe, "doc_id long, size long, sig long, points binary, keys binary, often array<long>"))
+    named = described.where("size > 1 and doc_id is not null")
+    entries = written(_grouped(named))
+    groups = entries.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("sum"), F.min_by("sig", F.xxhash64("sig")).alias("pivot"))
     groups = written(groups.groupBy("members", "sum").agg(F.min(F.struct("key", "pivot")).alias("g")).select("g.key", "g.pivot", "members"))
-    entries = written(entries.join(groups, "key").select("key", "sig", F.col("size").alias("n"), "pivot", F.col("members").alias("size")))
+    entries = written(entries.join(groups, "key").select("key", "sig", "pivot", F.col("members").alias("size")))
+
+    def least_of(sigs: DataFrame) -> DataFrame:
+        """sig, points and one doc_id of these nodes."""
+        return named.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("doc_id", "points")).alias("x")).select("sig", "x.doc_id", "x.points")
 
-    nodes = entries.select("sig").distinct()
-    chosen = written(described.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size")))
-    few = chosen.count() <= BROADCAST_IDS
-    wanted = texts.join(F.broadcast(chosen) if few else chosen, "doc_id").select("sig", "text")
+    nodes = written(least_of(entries.select("sig").distinct()))
+    points = nodes.select("sig", "points")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = ngram_sets(b.column(1), n)
             keep = np.array([signature(x) == s for x, s in zip(sets, b.column(0).to_pylist())], bool)  # a doc_id may repeat
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([counts(x).tobytes() for x in sets]), pa.array([x.tobytes() for x in sets])], names=["sig", "points", "grams"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sig", "grams"]).filter(pa.array(keep))
 
-    sets = written(wanted.mapInArrow(expand, "sig long, points binary, grams binary").dropDuplicates(["sig"]))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The written pairs whose sets link."""
+        ids = written(nodes.select("sig", "doc_id").join(pairs.select("a").union(pairs.select("b")).distinct().toDF("sig"), "sig", "left_semi"))
+        wanted = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id").select("sig", "text")
+        return written(_verified(pairs, written(wanted.mapInArrow(expand, "sig long, grams binary")), percent))
 
-    few_pivots = entries.where("sig <> pivot").groupBy("sig", "pivot").agg(F.min("size").alias("size"))
-    few_pivots = few_pivots.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("size"), F.xxhash64("pivot")))).where("r <= 4")
-    pairs = few_pivots.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
-    first = written(_verified(pairs, sets, percent))
+    stars = entries.where("sig <> pivot").groupBy("sig", "pivot").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
+    first = verified(written(_bounded(stars.select(F.col("pivot").alias("a"), F.col("sig").alias("b")), points, percent)))
     label = connected(first)
     labelled = entries.join(label, entries["sig"] == label["node"], "left").select("key", "sig", "size", F.coalesce("label", "sig").alias("label"))
     apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    members = written(labelled.join(apart, "key").join(sets.select("sig", "points"), "sig").select("key", "size", "sig", "label", "points"))
-    more = written(_verified(_tree_pairs(members, percent), sets, percent))
+    members = written(labelled.join(apart, "key").join(points, "sig").select("key", "size", "sig", "label", "points"))
+    more = verified(written(_tree_pairs(members, percent)))
     label = connected(first.union(more))
 
     # rows of one doc_id are one document, whatever their sets
     own = described.where("size > 0 and doc_id is not null").select("doc_id", "sig", "size")
     rows = own.join(label, own["sig"] == label["node"], "left").select("doc_id", F.coalesce("label", "sig").alias("label"))
     least = rows.groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "label").groupBy("doc_id").agg(F.min("least").alias("component_id"), F.count_distinct("label").alias("several"))
-    out = written(out)
+    out = written(rows.join(least, "label").groupBy("doc_id").agg(F.min("least").alias("component_id"), F.count_distinct("label").alias("several")))
     if not out.where("several > 1").isEmpty():
         whole = connected(rows.join(least, "label").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
         out = whole.select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))

@@ -1,0 +1 @@
+"""A graph analytics engine on Spark: graph queries become one lazy DataFrame."""

@@ -84,7 +84,23 @@ def anchors(grams: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.n
 
 
 def counts(grams: np.ndarray) -> np.ndarray:
-    return np.bincount((grams & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """The count vector of a set: of GROUPS dimensions, or so many times two that about four
+    n-grams fall into each. A finer vector folds to a coarser one."""
+    size = GROUPS
+    while size * 4 < len(grams):
+        size *= 2
+    return np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size).astype("<u2")
+
+
+def folded(points: np.ndarray, size: int) -> np.ndarray:
+    """Count vectors (rows) by `size` dimensions."""
+    return points.reshape(len(points), -1, size).sum(axis=1, dtype=np.int64)
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most that the sets of each count vector of x (rows) may share with that of y."""
+    size = min(x.shape[1], len(y))
+    return np.minimum(folded(x, size), folded(y[None], size)).sum(axis=1)
 
 
 def links(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int):
@@ -161,14 +177,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose count vectors leave a link possible."""
-    left, right = points.toDF("a", "x"), points.toDF("b", "y")
+def _bounded(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose finer count vectors leave a link possible."""
+    left, right = fine.toDF("a", "x"), fine.toDF("b", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int32).reshape(-1, GROUPS) for c in ("x", "y"))
-            yield t.select(["a", "b"]).filter(pa.array(links(np.minimum(x, y).sum(axis=1), x.sum(axis=1), y.sum(axis=1), percent)))
+            fine = []
+            for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist()):
+                x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+                fine.append(bool(links(overlap(x[None], y)[0], x.sum(), y.sum(), percent)))
+            yield t.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
@@ -186,7 +205,7 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     def search(t: pa.Table) -> pa.Table:
         keys = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
         sig, label = t.column("sig").to_numpy(), t.column("label").to_numpy()
-        points = np.frombuffer(b"".join(t.column("points").to_pylist()), np.int32).reshape(-1, GROUPS)
+        points = np.frombuffer(b"".join(t.column("points").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
         order = np.lexsort(keys[::-1])
         edge = np.flatnonzero((np.diff(keys[:, order], axis=1) != 0).any(axis=0)) + 1
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -299,11 +318,12 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
                     keys, plain = anchors(x, frequent.value, percent) if len(x) > 1 else (x[:0], 0)  # a set of one only equals others
                     cold.append((keys[:plain] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                     hot.append(keys[plain:].view(np.int64))
-                points = [counts(x).astype("<u4").tobytes() for x in sets]
-                columns = [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.int64()), pa.array(points, pa.binary()), pa.array(cold, pa.binary()), pa.array(hot, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "sig", "points", "keys", "often"])
+                fine = [counts(x) for x in sets]
+                points = [folded(x[None], GROUPS).astype("<u4").tobytes() for x in fine]
+                columns = [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.int64()), pa.array(points, pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary()), pa.array(cold, pa.binary()), pa.array(hot, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "sig", "points", "fine", "keys", "often"])
 
-    described = written(texts.mapInArrow(describe, "doc_id long, size long, sig long, points binary, keys binary, often array<long>"))
+    described = written(texts.mapInArrow(describe, "doc_id long, size long, sig long, points binary, fine binary, keys binary, often array<long>"))
     named = described.where("size > 1 and doc_id is not null")
     entries = written(_grouped(named))
     groups = entries.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("sum"), F.min_by("sig", F.xxhash64("sig")).alias("pivot"))
@@ -311,11 +331,12 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     entries = written(entries.join(groups, "key").select("key", "sig", "pivot", F.col("members").alias("size")))
 
     def least_of(sigs: DataFrame) -> DataFrame:
-        """sig, points and one doc_id of these nodes."""
-        return named.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("doc_id", "points")).alias("x")).select("sig", "x.doc_id", "x.points")
+        """One doc_id of each of these nodes, and its vectors."""
+        first = named.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+        return named.select("doc_id", "sig", "points", "fine").join(first, ["doc_id", "sig"])
 
     nodes = written(least_of(entries.select("sig").distinct()))
-    points = nodes.select("sig", "points")
+    fine = nodes.select("sig", "fine")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,12 +351,12 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         return written(_verified(pairs, written(wanted.mapInArrow(expand, "sig long, grams binary")), percent))
 
     stars = entries.where("sig <> pivot").groupBy("sig", "pivot").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
-    first = verified(written(_bounded(stars.select(F.col("pivot").alias("a"), F.col("sig").alias("b")), points, percent)))
+    first = verified(written(_bounded(stars.select(F.col("pivot").alias("a"), F.col("sig").alias("b")), fine, percent)))
     label = connected(first)
     labelled = entries.join(label, entries["sig"] == label["node"], "left").select("key", "sig", "size", F.coalesce("label", "sig").alias("label"))
     apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    members = written(labelled.join(apart, "key").join(points, "sig").select("key", "size", "sig", "label", "points"))
-    more = verified(written(_tree_pairs(members, percent)))
+    members = written(labelled.join(apart, "key").join(nodes.select("sig", "points"), "sig").select("key", "size", "sig", "label", "points"))
+    more = verified(written(_bounded(_tree_pairs(members, percent), fine, percent)))
     label = connected(first.union(more))
 
     # rows of one doc_id are one document, whatever their sets

@@ -30,7 +30,7 @@ class Expressions:
 
     def type(self, v: Value) -> str:
         """Simple name of a column's Spark type, or '' where it can't be told."""
-        if self.frame.df is None:
+        if self.frame.df is None or self.local:
             return ""
         try:
             return self.frame.df.select(v.col).schema[0].dataType.simpleString()
@@ -382,6 +382,9 @@ class Expressions:
 
     # -- paths
 
+    def f_rel(self, a, kind, b) -> Value:
+        return Value(F.struct(self.col(a).cast("string").alias("start"), self.col(kind).alias("type"), self.col(b).cast("string").alias("end")), Info("rel"))
+
     def f_nodes(self, a) -> Value:
         return Value(self.value(a).col["nodes"], Info("list"))
 

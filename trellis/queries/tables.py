@@ -42,7 +42,7 @@ def graph(spark: SparkSession, sf_dir: str, tables: list[str] | None = None) ->
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flakes of a reply graph: turn n of a conversation leads to turn n + 1; every third
     turn also back to the first, so that there are cycles."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id < 40")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     node = lambda conv, turn: F.concat(F.lit(D + "turn/"), conv.cast("string"), F.lit("-"), turn.cast("string"))
     here = node(F.col("conv_id"), F.col("turn"))
     rows = F.array(

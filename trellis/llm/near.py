@@ -20,6 +20,8 @@ TREE, NODE = 1024, 16
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 6, 200_000
 #: Anchors that are sorted together.
 BUCKET = 1_000_000
+#: Members of a group that others are tried with before its tree.
+PIVOTS = 8
 #: Document ids that may be broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -83,13 +85,20 @@ def anchors(grams: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.n
     return grams[:most], min(most, size - int(often.sum()))
 
 
-def counts(grams: np.ndarray) -> np.ndarray:
-    """The count vector of a set: of GROUPS dimensions, or so many times two that about four
-    n-grams fall into each. A finer vector folds to a coarser one."""
+def counts(grams: np.ndarray) -> bytes:
+    """The count vector of a set: of GROUPS dimensions, or so many times two that at most
+    eight n-grams fall into each on average. A finer vector folds to a coarser one. Bytes,
+    the first of which is the size of a count."""
     size = GROUPS
-    while size * 4 < len(grams):
+    while size * 8 < len(grams):
         size *= 2
-    return np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size).astype("<u2")
+    v = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    wide = 1 if v.max(initial=0) < 256 else 4
+    return bytes([wide]) + v.astype(f"<u{wide}").tobytes()
+
+
+def vector(points: bytes) -> np.ndarray:
+    return np.frombuffer(points, f"<u{points[0]}", offset=1).astype(np.int64)
 
 
 def folded(points: np.ndarray, size: int) -> np.ndarray:
@@ -112,10 +121,17 @@ class RTree:
     """An R-tree over count vectors, packed by size: each node bounds the counts of its
     entries from above and their sizes from both sides. What two sets have in common is at
     most the sum of the lesser counts, so a node is entered only if that sum with its upper
-    bounds would suffice for a link with its smallest entry."""
+    bounds would suffice for a link with its smallest entry. The tree has the vectors by
+    GROUPS dimensions; entries that it leaves are held against each other's finer vectors."""
 
-    def __init__(self, points: np.ndarray, percent: int):
+    def __init__(self, vectors: list[np.ndarray], percent: int):
+        points = np.concatenate([folded(v[None], GROUPS) for v in vectors])
         self.points, self.size, self.percent = points, points.sum(axis=1), percent
+        self.width = np.array([len(v) for v in vectors])
+        self.fine, self.row = {}, np.empty(len(vectors), int)
+        for w in np.unique(self.width):
+            at = np.flatnonzero(self.width == w)
+            self.fine[w], self.row[at] = np.stack([vectors[i] for i in at]), np.arange(len(at))
         # by size, then within runs of sizes by where the mass lies
         run = np.argsort(np.argsort(self.size, kind="stable")) // (NODE * NODE)
         self.order = np.lexsort(((points * np.arange(points.shape[1])).sum(axis=1) / np.maximum(1, self.size), run))
@@ -138,7 +154,12 @@ class RTree:
             nodes = nodes[nodes < (len(self.levels[depth - 1][0]) if depth else len(self.order))]
         at = self.order[nodes]
         at = at[at > i]
-        return at[links(np.minimum(self.points[at], point).sum(axis=1), size, self.size[at], self.percent)]
+        at = at[links(np.minimum(self.points[at], point).sum(axis=1), size, self.size[at], self.percent)]
+        own, out = self.fine[self.width[i]][self.row[i]], [at[:0]]
+        for w in np.unique(self.width[at]):
+            near = at[self.width[at] == w]
+            out.append(near[links(overlap(self.fine[w][self.row[near]], own), size, self.size[near], self.percent)])
+        return np.concatenate(out)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -177,15 +198,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _bounded(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose finer count vectors leave a link possible."""
-    left, right = fine.toDF("a", "x"), fine.toDF("b", "y")
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose count vectors leave a link possible."""
+    left, right = points.toDF("a", "x"), points.toDF("b", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             fine = []
             for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist()):
-                x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+                x, y = vector(x), vector(y)
                 fine.append(bool(links(overlap(x[None], y)[0], x.sum(), y.sum(), percent)))
             yield t.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
@@ -205,17 +226,17 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     def search(t: pa.Table) -> pa.Table:
         keys = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
         sig, label = t.column("sig").to_numpy(), t.column("label").to_numpy()
-        points = np.frombuffer(b"".join(t.column("points").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+        points = [vector(x) for x in t.column("points").to_pylist()]
         order = np.lexsort(keys[::-1])
         edge = np.flatnonzero((np.diff(keys[:, order], axis=1) != 0).any(axis=0)) + 1
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for rows in np.split(order, edge):
             if len(rows) == 2:
-                p = points[rows]
-                if label[rows[0]] != label[rows[1]] and links(np.minimum(*p).sum(), *p.sum(axis=1), percent):
+                x, y = points[rows[0]], points[rows[1]]
+                if label[rows[0]] != label[rows[1]] and links(overlap(x[None], y)[0], x.sum(), y.sum(), percent):
                     found.append((rows[:1], rows[1:]))
                 continue
-            tree = RTree(points[rows], percent)
+            tree = RTree([points[r] for r in rows], percent)
             for i in range(len(rows)):
                 at = rows[tree.partners(i)]
                 at = at[label[at] != label[rows[i]]]
@@ -318,25 +339,25 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
                     keys, plain = anchors(x, frequent.value, percent) if len(x) > 1 else (x[:0], 0)  # a set of one only equals others
                     cold.append((keys[:plain] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                     hot.append(keys[plain:].view(np.int64))
-                fine = [counts(x) for x in sets]
-                points = [folded(x[None], GROUPS).astype("<u4").tobytes() for x in fine]
-                columns = [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.int64()), pa.array(points, pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary()), pa.array(cold, pa.binary()), pa.array(hot, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "sig", "points", "fine", "keys", "often"])
+                points = [counts(x) for x in sets]
+                columns = [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.int64()), pa.array(points, pa.binary()), pa.array(cold, pa.binary()), pa.array(hot, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "sig", "points", "keys", "often"])
 
-    described = written(texts.mapInArrow(describe, "doc_id long, size long, sig long, points binary, fine binary, keys binary, often array<long>"))
+    described = written(texts.mapInArrow(describe, "doc_id long, size long, sig long, points binary, keys binary, often array<long>"))
     named = described.where("size > 1 and doc_id is not null")
     entries = written(_grouped(named))
-    groups = entries.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("sum"), F.min_by("sig", F.xxhash64("sig")).alias("pivot"))
-    groups = written(groups.groupBy("members", "sum").agg(F.min(F.struct("key", "pivot")).alias("g")).select("g.key", "g.pivot", "members"))
-    entries = written(entries.join(groups, "key").select("key", "sig", "pivot", F.col("members").alias("size")))
+    pivots = F.array(*[F.min_by("sig", F.xxhash64("sig", F.lit(k))) for k in range(PIVOTS)])
+    groups = entries.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("sum"), pivots.alias("pivots"))
+    groups = written(groups.groupBy("members", "sum").agg(F.min(F.struct("key", "pivots")).alias("g"), F.count("*").alias("weight")).select("g.key", "g.pivots", "members", "weight"))
+    entries = written(entries.join(groups.select("key", "members"), "key").select("key", "sig", F.col("members").alias("size")))
 
     def least_of(sigs: DataFrame) -> DataFrame:
         """One doc_id of each of these nodes, and its vectors."""
         first = named.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-        return named.select("doc_id", "sig", "points", "fine").join(first, ["doc_id", "sig"])
+        return named.select("doc_id", "sig", "size", "points").join(first, ["doc_id", "sig"])
 
     nodes = written(least_of(entries.select("sig").distinct()))
-    fine = nodes.select("sig", "fine")
+    points = nodes.select("sig", "points")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -350,13 +371,16 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         wanted = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id").select("sig", "text")
         return written(_verified(pairs, written(wanted.mapInArrow(expand, "sig long, grams binary")), percent))
 
-    stars = entries.where("sig <> pivot").groupBy("sig", "pivot").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
-    first = verified(written(_bounded(stars.select(F.col("pivot").alias("a"), F.col("sig").alias("b")), fine, percent)))
+    # nodes that share anchors with a pivot as linked ones do: the more the better, by draw
+    drawn = entries.join(groups.select("key", "weight", F.posexplode("pivots").alias("draw", "pivot")), "key").where("sig <> pivot")
+    drawn = drawn.groupBy("sig", "draw", "pivot").agg(F.sum("weight").alias("w")).groupBy("sig", "draw").agg(F.max(F.struct("w", "pivot")).alias("x"))
+    stars = drawn.join(nodes.select("sig", "size"), "sig").where("x.w * 20 >= size").select(F.least("sig", "x.pivot").alias("a"), F.greatest("sig", "x.pivot").alias("b")).distinct()
+    first = verified(written(_bounded(stars, points, percent)))
     label = connected(first)
     labelled = entries.join(label, entries["sig"] == label["node"], "left").select("key", "sig", "size", F.coalesce("label", "sig").alias("label"))
     apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    members = written(labelled.join(apart, "key").join(nodes.select("sig", "points"), "sig").select("key", "size", "sig", "label", "points"))
-    more = verified(written(_bounded(_tree_pairs(members, percent), fine, percent)))
+    members = written(labelled.join(apart, "key").join(points, "sig").select("key", "size", "sig", "label", "points"))
+    more = verified(written(_tree_pairs(members, percent)))
     label = connected(first.union(more))
 
     # rows of one doc_id are one document, whatever their sets

@@ -186,7 +186,7 @@ def united(frames: list[Frame]) -> Frame:
         for v in names:
             if v not in f.info:
                 cols.append(F.lit(None).alias(v))
-            elif info[v].template == f.info[v].template and info[v].kind == f.info[v].kind:
+            elif (info[v].template, info[v].kind, info[v].row) == (f.info[v].template, f.info[v].kind, f.info[v].row):
                 cols.append(F.col(v))
             else:
                 cols.append(shown(F.col(v), f.info[v]).cast("string").alias(v))

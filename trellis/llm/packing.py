@@ -23,21 +23,20 @@ class Words:
     """Token ids of texts by way of their words: the words of many texts are coded at once
     and each distinct word is looked up once, or tokenized when it is new. The tokenizer
     drops white space before it splits, so no token crosses a word; it puts letters into
-    lower case, and splits them from the marks behind them."""
+    lower case, and splits them from the marks behind them. Words are kept from the second
+    time on that they come, while there are fewer than `most`."""
 
     PLAIN = re.compile("([a-z]+)([.,;:!?]+)")
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}  # word: row of bounds
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.bounds, self.rows = np.empty((1 << 18, 2), np.int64), 0
+        self.seen = bytearray(1 << 23)  # by hash
 
     def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         ends = self.used + np.cumsum(sizes)
@@ -55,21 +54,40 @@ class Words:
         begin, size = self.bounds[rows, 0], self.bounds[rows, 1] - self.bounds[rows, 0]
         return self.flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
-    def _learn(self, words: list[str]) -> None:
-        split = list(map(self.PLAIN.fullmatch, words))
-        whole = [(w, *m.groups()) for w, m in zip(words, split) if m]
-        parts = dict.fromkeys(w for w, m in zip(words, split) if not m)
-        parts.update(dict.fromkeys(p for x in whole for p in x[1:]))
-        parts = [p for p in parts if p not in self.known]
+    def _tokenize(self, parts: list[str]) -> None:
         letters = [p for p in parts if p.isascii() and p.isalpha()]  # one word to the model, whose bytes stand for themselves
         others = [p for p in parts if not (p.isascii() and p.isalpha())]
-        parts, cut = letters + others, self.tokenizer.model.tokenize
+        cut = self.tokenizer.model.tokenize
         lists = [[x.id for x in cut(p)] for p in letters] + [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
-        self._add(parts, np.fromiter(itertools.chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+        self._add(letters + others, np.fromiter(itertools.chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def _compose(self, whole: list[tuple[str, str, str]]) -> None:
         if whole:
             flat, size = self._gather(np.array([self.known[p] for x in whole for p in x[1:]]))
             self._add([x[0] for x in whole], flat, size.reshape(-1, 2).sum(axis=1))
 
+    def _learn(self, words: list[str]) -> list[str]:
+        """Makes words known; returns those that are to be forgotten after use, which stand
+        last in the store."""
+        seen, last = self.seen, len(self.seen) - 1
+        split = [(w, *m.groups()) if (m := self.PLAIN.fullmatch(w)) else (w,) for w in words]
+        keep: set[str] = set()
+        if len(self.known) < self.most:
+            keep.update(p for x in split if seen[hash(x[0]) & last] for p in x)
+        for w in words:
+            seen[hash(w) & last] = 1
+        parts = dict.fromkeys(p for x in split for p in (x[1:] or x) if p not in self.known)
+        whole = [x for x in split if len(x) > 1]
+        self._tokenize([p for p in parts if p in keep])
+        self._compose([x for x in whole if x[0] in keep])
+        mark = self.used, self.rows
+        brief = [p for p in parts if p not in keep]
+        self._tokenize(brief)
+        rest = [x for x in whole if x[0] not in keep]
+        self._compose(rest)
+        self.mark = mark
+        return brief + [x[0] for x in rest]
+
     def ids(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """The ids of each text, then `end`."""
         texts = pc.fill_null(texts, "")
@@ -78,13 +96,15 @@ class Words:
         lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(plain), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > self.most:
-            self.forget()
-        get = self.known.get
+        get, brief = self.known.get, []
         if new := [w for w in words if get(w) is None]:
-            self._learn(new)
+            brief = self._learn(new)
         rows = np.fromiter(map(get, words), np.int64, len(words))[coded.indices.to_numpy()]
         flat, size = self._gather(rows)
+        for w in brief:
+            del self.known[w]
+        if brief:
+            self.used, self.rows = self.mark
         cuts = np.concatenate(([0], np.cumsum(size)))[lists.offsets.to_numpy()]
         last, out = np.array([end], np.uint32), []
         for i in range(len(texts)):

@@ -66,6 +66,12 @@ def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, which bounds what a task holds."""
+    for b in batches:
+        yield from (b.slice(k, rows) for k in range(0, b.num_rows, rows))
+
+
 def signature(grams: np.ndarray) -> int:
     import xxhash
 
@@ -322,7 +328,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # anchors come from the lower hashes
+        for b in sliced(batches):  # anchors come from the lower hashes
             got = [x[x < np.uint64(int(0.4 * 2**64))] for x in ngram_sets(b.column(0), n)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got or [np.empty(0, np.uint64)]).view(np.int64))], names=["gram"])
 
@@ -331,17 +337,16 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(np.uint64)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(k, 2048) for k in range(0, whole.num_rows, 2048)):
-                sets = ngram_sets(b.column(1), n)
-                cold, hot = [], []
-                for x in sets:
-                    keys, plain = anchors(x, frequent.value, percent) if len(x) > 1 else (x[:0], 0)  # a set of one only equals others
-                    cold.append((keys[:plain] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-                    hot.append(keys[plain:].view(np.int64))
-                points = [counts(x) for x in sets]
-                columns = [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.int64()), pa.array(points, pa.binary()), pa.array(cold, pa.binary()), pa.array(hot, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "sig", "points", "keys", "often"])
+        for b in sliced(batches):
+            sets = ngram_sets(b.column(1), n)
+            cold, hot = [], []
+            for x in sets:
+                keys, plain = anchors(x, frequent.value, percent) if len(x) > 1 else (x[:0], 0)  # a set of one only equals others
+                cold.append((keys[:plain] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                hot.append(keys[plain:].view(np.int64))
+            points = [counts(x) for x in sets]
+            columns = [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.int64()), pa.array(points, pa.binary()), pa.array(cold, pa.binary()), pa.array(hot, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "sig", "points", "keys", "often"])
 
     described = written(texts.mapInArrow(describe, "doc_id long, size long, sig long, points binary, keys binary, often array<long>"))
     named = described.where("size > 1 and doc_id is not null")
@@ -360,7 +365,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     points = nodes.select("sig", "points")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = ngram_sets(b.column(1), n)
             keep = np.array([signature(x) == s for x, s in zip(sets, b.column(0).to_pylist())], bool)  # a doc_id may repeat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sig", "grams"]).filter(pa.array(keep))

@@ -49,7 +49,7 @@ def tumbling(events: DataFrame, width: str, late: str | None = None, slide: str
     """Counts and sums of values by event type in windows of event time; an extension. With
     `late`, a watermark: on a stream, later events are left out."""
     if late:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     out = events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
@@ -58,7 +58,7 @@ def tumbling(events: DataFrame, width: str, late: str | None = None, slide: str
 def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     """Sessions of users: events no further apart than the gap; an extension."""
     if late:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     out = events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), "n")
 

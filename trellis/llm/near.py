@@ -194,11 +194,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             fine = np.zeros(t.num_rows, bool)
             for i in range(t.num_rows):
                 x, y = (np.frombuffer(t.column(c)[i].as_buffer(), np.uint64) for c in ("x", "y"))
-                if len(y) < len(x):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                fine[i] = links(int((y[at] == x).sum()), len(x), len(y), percent)
+                fine[i] = links(shared(x, y), len(x), len(y), percent)
             yield t.select(["a", "b"]).filter(pa.array(fine))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
@@ -219,41 +215,81 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of a group that an R-tree leaves, of different labels.
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many n-grams two sorted sets have in common."""
+    if len(y) < len(x):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
 
-    members: key, size of the group, sig, label, points (binary). A group of more than TREE
-    members is cut into blocks, of which every two meet in a unit of their own."""
+
+def _in_units(members: DataFrame, rows: int, search, columns: list[str]) -> DataFrame:
+    """Distinct (a, b) of what search(sig, label, other columns) finds in each group of
+    members (key, size of the group, sig, label, ...). A group of more than TREE members is
+    cut into blocks, of which every two meet in a unit of their own. About `rows` members in
+    all: many small units share a task's table."""
     parts = F.ceil(F.col("size") / (TREE // 2)).cast("int")
     m = members.withColumn("parts", F.when(F.col("size") <= TREE, 1).otherwise(parts)).withColumn("own", F.pmod(F.xxhash64("sig", F.lit(7)), F.col("parts")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "label", "points")
+    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "label", *columns)
 
-    def search(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> pa.Table:
         keys = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
         sig, label = t.column("sig").to_numpy(), t.column("label").to_numpy()
-        points = [vector(x) for x in t.column("points").to_pylist()]
         order = np.lexsort(keys[::-1])
         edge = np.flatnonzero((np.diff(keys[:, order], axis=1) != 0).any(axis=0)) + 1
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for rows in np.split(order, edge):
-            if len(rows) == 2:
-                x, y = points[rows[0]], points[rows[1]]
-                if label[rows[0]] != label[rows[1]] and links(overlap(x[None], y)[0], x.sum(), y.sum(), percent):
-                    found.append((rows[:1], rows[1:]))
-                continue
-            tree = RTree([points[r] for r in rows], percent)
-            for i in range(len(rows)):
-                at = rows[tree.partners(i)]
-                at = at[label[at] != label[rows[i]]]
-                found.append((np.full(len(at), rows[i]), at))
-        a, b = (np.concatenate([x[k] for x in found]) if found else np.empty(0, int) for k in (0, 1))
-        pair = np.unique(np.sort(np.stack((sig[a], sig[b])), axis=0), axis=1)
-        return pa.table({"a": pair[0], "b": pair[1]})
-
-    n = max(1, members.count() // 8000)
-    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(n)).cast("int")
-    return m.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(search, "a long, b long").distinct()
+        for at in np.split(order, edge):
+            if len(at) > 1 and (label[at] != label[at[0]]).any():
+                found += search(sig[at], label[at], *[t.column(c).take(pa.array(at)) for c in columns])
+        a, b = (np.concatenate([np.atleast_1d(x[k]) for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        pair = np.unique(np.sort(np.stack((a, b)), axis=0), axis=1)
+        return pa.table({"a": pair[0].astype(np.int64), "b": pair[1].astype(np.int64)})
+
+    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, rows // 4000))).cast("int")
+    return m.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+
+
+def _tree_pairs(members: DataFrame, rows: int, percent: int) -> DataFrame:
+    """Pairs of members of a group, of different labels and families, whose bound in the
+    group's R-tree leaves a link possible."""
+
+    def search(sig, label, family, points):
+        family = family.to_numpy()
+        tree = RTree([vector(x) for x in points.to_pylist()], percent)
+        for i in range(len(sig)):
+            at = tree.partners(i)
+            at = at[(label[at] != label[i]) & (family[at] != family[i])]
+            yield np.full(len(at), sig[i]), sig[at]
+
+    return _in_units(members, rows, search, ["family", "points"])
+
+
+def _family_links(members: DataFrame, rows: int, percent: int) -> DataFrame:
+    """Links within families: the sets verify what the R-tree leaves, but for pairs that the
+    links found so far connect."""
+
+    def search(sig, label, points, grams):
+        tree = RTree([vector(x) for x in points.to_pylist()], percent)
+        sets = [np.frombuffer(x, np.uint64) for x in grams.to_pylist()]
+        first: dict[int, int] = {}
+        parent = [first.setdefault(x, i) for i, x in enumerate(label.tolist())]
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i in range(len(sig)):
+            for j in tree.partners(i).tolist():
+                x, y = find(i), find(j)
+                if x != y and links(shared(sets[i], sets[j]), len(sets[i]), len(sets[j]), percent):
+                    parent[max(x, y)] = min(x, y)
+                    yield sig[i], sig[j]
+
+    return _in_units(members, rows, search, ["points", "grams"])
 
 
 def _grouped(described: DataFrame) -> DataFrame:
@@ -370,27 +406,41 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
             keep = np.array([signature(x) == s for x, s in zip(sets, b.column(0).to_pylist())], bool)  # a doc_id may repeat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sig", "grams"]).filter(pa.array(keep))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The written pairs whose sets link."""
-        ids = written(nodes.select("sig", "doc_id").join(pairs.select("a").union(pairs.select("b")).distinct().toDF("sig"), "sig", "left_semi"))
+    def sets_of(sigs: DataFrame) -> DataFrame:
+        """sig and grams of these nodes, from their texts again."""
+        ids = written(nodes.select("sig", "doc_id").join(sigs.distinct(), "sig", "left_semi"))
         wanted = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id").select("sig", "text")
-        return written(_verified(pairs, written(wanted.mapInArrow(expand, "sig long, grams binary")), percent))
+        return written(wanted.mapInArrow(expand, "sig long, grams binary"))
 
+    ends = lambda pairs: pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
     # nodes that share anchors with a pivot as linked ones do: the more the better, by draw
-    drawn = entries.join(groups.select("key", "weight", F.posexplode("pivots").alias("draw", "pivot")), "key").where("sig <> pivot")
+    drawn = entries.join(groups.select("key", "weight", F.posexplode("pivots").alias("draw", "pivot")), "key")
     drawn = drawn.groupBy("sig", "draw", "pivot").agg(F.sum("weight").alias("w")).groupBy("sig", "draw").agg(F.max(F.struct("w", "pivot")).alias("x"))
-    stars = drawn.join(nodes.select("sig", "size"), "sig").where("x.w * 20 >= size").select(F.least("sig", "x.pivot").alias("a"), F.greatest("sig", "x.pivot").alias("b")).distinct()
-    first = verified(written(_bounded(stars, points, percent)))
+    drawn = written(drawn.join(nodes.select("sig", "size"), "sig").where("x.w * 20 >= size").select("sig", "draw", "x.pivot"))
+    stars = drawn.where("sig <> pivot").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
+    stars = written(_bounded(stars, points, percent))
+    family = drawn.where("draw = 0").select("sig", F.col("pivot").alias("family"))
+    several = family.groupBy("family").agg(F.count("*").alias("size")).where("size > 1")
+    sets = sets_of(ends(stars).union(family.join(several, "family", "left_semi").select("sig")))
+    first = written(_verified(stars, sets, percent))
+    label = connected(first)
+    own = lambda df: df.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    members = own(family.join(several, "family")).select(F.col("family").alias("key"), "size", "sig", "label")
+    apart = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    members = members.join(apart, "key").join(points, "sig").join(sets, "sig")
+    first = written(first.union(_family_links(members, several.agg(F.sum("size")).first()[0] or 0, percent)))
+    # what isn't of one family, in the groups of shared anchors
     label = connected(first)
-    labelled = entries.join(label, entries["sig"] == label["node"], "left").select("key", "sig", "size", F.coalesce("label", "sig").alias("label"))
-    apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    members = written(labelled.join(apart, "key").join(points, "sig").select("key", "size", "sig", "label", "points"))
-    more = verified(written(_tree_pairs(members, percent)))
+    members = own(entries).join(family, "sig", "left").withColumn("family", F.coalesce("family", "sig"))
+    apart = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("family").alias("f"), F.max("family").alias("g")).where("lo <> hi and f <> g").select("key")
+    members = members.join(apart, "key").join(points, "sig").select("key", "size", "sig", "label", "family", "points")
+    pairs = written(_tree_pairs(members, entries.count(), percent))
+    more = written(_verified(pairs, sets_of(ends(pairs)), percent))
     label = connected(first.union(more))
 
     # rows of one doc_id are one document, whatever their sets
-    own = described.where("size > 0 and doc_id is not null").select("doc_id", "sig", "size")
-    rows = own.join(label, own["sig"] == label["node"], "left").select("doc_id", F.coalesce("label", "sig").alias("label"))
+    ids = described.where("size > 0 and doc_id is not null").select("doc_id", "sig")
+    rows = ids.join(label, ids["sig"] == label["node"], "left").select("doc_id", F.coalesce("label", "sig").alias("label"))
     least = rows.groupBy("label").agg(F.min("doc_id").alias("least"))
     out = written(rows.join(least, "label").groupBy("doc_id").agg(F.min("least").alias("component_id"), F.count_distinct("label").alias("several")))
     if not out.where("several > 1").isEmpty():

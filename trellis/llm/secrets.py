@@ -73,15 +73,18 @@ def samples(docs: DataFrame, rows: int) -> DataFrame:
 
 def train(docs: DataFrame, rows: int = 2000) -> list[float]:
     """Log-likelihood ratios of a random string against an identifier by pair of characters,
-    from the conditional frequencies of the samples' pairs (half a count added)."""
+    from the conditional frequencies of the samples' pairs, each with two counts spread as
+    the characters by themselves are."""
     n = len(SYMBOLS) + 1
     got = samples(docs, rows).select("random", F.explode(pairs(F.col("tok"))).alias("pair")).groupBy("random", "pair").count().collect()
-    count = {True: [0.5] * n * n, False: [0.5] * n * n}
+    count = {True: [0] * n * n, False: [0] * n * n}
     for r in got:
         count[r.random][r.pair] += r["count"]
-
-    total = {k: [sum(count[k][i * n : i * n + n]) for i in range(n)] for k in count}
-    return [math.log(count[True][p] / total[True][p // n]) - math.log(count[False][p] / total[False][p // n]) for p in range(n * n)]
+    given = {}
+    for k, c in count.items():
+        alone = [sum(c[j::n]) + 0.5 for j in range(n)]
+        given[k] = [(c[p] + 2 * alone[p % n] / sum(alone)) / (sum(c[p // n * n : p // n * n + n]) + 2) for p in range(n * n)]
+    return [math.log(given[True][p] / given[False][p]) for p in range(n * n)]
 
 
 def scan(docs: DataFrame, ratios: list[float], least: float = 1.5) -> DataFrame:

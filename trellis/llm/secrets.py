@@ -17,6 +17,10 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Whether a text has such a run (each hex span is in one); looked for at the starts of runs only.
 LONG_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20}"
+#: Words that ordinary identifiers are made of.
+PARTS = """get set user name value list index count file path time data type key error config parse string number object default response
+    request handler manager controller identifier very long case create update delete find filter map reduce buffer stream reader writer
+    server client session message event queue table column row query result field module package version build test""".split()
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
@@ -57,7 +61,7 @@ def pairs(tok: Column) -> Column:
 def samples(docs: DataFrame, rows: int) -> DataFrame:
     """tok string, random boolean: labelled samples. Random strings are hashes in hexadecimal
     of both cases and in base 64; identifiers are words of letters of the `rows` documents of
-    the least hashes, alone and joined as identifiers are."""
+    the least hashes and PARTS, alone and joined as identifiers are."""
     spark = docs.sparkSession
     ids = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("x"))
     made = ids.select(F.explode(F.array(F.col("x"), F.upper("x"), F.regexp_replace(F.base64(F.unhex("x")), "=", ""), F.substring(F.base64(F.unhex(F.reverse("x"))), 1, 40))).alias("tok"))
@@ -67,7 +71,10 @@ def samples(docs: DataFrame, rows: int) -> DataFrame:
     joined = F.zip_with(one, two, lambda a, b: F.concat(a, F.lit("_"), b))
     camel = F.zip_with(one, two, lambda a, b: F.concat(F.lower(a), F.initcap(b), F.lit("2")))
     dashed = F.zip_with(one, two, lambda a, b: F.concat(F.upper(a), F.lit("-"), F.upper(b)))
-    plain = words.select(F.explode(F.concat("w", joined, camel, dashed)).alias("tok"))
+    a, b = F.explode(F.array(*[F.lit(x) for x in PARTS])), F.array(*[F.lit(x) for x in PARTS])
+    common = spark.range(1).select(a.alias("a")).select("a", F.explode(b).alias("b"))
+    forms = F.array(F.concat("a", F.initcap("b")), F.concat(F.initcap("a"), F.initcap("b"), F.lit("2")), F.concat("a", F.lit("_"), "b"), F.concat("a", F.lit("-"), "b"), F.upper(F.concat("a", F.lit("_"), "b")), F.concat("a", F.lit("/"), "b"))
+    plain = words.select(F.explode(F.concat("w", joined, camel, dashed)).alias("tok")).union(common.select(F.explode(forms)))
     return made.withColumn("random", F.lit(True)).unionByName(plain.withColumn("random", F.lit(False)))
 
 

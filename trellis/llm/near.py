@@ -22,6 +22,8 @@ SAMPLE, OFTEN, MOST_FREQUENT = 16, 6, 200_000
 BUCKET = 1_000_000
 #: Members of a group that others are tried with before its tree.
 PIVOTS = 8
+#: Pivots by which nodes are families.
+FAMILIES = 4
 #: Document ids that may be broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -252,15 +254,16 @@ def _in_units(members: DataFrame, rows: int, search, columns: list[str]) -> Data
 
 
 def _tree_pairs(members: DataFrame, rows: int, percent: int) -> DataFrame:
-    """Pairs of members of a group, of different labels and families, whose bound in the
-    group's R-tree leaves a link possible."""
+    """Pairs of members of a group, of different labels and of no common family, whose bound
+    in the group's R-tree leaves a link possible."""
 
     def search(sig, label, family, points):
-        family = family.to_numpy()
+        family = [set(x) for x in family.to_pylist()]
         tree = RTree([vector(x) for x in points.to_pylist()], percent)
         for i in range(len(sig)):
             at = tree.partners(i)
-            at = at[(label[at] != label[i]) & (family[at] != family[i])]
+            at = at[label[at] != label[i]]
+            at = at[[family[i].isdisjoint(family[j]) for j in at]] if family[i] and len(at) else at
             yield np.full(len(at), sig[i]), sig[at]
 
     return _in_units(members, rows, search, ["family", "points"])
@@ -419,8 +422,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     drawn = written(drawn.join(nodes.select("sig", "size"), "sig").where("x.w * 20 >= size").select("sig", "draw", "x.pivot"))
     stars = drawn.where("sig <> pivot").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
     stars = written(_bounded(stars, points, percent))
-    family = drawn.where("draw = 0").select("sig", F.col("pivot").alias("family"))
-    several = family.groupBy("family").agg(F.count("*").alias("size")).where("size > 1")
+    family = drawn.where(F.col("draw") < FAMILIES).select("sig", F.xxhash64("draw", "pivot").alias("family")).distinct()
+    several = written(family.groupBy("family").agg(F.count("*").alias("size")).where("size > 1"))
     sets = sets_of(ends(stars).union(family.join(several, "family", "left_semi").select("sig")))
     first = written(_verified(stars, sets, percent))
     label = connected(first)
@@ -431,8 +434,9 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     first = written(first.union(_family_links(members, several.agg(F.sum("size")).first()[0] or 0, percent)))
     # what isn't of one family, in the groups of shared anchors
     label = connected(first)
-    members = own(entries).join(family, "sig", "left").withColumn("family", F.coalesce("family", "sig"))
-    apart = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("family").alias("f"), F.max("family").alias("g")).where("lo <> hi and f <> g").select("key")
+    of = family.join(several, "family", "left_semi").groupBy("sig").agg(F.array_sort(F.collect_set("family")).alias("family"))
+    members = own(entries).join(of, "sig", "left").withColumn("family", F.coalesce("family", F.array().cast("array<bigint>")))
+    apart = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     members = members.join(apart, "key").join(points, "sig").select("key", "size", "sig", "label", "family", "points")
     pairs = written(_tree_pairs(members, entries.count(), percent))
     more = written(_verified(pairs, sets_of(ends(pairs)), percent))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trim, written
 
 #: Groups that n-grams are hashed into: the dimensions of a count vector.
 GROUPS = 64
@@ -72,6 +72,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
     """The batches in parts, which bounds what a task holds."""
     for b in batches:
         yield from (b.slice(k, rows) for k in range(0, b.num_rows, rows))
+    trim()
 
 
 def signature(grams: np.ndarray) -> int:
@@ -247,6 +248,7 @@ def _in_units(members: DataFrame, rows: int, search, columns: list[str]) -> Data
                 found += search(sig[at], label[at], *[t.column(c).take(pa.array(at)) for c in columns])
         a, b = (np.concatenate([np.atleast_1d(x[k]) for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
         pair = np.unique(np.sort(np.stack((a, b)), axis=0), axis=1)
+        trim()
         return pa.table({"a": pair[0].astype(np.int64), "b": pair[1].astype(np.int64)})
 
     bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, rows // 4000))).cast("int")

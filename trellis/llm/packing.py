@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import trim
+
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 #: A shard ends with this many documents or tokens, which bounds a task's memory.
@@ -28,7 +30,7 @@ class Words:
 
     PLAIN = re.compile("([a-z]+)([.,;:!?]+)")
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -262,5 +264,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2) -> D
                         yield from flush()
                         shard = Shard(length)
         yield from flush()
+        shard = None
+        trim()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)

@@ -65,7 +65,9 @@ def samples(docs: DataFrame, rows: int) -> DataFrame:
     spark = docs.sparkSession
     ids = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("x"))
     made = ids.select(F.explode(F.array(F.col("x"), F.upper("x"), F.regexp_replace(F.base64(F.unhex("x")), "=", ""), F.substring(F.base64(F.unhex(F.reverse("x"))), 1, 40))).alias("tok"))
-    some = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")).orderBy("h").limit(rows)
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    cut = docs.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]  # ids alone are sorted
+    some = docs.where((h <= F.lit(cut)) & F.col("text").isNotNull()).select("text").limit(rows)
     words = some.select(F.regexp_extract_all("text", F.lit(r"(?<![\w+/=-])[A-Za-z]{3,}(?![\w+/=-])"), F.lit(0)).alias("w")).where(F.size("w") > 3)
     one, two = F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1)
     joined = F.zip_with(one, two, lambda a, b: F.concat(a, F.lit("_"), b))

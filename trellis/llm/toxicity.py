@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, trim
 
 #: Insults to start with; training adds the words that its labels show.
 INSULTS = """idiot moron stupid dumb loser scum trash garbage pathetic worthless disgusting clown fool jerk creep pig
@@ -165,6 +165,7 @@ def _arrow(f, kind: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(b for b in batches if b.num_rows)
+        trim()
 
     return run, kind
 
@@ -248,5 +249,6 @@ def tolerable(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
             if b.num_rows:
                 x = np.array([features(t, model.lexicon) for t in b.column("text").cast(pa.string()).to_pylist()])
                 yield b.filter(pa.array(model.scores(x) < threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

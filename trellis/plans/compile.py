@@ -383,10 +383,9 @@ class Compiler:
         if a.name == "avg":
             if kind in ("bigint", "int", "smallint", "tinyint"):
                 c = c.cast("decimal(38,16)")  # exact
-            return Info(), F.coalesce(F.expr("1") * 0 + F.avg(c) if False else (F.sum_distinct(c) / F.count_distinct(c) if a.distinct else F.avg(c)), F.lit(0))
+            return Info(), F.coalesce(F.try_divide(F.sum_distinct(c), F.count_distinct(c)) if a.distinct else F.avg(c), F.lit(0))
         if a.distinct:
-            c = F.array_distinct(F.collect_list(c))
-            raise ValueError(f"{a.name} of distinct values isn't supported") if a.name != "median" else None
+            return Info(), _of_distinct(a.name, c)
         return Info(), {"median": F.median, "variance": F.var_pop, "stddev": F.stddev_pop, "stdev": F.stddev_pop}[a.name](c)
 
     # -- results
@@ -441,6 +440,18 @@ class Compiler:
         return out.union(facts.join(blank, facts["s"] == blank["id"], "left_semi")).distinct()
 
 
+def _of_distinct(name: str, c: Column) -> Column:
+    """MEDIAN, VARIANCE and STDDEV of a group's distinct values."""
+    x = F.array_sort(F.collect_set(c.cast("double")))
+    n = F.size(x)
+    if name == "median":
+        low, high = F.get(x, F.floor((n - 1) / 2).cast("int")), F.get(x, F.floor(n / 2).cast("int"))
+        return (low + high) / 2
+    mean = F.try_divide(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), n)
+    var = F.try_divide(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)), n)
+    return var if name == "variance" else F.sqrt(var)
+
+
 def _conjuncts(e) -> list:
     if isinstance(e, Call) and e.name == "and":
         return [y for a in e.args for y in _conjuncts(a)]

@@ -287,7 +287,7 @@ class Expressions:
         return Value(c.try_cast(CASTS[kind]), Info("lit", dt=XSD + kind))
 
     def f_seconds(self, a) -> Value:
-        return Value(F.expr("1").cast("decimal(8,6)") * F.date_part(F.lit("SECOND"), self.col(a).cast("timestamp")))
+        return Value(F.date_part(F.lit("SECOND"), self.col(a).cast("timestamp")))
 
     def f_tz(self, a) -> Value:
         c = self.col(a)

@@ -131,6 +131,10 @@ S("bind_constraint", "SELECT ?p ?u WHERE { ?p v:p_retailprice ?r ; v:p_size ?z B
 S("agg_count_variants", "SELECT (COUNT(*) AS ?a) (COUNT(?p) AS ?b) (COUNT(DISTINCT ?p) AS ?c) (COUNT(DISTINCT *) AS ?d) WHERE { ?o v:o_orderpriority ?p ; v:o_orderstatus ?s }", "SELECT count(*) a, count(o_orderpriority) b, count(DISTINCT o_orderpriority) c, count(DISTINCT o_orderkey) d FROM orders", "orders")
 S("agg_distinct", "SELECT ?s (SUM(DISTINCT ?z) AS ?t) (COUNT(DISTINCT ?z) AS ?n) WHERE { ?p v:p_brand ?s ; v:p_size ?z } GROUP BY ?s", "SELECT p_brand s, CAST(sum(DISTINCT p_size) AS BIGINT) t, count(DISTINCT p_size) n FROM part GROUP BY 1", "part")
 S("agg_stats", "SELECT ?s (ROUND(MEDIAN(?b) * 100) AS ?med) (ROUND(VARIANCE(?b)) AS ?var) (ROUND(STDDEV(?b) * 100) AS ?dev) WHERE { ?c v:c_mktsegment ?s ; v:c_acctbal ?b } GROUP BY ?s", "SELECT c_mktsegment s, floor(median(c_acctbal) * 100 + 0.5) med, floor(var_pop(c_acctbal) + 0.5) \"var\", floor(stddev_pop(c_acctbal) * 100 + 0.5) dev FROM customer GROUP BY 1", "customer")
+S("agg_stats_distinct", "SELECT ?b (MEDIAN(DISTINCT ?z) * 2 AS ?m) (ROUND(VARIANCE(DISTINCT ?z) * 100) AS ?v) (ROUND(AVG(DISTINCT ?z) * 100) AS ?a) WHERE { ?p v:p_brand ?b ; v:p_size ?z } GROUP BY ?b", None, "part", lambda df: df.selectExpr("b", "cast(m as double) m", "cast(v as bigint) v", "cast(a as bigint) a"))
+SQL["agg_stats_distinct"] = "SELECT p_brand b, median(p_size) * 2.0::DOUBLE m, CAST(floor(var_pop(p_size) * 100 + 0.5) AS BIGINT) v, CAST(floor(avg(p_size) * 100 + 0.5) AS BIGINT) a FROM (SELECT DISTINCT p_brand, p_size FROM part) GROUP BY 1"
+S("fn_seconds", "SELECT ?e (SECONDS(?t) AS ?s) WHERE { ?e v:ts ?t ; v:event_type \"purchase\" }", None, "events", lambda df: df.selectExpr("e", "cast(floor(s) as bigint) s"))
+SQL["fn_seconds"] = f"SELECT '{D}event/' || event_id e, CAST(second(ts) AS BIGINT) s FROM events WHERE event_type = 'purchase'"
 S("agg_group_concat", 'SELECT ?r (GROUP_CONCAT(?n; SEPARATOR=", ") AS ?names) WHERE { ?x v:n_region ?y ; v:n_name ?n . ?y v:r_name ?r } GROUP BY ?r', "SELECT r_name r, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1", "nation region")
 S("agg_min_max", "SELECT ?s (MIN(?d) AS ?lo) (MAX(?d) AS ?hi) (SAMPLE(?s) AS ?any) WHERE { ?o v:o_orderstatus ?s ; v:o_orderdate ?d } GROUP BY ?s", 'SELECT o_orderstatus s, min(o_orderdate) lo, max(o_orderdate) hi, o_orderstatus "any" FROM orders GROUP BY 1', "orders")
 S("agg_empty_zero", "SELECT (SUM(?q) AS ?s) (AVG(?q) AS ?a) (COUNT(?q) AS ?n) WHERE { ?l v:l_quantity ?q FILTER(?q > 1000000) }", "SELECT 0.0::DOUBLE s, 0.0::DOUBLE a, 0::BIGINT n", "lineitem")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -15,18 +17,20 @@ MOST_ROUNDS = 10_000
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once: lineage ends in the session's reliable checkpoint folder. Only a
-    local session without one gets a folder of its own."""
+    """df, computed once and written under the folder in spark.checkpoint.dir, which driver
+    and executors share; lineage ends there. (A checkpoint() would compute it twice.) Only a
+    local session without such a folder gets one of its own."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        known = spark.conf.get("spark.checkpoint.dir", None)
-        if not known and not sc.master.startswith("local"):
+    known = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(known or f"{tempfile.gettempdir()}/trellis-{uuid.uuid4().hex}")
-    return df.checkpoint()
+        known = os.path.join(tempfile.gettempdir(), f"trellis-{sc.applicationId}")
+        spark.conf.set("spark.checkpoint.dir", known)
+    path = f"{known.rstrip('/')}/tables-{sc.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def edges(c, path) -> Frame:

@@ -6,6 +6,7 @@ import functools
 import itertools
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,11 @@ class Words:
     lower case, and splits them from the marks behind them. Words are kept from the second
     time on that they come, while there are fewer than `most`."""
 
-    PLAIN = re.compile("([a-z]+)([.,;:!?]+)")
+    PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+    #: The characters that stand for bytes in the model: printable ones for themselves, the
+    #: others for those from 256 on.
+    _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
@@ -57,10 +62,21 @@ class Words:
         return self.flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
     def _tokenize(self, parts: list[str]) -> None:
-        letters = [p for p in parts if p.isascii() and p.isalpha()]  # one word to the model, whose bytes stand for themselves
-        others = [p for p in parts if not (p.isascii() and p.isalpha())]
+        letters, coded, others = [], [], []
+        for p in parts:
+            if p.isalpha():  # one word to the model, which knows bytes by characters
+                if p.isascii():
+                    letters.append(p)
+                    coded.append(p)
+                    continue
+                low = p.lower()
+                if low.isalpha() and "Σ" not in p and unicodedata.is_normalized("NFC", p):
+                    letters.append(p)
+                    coded.append("".join(map(self.BYTES.__getitem__, low.encode())))
+                    continue
+            others.append(p)
         cut = self.tokenizer.model.tokenize
-        lists = [[x.id for x in cut(p)] for p in letters] + [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        lists = [[x.id for x in cut(p)] for p in coded] + [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
         self._add(letters + others, np.fromiter(itertools.chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
 
     def _compose(self, whole: list[tuple[str, str, str]]) -> None:
@@ -72,7 +88,7 @@ class Words:
         """Makes words known; returns those that are to be forgotten after use, which stand
         last in the store."""
         seen, last = self.seen, len(self.seen) - 1
-        split = [(w, *m.groups()) if (m := self.PLAIN.fullmatch(w)) else (w,) for w in words]
+        split = [(w, *m.groups()) if (m := self.PLAIN.fullmatch(w)) and m[1].isalpha() and m[1].lower().isalpha() else (w,) for w in words]
         keep: set[str] = set()
         if len(self.known) < self.most:
             keep.update(p for x in split if seen[hash(x[0]) & last] for p in x)

@@ -96,10 +96,25 @@ def train(docs: DataFrame, rows: int = 2000) -> list[float]:
     return [math.log(given[True][p] / given[False][p]) for p in range(n * n)]
 
 
+def outside(x: Column, base: Column) -> Column:
+    """What the spans `base`, by start, leave of a run, as spans() gives runs: pieces of 20
+    characters or more. Base spans may overlap each other."""
+    kind = "struct<at:int,out:array<struct<start:int,end:int,tok:string>>>"
+
+    def piece(a: Column, end: Column) -> Column:
+        tok = F.substring(x["tok"], a["at"] - x["start"] + 1, end - a["at"])
+        return F.when(end - a["at"] >= 20, F.array_append(a["out"], F.struct(a["at"].alias("start"), end.alias("end"), tok.alias("tok")))).otherwise(a["out"])
+
+    begin = F.struct(x["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,tok:string>>").alias("out")).cast(kind)
+    step = lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), piece(a, b["start"]).alias("out")).cast(kind)
+    near = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    return F.when(F.size(near) > 0, F.aggregate(near, begin, step, lambda a: piece(a, x["end"]))).otherwise(F.array(x))
+
+
 def scan(docs: DataFrame, ratios: list[float], least: float = 1.5) -> DataFrame:
     """The columns of docs in a struct `row`, and `spans`: array<struct<start, end, kind>> of
-    all spans, by start and then kind. A run is random if its mean log-likelihood ratio by
-    pair is `least` or more; runs within a base span aren't judged."""
+    all spans, by start and then kind. Of each run, the pieces outside base spans are judged:
+    one is random if its mean log-likelihood ratio by pair is `least` or more."""
     ratio = F.split(F.lit(",".join(f"{x:.5g}" for x in ratios)), ",").cast("array<double>")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), text.alias("t"))
@@ -107,15 +122,15 @@ def scan(docs: DataFrame, ratios: list[float], least: float = 1.5) -> DataFrame:
     rows = rows.withColumn("long_run", t.rlike(LONG_RUN))
     rows = rows.select("row", "t", found(t, ASSIGN, 8, F.when(t.contains("=") | t.contains(":"), t.rlike(ASSIGN)).otherwise(F.lit(False)), 1).alias("k0"), found(t, ACCESS, 16, t.contains("AKIA")).alias("k1"), found(t, HEX, 32, F.col("long_run")).alias("k2"), found(t, CANDIDATE, 20, F.col("long_run")).alias("runs"))
     tag = lambda c, kind: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
-    rows = rows.select("row", "t", F.concat(*[tag(F.col(f"k{i}"), i) for i in range(3)]).alias("base"), "runs")
+    rows = rows.select("row", "t", F.array_sort(F.concat(*[tag(F.col(f"k{i}"), i) for i in range(3)])).alias("base"), "runs")
+    rows = rows.withColumn("runs", F.when((F.size("runs") > 0) & (F.size("base") > 0), F.flatten(F.transform("runs", lambda x: outside(x, F.col("base"))))).otherwise(F.col("runs")))
 
     def odd(x: Column) -> Column:
         total = F.aggregate(pairs(x["tok"]), F.lit(0.0), lambda a, p: a + F.get(ratio, p))
-        free = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return free & (total >= least * (F.char_length(x["tok"]) - 1))
+        return total >= least * (F.char_length(x["tok"]) - 1)
 
     more = F.when(F.size("runs") > 0, tag(F.filter("runs", odd), 3)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    return rows.select("row", "t", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", more)).alias("spans"))
+    return rows.select("row", "t", "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def _joined(c: Column) -> Column:
@@ -127,7 +142,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     """The secrets in each whole text.
 
     Base spans are the leftmost non-overlapping matches of ASSIGN (whose value has 8
-    characters or more), ACCESS and HEX. Beside them, runs of CANDIDATE that look
+    characters or more), ACCESS and HEX. Beside them, runs of CANDIDATE, or pieces of
+    20 characters or more that base spans leave of them, that look
     more like random strings than like identifiers are spans of kind `random`.
 
     docs: doc_id, text; other columns are ignored. Null and empty texts have no spans (and

@@ -88,6 +88,23 @@ def test_packing_prefers_neighbours():
     assert len({i % 2 for i in first}) == 1
 
 
+def test_packing_searches_all_documents(spark):
+    # near copies stand 1500 rows apart, so no run of 1024 rows has both
+    rng = np.random.default_rng(5)
+    own = [" ".join("".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (40, 6))) for _ in range(1500)]
+    got = packing.pack(documents(spark, [(i, own[i % 1500] + f" {i}", "a") for i in range(3000)]).coalesce(1), BPE, 512).toPandas()
+    of = got.groupby("doc_id").sequence_id.apply(set)
+    assert sum(bool(of[i] & of[i + 1500]) for i in range(1500)) > 1000
+
+
+def test_packing_corpus_statistics():
+    # in the shard term 2 is as rare as term 1; in the corpus it is common
+    s = packing.Shard(8, (1000, np.array([0, 2, 990, 500, 500, 500]), 3.0))
+    s.index([np.array([1, 2, 3]), np.array([2, 4, 4]), np.array([1, 5, 5])])
+    own = s.scores(0)
+    assert own[2] > 10 * own[1] > 0
+
+
 def test_token_counts(spark, odd, none):
     from tokenizers import Tokenizer, models, normalizers
 

@@ -13,13 +13,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import trim
+from .common import trim, written
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 #: A shard ends with this many documents or tokens, which bounds a task's memory.
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 22
+#: Terms in the signature by which documents are dealt to shards.
+SIGNATURE = 8
+#: Rows of statistics that count parts and their tokens, beside those of terms.
+PARTS, TOKENS = -1, -2
 
 
 class Words:
@@ -137,11 +142,22 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
+def signature(terms: np.ndarray, order: np.ndarray) -> bytes:
+    """The SIGNATURE least of the places that `order` gives to distinct terms, ascending:
+    sets that share much agree in the first of them, as min-hashes do, and sort together."""
+    at = order[terms]
+    if len(at) > SIGNATURE:
+        at = np.partition(at, SIGNATURE)[:SIGNATURE]
+    return np.sort(at).astype(">u4").tobytes()
+
+
 class Shard:
-    """Documents of one shard, their BM25 index over token ids, and the packing of them."""
+    """Documents of one shard, their BM25 index over token ids, and the packing of them.
+    `corpus` has the number of all parts, the number that has each term, and the mean length;
+    without it the shard is the corpus."""
 
-    def __init__(self, length: int):
-        self.length, self.docs, self.ids, self.tokens = length, [], [], 0
+    def __init__(self, length: int, corpus: tuple[int, np.ndarray, float] | None = None):
+        self.length, self.corpus, self.docs, self.ids, self.tokens = length, corpus, [], [], 0
 
     def add(self, doc, ids: np.ndarray) -> bool:
         self.docs.append(doc)
@@ -158,9 +174,9 @@ class Shard:
         tf = np.concatenate([c for _, c in terms]).astype(float)
         order = np.argsort(term, kind="stable")
         self.start = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-        df = np.diff(self.start)
-        idf = np.log1p((len(rests) - df + 0.5) / (df + 0.5))
-        self.part, self.weight = part[order], (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[part] / sizes.mean())))[order]
+        every, df, mean = (self.corpus[0], self.corpus[1][vocabulary], self.corpus[2]) if self.corpus else (len(rests), np.diff(self.start), sizes.mean())
+        idf = np.log1p((every - df + 0.5) / (df + 0.5))
+        self.part, self.weight = part[order], (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[part] / mean)))[order]
         ends = np.cumsum([len(t) for t, _ in terms])
         self.of = [term[e - len(t) : e] for e, (t, _) in zip(ends, terms)]
 
@@ -238,12 +254,13 @@ class Shard:
 def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2) -> DataFrame:
     """Pieces of documents, packed into sequences of `length` tokens.
 
-    A document is its text's ids by the tokenizers file `tokenizer`, then the id `end`.
-    Documents are indexed by BM25 over their token ids in shards as they are read (at most
-    SHARD_DOCS documents or about SHARD_TOKENS tokens), without a shuffle; each seed's
-    unused neighbours in its shard fill its window. Every id lies in exactly one piece, and
-    sequences are full but for the last ones of a shard, whose lengths are powers of two:
-    nothing is padded.
+    A document is its text's ids by the tokenizers file `tokenizer`, then the id `end`. What
+    its full windows leave is its part. Documents are sorted by signatures of their parts'
+    terms over all the input, and cut into shards (at most SHARD_DOCS documents or about
+    SHARD_TOKENS tokens), indexed by BM25 over token ids with the statistics of all parts;
+    each seed's unused neighbours in its shard fill its window. Every id lies in exactly one
+    piece, and sequences are full but for the last ones of a shard, whose lengths are powers
+    of two: nothing is padded.
 
     docs: doc_id, text; other columns are ignored. A null or empty text is the one id `end`.
     Repeated rows are documents of their own. No rows give no rows. Equal scores keep the
@@ -254,12 +271,51 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2) -> D
     """
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     names = [x.split()[0] for x in schema.split(", ")]
+    coded_schema = "row long, doc_id long, ids binary, sig binary, term int, n long"
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents by their ids; then statistics of the task's parts, in rows with a term."""
+        from pyspark import TaskContext
+
+        words, row = _words(tokenizer), TaskContext.get().partitionId() << 36
+        size = max(words.tokenizer.get_vocab_size(), end + 1)
+        order, df, count, total = np.random.default_rng(0).permutation(size), np.zeros(size, np.int64), 0, 0
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+        fields = [x.split()[0] for x in coded_schema.split(", ")]
+        for b in batches:
+            for part in (b.slice(k, 2048) for k in range(0, b.num_rows, 2048)):
+                lists, sigs = words.ids(part.column(1), end), []
+                for x in lists:
+                    rest = x[len(x) // length * length :]
+                    terms = np.unique(rest)
+                    df[terms] += 1
+                    count += len(rest) > 0
+                    total += len(rest)
+                    sigs.append(signature(terms, order))
+                n = len(lists)
+                columns = [range(row, row + n), part.column(0), [x.tobytes() for x in lists], sigs, [None] * n, [None] * n]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=fields)
+                row += n
+        if count:
+            term = np.flatnonzero(df)
+            none = [None] * (len(term) + 2)
+            columns = [none, none, none, none, [PARTS, TOKENS, *term.tolist()], [count, total, *df[term].tolist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=fields)
+        trim()
+
+    coded = written(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(code, coded_schema))
+    # as many rows as the vocabulary has terms
+    stats = dict(coded.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect())
+    parts, tokens = stats.pop(PARTS, 0), stats.pop(TOKENS, 0)
+    df = np.zeros(max(stats, default=0) + 1, np.int32)
+    df[list(stats)] = list(stats.values())
+    corpus = (parts, df, tokens / parts) if parts else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, base = _words(tokenizer), TaskContext.get().partitionId() << 36
-        shard = Shard(length)
+        base = TaskContext.get().partitionId() << 36
+        shard = Shard(length, corpus)
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal base
@@ -274,13 +330,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
         for b in batches:
-            for part in (b.slice(k, 2048) for k in range(0, b.num_rows, 2048)):
-                for doc, ids in zip(part.column(0).to_pylist(), words.ids(part.column(1), end)):
-                    if shard.add(doc, ids):
-                        yield from flush()
-                        shard = Shard(length)
+            for doc, ids in zip(b.column(0).to_pylist(), b.column(1)):
+                if shard.add(doc, np.frombuffer(ids.as_py(), np.uint32)):
+                    yield from flush()
+                    shard = Shard(length, corpus)
         yield from flush()
         shard = None
         trim()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    # ranges split equal signatures by row
+    dealt = coded.where("term is null").repartitionByRange("sig", "row").sortWithinPartitions("sig", "row")
+    return dealt.select("doc_id", "ids").mapInArrow(run, schema)

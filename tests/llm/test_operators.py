@@ -336,6 +336,23 @@ def test_html(spark):
     assert got[10].text.startswith("unique0") and "legal" not in got[10].text and "c0" not in got[10].text and got[20].text == got[10].text
 
 
+def test_html_large_hosts(spark):
+    word = lambda k, n=12: " ".join(f"{k}x{j}" for j in range(n))
+    rows = [(i, "http://big/x", f"<div>{word(f'u{i}')}</div><div>{word(f'pair{i // 2}')}</div><p>brief note {i // 2}</p>") for i in range(40)]
+    rows += [(50 + i, "http://big/x", f"<article><p>{word('legal')}</p><p>{word(f'own{i}')}</p><p>{word(f'few{i // 4}')}</p></article>") for i in range(60)]
+    rows += [(200 + i, "http://big/x", rows[3][2]) for i in range(5)]  # repeated pages
+    rows += [(300, "http://small/x", rows[0][2]), (301, "http://big/x", None)]
+    rows += [(1000 + i, "http://wide/x", f"<div>{word(f'v{i}')} {word(f'w{i % 300}')}</div>") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    one = {r.page_id: r.text for r in html.extract(pages).collect()}
+    many = {r.page_id: r.text for r in html.extract(pages, shard_chars=2000).collect()}
+    assert one == many and len(many) == len(rows) and many[0] == word("u0") and many[200] == many[3] == word("u3")
+    cut = [(r[0], r[1], [{"text": t, "article": a} for t, a in html.blocks(r[2])], r[1][7:10]) for r in rows if r[0] != 300]
+    joined = html.across(spark.createDataFrame(cut, "page_id long, url string, blocks array<struct<text:string,article:boolean>>, host string"), 8, 0.5, 0)
+    assert {r.page_id: r.text for r in joined.collect()} == {k: v for k, v in many.items() if k != 300}
+    assert many[60] == f"{word('own10')} {word('few2')}" and many[300].startswith(word("u0") + " pair0x0") and many[301] == ""
+
+
 def test_html_runs():
     a = np.array([1, 2, 3, 4, 9, 1, 2, 3, 4, 8])
     assert html.repeated(a, np.array([0] * 5 + [1] * 5), 4).tolist() == [2, 1, 0, 0, 0, 2, 1, 0, 0, 0]

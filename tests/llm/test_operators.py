@@ -353,6 +353,20 @@ def test_html_large_hosts(spark):
     assert many[60] == f"{word('own10')} {word('few2')}" and many[300].startswith(word("u0") + " pair0x0") and many[301] == ""
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post type-post hentry category-news tag-politics"><p>TEXT</p></article>',
+        '<div class="content has-sidebar"><p>TEXT</p></div>',
+        '<div class="no-sidebar" id="main-content"><p>TEXT</p></div>',
+        '<div class="widget"><div id="search"><main class="search"><p>TEXT</p></main></div></div><div class="sidebar">no</div>',
+        '<div data-id="menu"><p class="side-effects">TEXT</p></div><div class="x cookie-banner">no</div><ul id="nav-bar"><li>no</li></ul><div class="ad-slot-2">no</div>',
+    ],
+)
+def test_html_names(page):
+    assert [t for t, _ in html.blocks(page)] == ["TEXT"]
+
+
 def test_html_runs():
     a = np.array([1, 2, 3, 4, 9, 1, 2, 3, 4, 8])
     assert html.repeated(a, np.array([0] * 5 + [1] * 5), 4).tolist() == [2, 1, 0, 0, 0, 2, 1, 0, 0, 0]

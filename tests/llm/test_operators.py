@@ -323,6 +323,15 @@ def test_urls(spark):
     assert got[300] == "block" and got[301] == "allow"
 
 
+def test_urls_whole_paths(spark):
+    rows = [(i, f"http://s{i}.net/a{i}/b/c/casino/d/{'/'.join(f'deep{k}' for k in range(20))}") for i in range(60)] + [(100 + i, f"http://g{i}.org/fr/a{i}/b/c/recipes/{'/'.join(f'deep{k}' for k in range(20))}") for i in range(60)]
+    # four tokens together are blocked, any three of them aren't
+    rows += [(200 + i, f"http://t{i}.net/k/l/m/n") for i in range(40)] + [(300 + i, f"http://r{i}.org/fr/" + "/".join(x for j, x in enumerate("klmn") if j != i % 4)) for i in range(160)]
+    rows += [(500, "http://u.io/q/r/s/casino/x"), (501, "http://u.io/q/r/s/recipes/x"), (502, "http://u.io/k/l/m/n"), (503, "http://u.io/k/l/m")]
+    got = {r.page_id: r.verdict for r in judged(spark, rows).collect()}
+    assert [got[i] for i in range(500, 504)] == ["block", "allow", "block", "allow"]
+
+
 def test_html(spark):
     make = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' host", "1 shard", "'t' text", "2 blocks")
     assert html.extract(make([])).count() == 0

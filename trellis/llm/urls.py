@@ -39,29 +39,51 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Colum
 
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens of a URL: words of the host by label, domains, first parts of the path
+    """Distinct tokens of a URL: words of the host by label, domains, parts of the path
     and keys of the query. Numbers are one token."""
     labels = F.split(host, r"\.")
     tail = F.when(F.size(labels) > 1, F.concat(F.lit("d:"), F.element_at(labels, -2), F.lit("."), F.element_at(labels, -1)))
     names = F.transform(F.filter(labels, lambda x: x != ""), lambda x: F.concat(F.lit("h:"), x))
     words = F.transform(F.filter(F.split(host, r"[.\-]"), lambda x: x != ""), lambda x: F.concat(F.lit("w:"), x))
-    parts = F.transform(F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, 3), lambda x: F.concat(F.lit("p:"), F.when(x.rlike("^[0-9]+$"), F.lit("#")).otherwise(lower(x))))
+    parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("p:"), F.when(x.rlike("^[0-9]+$"), F.lit("#")).otherwise(lower(x))))
     keys = F.transform(F.regexp_extract_all(url, F.lit(r"[?&]([^=&#]+)="), F.lit(1)), lambda x: F.concat(F.lit("q:"), x))
     every = F.concat(names, words, parts, F.coalesce(keys, F.array().cast("array<string>")), F.array(tail))
     return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
 
 
-def mine(labelled: DataFrame, rows: int = 50_000, support: float = 0.01, confidence: float = 0.9, length: int = 3) -> DataFrame:
+def standing(items: Column, same: dict[str, str]) -> Column:
+    """Tokens with those of `same` by the one that stands for them."""
+    if not same:
+        return items
+    ones = F.create_map(*[F.lit(x) for r in sorted(same.items()) for x in r])
+    return F.array_distinct(F.transform(items, lambda x: F.coalesce(F.try_element_at(ones, x), x)))
+
+
+def mine(labelled: DataFrame, rows: int = 50_000, support: float = 0.01, confidence: float = 0.9) -> tuple[DataFrame, dict[str, str]]:
     """Association rules (rule long, items array<string>, verdict, confidence, support) from
-    `labelled` (id, items, verdict), of which the `rows` rows of the least hashes are used. FP-growth mines
-    frequent sets of tokens and a verdict; rules with a verdict as consequent remain if their
-    support and confidence are high enough and no rule with fewer of their tokens is as good."""
+    `labelled` (id, items, verdict), of which the `rows` rows of the least hashes are used, and
+    the tokens for which others stand in them. FP-growth mines
+    frequent sets of tokens and a verdict; rules of any length with a verdict as consequent remain if
+    their support and confidence are high enough, for pruned() to choose from. Sets whose rules
+    it would drop for a shorter one aren't mined: a token with one verdict only is a rule by
+    itself, and of tokens on the same rows one stands for all."""
     mark = F.concat(F.lit("="), F.col("verdict"))
-    bounded = labelled.select(F.concat("items", F.array(mark)).alias("items"), F.xxhash64("id").alias("h")).orderBy("h").limit(rows)
-    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(bounded).associationRules
+    bounded = written(labelled.select("items", mark.alias("mark"), F.xxhash64("id").alias("h")).orderBy("h").limit(rows))
+    n = bounded.count()
+    h = [F.sum(x.cast("decimal(38)")) for x in (F.col("h"), F.xxhash64("h", F.lit(1)))]
+    by = bounded.select(F.explode("items").alias("item"), "mark", "h").groupBy("item").agg(F.count("*").alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"), F.struct(*h).alias("on"))
+    frequent = by.where(F.col("n") >= n * support).collect()  # as many as a row's tokens by 1 / support at most
+    pure = [(r.item, r.low[1:], r.n / n) for r in frequent if r.low == r.high]
+    alone = labelled.sparkSession.createDataFrame(pure, "item string, verdict string, support double").select(F.array("item").alias("items"), "verdict", F.lit(1.0).alias("confidence"), "support")
+    first: dict[tuple, str] = {}
+    mixed = sorted((r for r in frequent if r.low != r.high), key=lambda r: r.item)
+    same = {r.item: one for r in mixed if (one := first.setdefault((r.n, *r.on), r.item)) != r.item}
+    known = F.array(*[F.lit(r.item) for r in mixed]) if mixed else F.array().cast("array<string>")
+    sets = bounded.select(F.concat(standing(F.array_intersect("items", known), same), F.array("mark")).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(sets).associationRules
     verdict = F.element_at("consequent", 1)
-    clean = sets.where(verdict.startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")) & (F.size("antecedent") <= length))
-    return clean.select(F.array_sort("antecedent").alias("items"), F.substring(verdict, 2, 20).alias("verdict"), "confidence", "support")
+    clean = found.where(verdict.startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
+    return clean.select(F.array_sort("antecedent").alias("items"), F.substring(verdict, 2, 20).alias("verdict"), "confidence", "support").unionByName(alone), same
 
 
 def pruned(rules: DataFrame) -> DataFrame:
@@ -90,12 +112,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, default: s
     seen = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     seen = seen.withColumn("rule", ruled(F.col("host"), F.col("path"), rules))
     verdict = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in r]), F.col("rule"))
-    learnt = pruned(mine(seen.where(F.col("rule").isNotNull()).select(F.col("url").alias("id"), tokens(F.col("host"), F.col("path"), F.col("url")).alias("items"), verdict.alias("verdict"))))
+    own = tokens(F.col("host"), F.col("path"), F.col("url"))
+    mined, same = mine(seen.where(F.col("rule").isNotNull()).select(F.col("url").alias("id"), own.alias("items"), verdict.alias("verdict")))
+    learnt, own = pruned(mined), F.array_sort(standing(own, same))
     # equal token lists are judged once, which also takes hot hosts together
-    asked = seen.where(F.col("rule").isNull() & (F.col("host") != "")).select(F.array_sort(tokens(F.col("host"), F.col("path"), F.col("url"))).alias("items")).distinct()
+    asked = seen.where(F.col("rule").isNull() & (F.col("host") != "")).select(own.alias("items")).distinct()
     index = learnt.select("rule", "verdict", "confidence", "support", F.size("items").alias("n"), F.explode("items").alias("item"))
     hit = asked.select("items", F.explode("items").alias("item")).join(index, "item").groupBy("items", "rule").agg(F.count("*").alias("got"), F.first("n").alias("n"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
     best = hit.where("got = n").groupBy("items").agg(F.max_by("verdict", F.struct("confidence", "support", "n", "verdict")).alias("mined"))
-    every = seen.select("*", F.when(F.col("rule").isNull() & (F.col("host") != ""), F.array_sort(tokens(F.col("host"), F.col("path"), F.col("url")))).alias("items"))
+    every = seen.select("*", F.when(F.col("rule").isNull() & (F.col("host") != ""), own).alias("items"))
     out = every.join(best, "items", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce(verdict, F.col("mined"), F.lit(default)).alias("verdict"))

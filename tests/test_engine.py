@@ -204,3 +204,13 @@ def test_plans(spark, sf):
     assert plan.count("FileScan parquet") == 1 and "l_partkey" not in plan
     plan = catalogue.QUERIES["rollup_2hop_region"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "concat" not in plan and "CartesianProduct" not in plan
+
+
+def test_reasoning_bounds_raise(spark, monkeypatch):
+    chain = lambda p: spark.createDataFrame([(f"n{i}", p, f"n{i + 1}") for i in range(6)], "s string, p string, o string")
+    assert len(reasoning.hierarchy(chain("sub"), "sub")["n6"]) == 6
+    with pytest.raises(RuntimeError):
+        reasoning.hierarchy(chain("sub"), "sub", most=5)
+    monkeypatch.setattr(reasoning, "MOST_ROUNDS", 3)
+    with pytest.raises(RuntimeError):
+        reasoning.same(chain(reasoning.OWL + "sameAs")).count()

@@ -201,6 +201,8 @@ def same(facts: DataFrame) -> DataFrame:
         labels = new.select("a", "label")
         if new.where("moved").isEmpty():
             break
+    else:
+        raise RuntimeError("classes of the same subjects did not end")
     out = facts.where(F.col("p") != OWL + "sameAs")
     for c in ("s", "o"):
         out = out.join(labels.select(F.col("a").alias(c), F.col("label").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
@@ -243,10 +245,13 @@ def expand(group: Group, subclasses: dict[str, list[str]], subproperties: dict[s
     return Group(tuple(out))
 
 
-def hierarchy(facts: DataFrame, predicate: str) -> dict[str, list[str]]:
-    """Above: all below, of a schema's hierarchy (small by nature; at most 200 000 pairs)."""
+def hierarchy(facts: DataFrame, predicate: str, most: int = 200_000) -> dict[str, list[str]]:
+    """Above: all below, of a schema's hierarchy (small by nature; an error beyond `most` pairs)."""
     out: dict[str, list[str]] = {}
-    for r in closure(_of(facts, predicate, "a", "b")).limit(200_000).collect():
+    rows = closure(_of(facts, predicate, "a", "b")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise RuntimeError(f"the hierarchy has more than {most} pairs")
+    for r in rows:
         if r.a != r.b:
             out.setdefault(r.b, []).append(r.a)
     return {k: sorted(v) for k, v in out.items()}

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..ir import Agg, Bind, Call, Choice, Each, Exists, Filter, Group, InGraph, Inverse, Iri, Lit, Minus, NotIn, Optional, Query, Repeat, Search, Sequence, Service, Shortest, Sub, Triple, Union, Unwind, Values, Var, variables
 from . import paths
-from .expr import Expressions, Value
-from .frame import Frame, Info, is_term, joined, lexical, shown, united
+from .expr import Expressions, Value, assigned
+from .frame import Frame, Info, is_term, joined, lexical, number_of, order_key, shown, united
 
 
 class Dataset:
@@ -26,6 +26,7 @@ class Compiler:
     def __init__(self, spark: SparkSession, data: Dataset, correlated: bool = False):
         self.spark, self.data, self.correlated = spark, data, correlated
         self.source, self.fresh = data.default, 0
+        self.predicates: dict[str, str] = {}  # of the patterns that bind variables as objects
 
     def name(self) -> str:
         self.fresh += 1
@@ -34,6 +35,21 @@ class Compiler:
     def unit(self) -> Frame:
         return Frame(self.spark.range(1).select(), {})
 
+    def resolved(self, e):
+        """An expression with the statistics that fulltext(?text, "query") needs: those of all
+        texts of the predicate that binds ?text, a row for the driver."""
+        if isinstance(e, Call) and e.name == "fulltext":
+            from ..operators.search import TextIndex
+
+            text, query = e.args
+            if not isinstance(text, Var) or not isinstance(query, Lit) or text.name not in self.predicates:
+                raise ValueError("fulltext() takes an object of a pattern and a constant")
+            f = self.source.scan(Triple(Var("s"), Iri(self.predicates[text.name]), Var("o")))
+            return Call("bm25", (text, *map(Lit, TextIndex(f.df, "s", "o").statistics(query.value))))
+        if isinstance(e, Call):
+            return replace(e, args=tuple(self.resolved(a) for a in e.args))
+        return e
+
     # -- groups of patterns
 
     def group(self, g: Group, start: Frame | None = None) -> Frame:
@@ -116,7 +132,7 @@ class Compiler:
 
     def filtered(self, f: Frame, filters: list) -> Frame:
         for c in filters:
-            for part in _conjuncts(c):
+            for part in _conjuncts(self.resolved(c)):
                 if isinstance(part, Exists):
                     f = self.exists(f, part.group, part.negated)
                 elif isinstance(part, Call) and part.name == "not" and isinstance(part.args[0], Exists):
@@ -149,8 +165,9 @@ class Compiler:
         e, names = replaced(e), list(f.info)
         for flag, x in flags.items():
             ids = self.name()
-            numbered = Frame(f.df.withColumn(ids, F.monotonically_increasing_id()), f.info)
             if self.parts(x.group)[1]:  # inner filters may see outer variables
+                # numbered once, in a written table: a lost task would number otherwise
+                numbered = Frame(paths.kept(f.df.withColumn(ids, F.monotonically_increasing_id())), f.info)
                 hit = self.exists(numbered, x.group, False).df.select(F.col(ids).alias("__hit"))
                 df = numbered.df.join(hit, numbered.df[ids] == F.col("__hit"), "left").withColumn(flag, F.col("__hit").isNotNull() != F.lit(x.negated)).drop(ids, "__hit")
             else:
@@ -173,18 +190,20 @@ class Compiler:
         def overlap(_, cols):  # at least one variable bound on both sides
             out = F.lit(False)
             for v in shared:
-                out = out | (F.col(v).isNotNull() & F.col(f"__r_{v}").isNotNull())
+                if f"__r_{v}" in cols:
+                    out = out | (F.col(v).isNotNull() & cols[f"__r_{v}"].isNotNull())
             return out
 
         return joined(f, right, "left_anti", overlap, merge=True)
 
     def bind(self, f: Frame, b: Bind) -> Frame:
-        v = Expressions(f).value(b.expr)
+        v = Expressions(f).value(self.resolved(b.expr))
         if b.var in f.info:  # a constraint
             old = F.col(b.var)
             df = f.df.where(old.isNull() | v.col.isNull() | (shown(old, f.info[b.var]) == shown(v.col, v.info)))
             return Frame(df.withColumn(b.var, F.coalesce(old, v.col)), f.info)
-        return Frame(f.df.withColumn(b.var, v.col), f.info | {b.var: replace(v.info, bound=False if not isinstance(b.expr, (Lit, Iri)) else True)})
+        out = assigned(f, b.var, v)
+        return Frame(out.df, out.info | {b.var: replace(v.info, bound=False if not isinstance(b.expr, (Lit, Iri)) else True)})
 
     def values(self, v: Values) -> Frame:
         info, columns = {}, []
@@ -200,7 +219,23 @@ class Compiler:
             return Frame(self.spark.range(0).select(*[F.lit(None).cast("string").alias(n) for n in v.names]), {n: Info("iri") for n in v.names})
         from .frame import literal
 
-        cells = [F.struct(*[(literal(c[i]) if isinstance(c[i], Lit) else F.lit(c[i])).alias(n) for n, c in zip(v.names, columns)]) for i in range(len(v.rows))]
+        from ..ir import RDF, XSD
+
+        kinds = {bool: "boolean", int: "integer", float: "double", str: "string"}
+
+        def told(i: int) -> list[Column]:
+            """Datatypes and tags of a row's terms, where terms of several kinds meet or are tagged."""
+            out = []
+            for k, n in enumerate(v.names):
+                known = [r[k] for r in v.rows if isinstance(r[k], Lit)]
+                if info[n].kind != "mixed" and not any(t.lang for t in known):
+                    continue
+                t = v.rows[i][k]
+                dt = None if t is None else "@id" if isinstance(t, Iri) else RDF + "langString" if t.lang else t.dt or XSD + kinds.get(type(t.value), "decimal")
+                out += [F.lit(dt).cast("string").alias(f"__dt_{n}"), F.lit(getattr(t, "lang", None)).cast("string").alias(f"__lang_{n}")]
+            return out
+
+        cells = [F.struct(*[(literal(c[i]) if isinstance(c[i], Lit) else F.lit(c[i])).alias(n) for n, c in zip(v.names, columns)], *told(i)) for i in range(len(v.rows))]
         df = self.spark.range(1).select(F.inline(F.array(*cells)))
         return Frame(df, info)
 
@@ -243,6 +278,7 @@ class Compiler:
     def bgp(self, triples: list[Triple], f: Frame | None) -> Frame:
         triples = list(dict.fromkeys(triples))
         stars: dict = {}
+        self.predicates |= {t.o.name: t.p.value for t in triples if isinstance(t.o, Var) and isinstance(t.p, Iri)}
         for t in triples:
             if not isinstance(t.p, (Iri, Var)):
                 stars[len(stars), "path"] = [t]
@@ -290,6 +326,7 @@ class Compiler:
             if isinstance(e, Agg):
                 return Var(aggs.setdefault(e, self.name()))
             if isinstance(e, Call):
+                e = self.resolved(e)
                 return Call(e.name, tuple(lifted(a) for a in e.args))
             if isinstance(e, Each):
                 return Each(e.kind, e.var, lifted(e.items), lifted(e.where) if e.where is not None else None, lifted(e.value) if e.value is not None else None, e.acc, lifted(e.start) if e.start is not None else None)
@@ -306,22 +343,22 @@ class Compiler:
         for e, n in select:
             if not (isinstance(e, Var) and e.name == n):
                 v = Expressions(f).value(e)
-                f = Frame(f.df.withColumn(n, v.col), f.info | {n: v.info})
+                f = assigned(f, n, v)
             elif n not in f.info:
                 f = Frame(f.df.withColumn(n, F.lit(None).cast("string")), f.info | {n: Info(bound=False)})
         names = [n for _, n in select]
         sort = []
         for e, desc in order:
-            v = Expressions(f).value(e)
             n = self.name()
-            f = Frame(f.df.withColumn(n, shown(v.col, v.info)), f.info)
+            f = Frame(f.df.withColumn(n, Expressions(f).order(e)), f.info)
             sort.append((n, desc))
         kept = list(dict.fromkeys(keys + names))
+        told = [h for n in kept for h in f.hidden(n)]
         by = [F.col(n).desc_nulls_last() if d else F.col(n).asc_nulls_first() for n, d in sort]
-        df = f.df.select(*kept, *[n for n, _ in sort], *[c for c in f.df.columns if c.startswith(("__lang_", "__dt_")) and c.split("_", 3)[3] in kept])
+        df = f.df.select(*kept, *[n for n, _ in sort], *told)
         if q.distinct:
             hidden = [n for n, _ in sort]
-            df = df.groupBy(*kept).agg(*[F.min(n).alias(n) for n in hidden]) if hidden else df.select(*kept).distinct()
+            df = df.groupBy(*kept, *told).agg(*[F.min(n).alias(n) for n in hidden]) if hidden else df.select(*kept, *told).distinct()
         if keys and (q.limit is not None or q.offset):
             from pyspark.sql import Window
 
@@ -340,24 +377,26 @@ class Compiler:
         names = list(keys)
         for e, n in q.group or []:
             if not (isinstance(e, Var) and e.name == n):
-                v = Expressions(f).value(e)
-                f = Frame(f.df.withColumn(n, v.col), f.info | {n: v.info})
+                f = assigned(f, n, Expressions(f).value(e))
             elif n not in f.info:
                 f = Frame(f.df.withColumn(n, F.lit(None).cast("string")), f.info | {n: Info(bound=False)})
             names.append(n)
         info = {n: f.info[n] for n in names}
+        names += [h for n in names for h in f.hidden(n)]
         visible = [v for v in f.info if not v.startswith("_")]
         cols = []
         for a, n in aggs.items():
-            v, c = self.aggregate(a, f, visible)
-            cols.append(c.alias(n))
+            v, c, *told = self.aggregate(a, f, visible)
+            cols += [c.alias(n), *[t.alias(f"__{k}_{n}") for t, k in zip(told, ("dt", "lang"))]]
             info[n] = v
         if not cols:
             return Frame(f.df.select(*names).distinct(), info)
         df = f.df.groupBy(*names).agg(*cols) if names else f.df.agg(*cols)
         return Frame(df, info)
 
-    def aggregate(self, a: Agg, f: Frame, visible: list[str]) -> tuple[Info, Column]:
+    def aggregate(self, a: Agg, f: Frame, visible: list[str]) -> tuple[Info, Column] | tuple[Info, Column, Column, Column]:
+        """What is known of an aggregate, its column, and those of its datatype and language
+        where these differ by group."""
         if a.arg is None:
             return Info(), F.count_distinct(F.struct(*[F.col(v) for v in visible])) if a.distinct else F.count("*")
         e = Expressions(f)
@@ -365,7 +404,12 @@ class Compiler:
         if a.name == "count":
             if isinstance(a.arg, Var) and v.info.bound and v.info.row and not a.distinct:
                 return Info(), F.count("*")
+            if a.distinct and v.info.kind == "mixed" and v.dt is not None:
+                return Info(), F.count_distinct(order_key(v.col, v.dt, v.lang))
             return Info(), F.count_distinct(v.col) if a.distinct else F.count(v.col)
+        if a.name in ("min", "max", "sample") and v.info.kind == "mixed" and v.dt is not None:
+            by, key = F.max_by if a.name == "max" else F.min_by, order_key(v.col, v.dt, v.lang)
+            return replace(v.info, bound=False), by(v.col, key), by(v.dt, key), by(v.lang if v.lang is not None else F.lit(None).cast("string"), key)
         if a.name in ("min", "max", "sample"):
             c = {"min": F.min, "max": F.max, "sample": F.min}[a.name](v.col)
             return replace(v.info, bound=False), c
@@ -376,7 +420,9 @@ class Compiler:
             return Info("list"), (F.collect_set if a.distinct else F.collect_list)(shown(v.col, v.info))
         kind = e.type(v)
         c = v.col
-        if kind == "string":
+        if v.info.kind == "mixed" and v.dt is not None:
+            c, kind = number_of(c, v.dt), "double"
+        elif kind == "string":
             c, kind = c.try_cast("double"), "double"
         if a.name == "sum":
             return Info(), F.coalesce(F.sum_distinct(c) if a.distinct else F.sum(c), F.lit(0))

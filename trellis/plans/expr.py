@@ -6,18 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..ir import XSD, Agg, Call, Each, Exists, Iri, Lit, Var
-from .frame import Frame, Info, is_term, key_of, lexical, literal, same, shown, xsd_of  # noqa: F401
+from ..ir import RDF, XSD, Agg, Call, Each, Exists, Iri, Lit, Var
+from .frame import NUMBERS, Frame, Info, is_term, key_of, lexical, literal, number_of, order_key, same, shown, time_of, xsd_of  # noqa: F401
 
 NUMERIC = ("bigint", "int", "smallint", "tinyint", "double", "float", "decimal")
 CASTS = {"boolean": "boolean", "integer": "bigint", "long": "bigint", "int": "int", "float": "float", "double": "double", "decimal": "decimal(38,16)", "string": "string", "dateTime": "timestamp", "date": "date", "time": "string"}
 
 
 class Value:
-    """A column with what is known of it."""
+    """A column with what is known of it. dt, lang: columns of its terms' datatypes (@id for
+    IRIs) and languages, where these differ by row."""
 
-    def __init__(self, col: Column, info: Info | None = None):
-        self.col, self.info = col, info or Info()
+    def __init__(self, col: Column, info: Info | None = None, dt: Column | None = None, lang: Column | None = None):
+        self.col, self.info, self.dt, self.lang = col, info or Info(), dt, lang
+
+
+def assigned(f: Frame, name: str, v: Value) -> Frame:
+    """A frame with a computed variable, and what goes along with it."""
+    more = {f"__{k}_{name}": c for k, c in (("dt", v.dt), ("lang", v.lang)) if c is not None}
+    gone = [h for h in f.hidden(name) if h not in more]
+    return Frame(f.df.withColumns({name: v.col} | more).drop(*gone), f.info | {name: v.info})
 
 
 class Expressions:
@@ -42,7 +50,22 @@ class Expressions:
             return self.local[name]
         if name not in self.frame.info:
             return Value(F.lit(None), Info(bound=False))
-        return Value(self.columns[name] if self.columns else F.col(name), self.frame.info[name])
+        dt, lang = (self.companion(k, name) for k in ("dt", "lang"))
+        return Value(self.columns[name] if self.columns else F.col(name), self.frame.info[name], dt, lang)
+
+    def companion(self, kind: str, name: str) -> Column | None:
+        h = f"__{kind}_{name}"
+        if self.columns is not None:
+            return self.columns.get(h)
+        return F.col(h) if self.frame.df is not None and h in self.frame.df.columns else None
+
+    def datatype(self, v: Value) -> Column:
+        """The datatype of each term; null where it can't be told."""
+        if v.dt is not None:
+            return v.dt
+        if v.info.kind == "iri":
+            return F.when(v.col.isNotNull(), F.lit("@id"))
+        return F.when(v.col.isNotNull(), F.lit(v.info.dt or xsd_of(self.type(v))))
 
     def col(self, e) -> Column:
         """The value as shown: IRIs in full."""
@@ -66,7 +89,7 @@ class Expressions:
         if isinstance(e, Iri):
             return Value(F.lit(e.value), Info("iri"))
         if isinstance(e, Lit):
-            return Value(literal(e), Info("lit", dt=e.dt))
+            return Value(literal(e), Info("lit", dt=e.dt), F.lit(RDF + "langString") if e.lang else None, F.lit(e.lang) if e.lang else None)
         if isinstance(e, Each):
             return self.each(e)
         if isinstance(e, Agg):
@@ -94,6 +117,12 @@ class Expressions:
             if isinstance(p, Iri) and op in ("=", "!="):
                 c = is_term(other.col, other.info, p, self.type(other) if other.info.template else None)
                 return c if op == "=" else ~c
+        if "mixed" in (x.info.kind, y.info.kind) and x.info.kind in ("mixed", "lit", "iri") and y.info.kind in ("mixed", "lit", "iri") and all(v.dt is not None for v in (x, y) if v.info.kind == "mixed"):
+            return self.terms(op, x, y)
+        if op in ("=", "!=") and (x.lang is not None or y.lang is not None):  # tags are part of terms
+            tag = lambda v: F.lower(v.lang) if v.lang is not None else F.lit(None).cast("string")
+            c = (x.col.cast("string") == y.col.cast("string")) & tag(x).eqNullSafe(tag(y))
+            return c if op == "=" else ~c
         if isinstance(b, Lit) and x.info.kind == "mixed":
             x = Value(x.col.try_cast(_plain(b)), Info())
         elif isinstance(a, Lit) and y.info.kind == "mixed":
@@ -110,6 +139,27 @@ class Expressions:
         p, q = shown(x.col, x.info), shown(y.col, y.info)
         return {"<": p < q, ">": p > q, "<=": p <= q, ">=": p >= q}[op]
 
+    def terms(self, op: str, x: Value, y: Value) -> Column:
+        """Terms of any kind: numbers and times by value, other terms by spelling, datatype and
+        tag; in an order only numbers, times, strings and booleans stand, each among themselves."""
+        p, q, s, t = shown(x.col, x.info).cast("string"), shown(y.col, y.info).cast("string"), self.datatype(x), self.datatype(y)
+        m, n, u, v = number_of(p, s), number_of(q, t), time_of(p, s), time_of(q, t)
+        tag = lambda z: F.lower(z.lang) if z.lang is not None else F.lit(None).cast("string")
+        if op in ("=", "!="):
+            c = F.when(m.isNotNull() & n.isNotNull(), m == n).when(u.isNotNull() & v.isNotNull(), u == v).otherwise((p == q) & s.eqNullSafe(t) & tag(x).eqNullSafe(tag(y)))
+            c = F.when(p.isNotNull() & q.isNotNull(), c)
+            return c if op == "=" else ~c
+        by = {"<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}[op]
+        plain = (s == t) & s.isin(XSD + "string", XSD + "boolean")
+        return F.when(m.isNotNull() & n.isNotNull(), by(m, n)).when(u.isNotNull() & v.isNotNull(), by(u, v)).when(plain, by(p, q))
+
+    def order(self, e) -> Column:
+        """What an expression is sorted by."""
+        v = self.value(e)
+        if v.info.kind == "mixed" and v.dt is not None:
+            return order_key(v.col, v.dt, v.lang)
+        return shown(v.col, v.info)
+
     def f_and(self, a, b) -> Value:
         return Value(self.condition(a) & self.condition(b))
 
@@ -124,6 +174,9 @@ class Expressions:
         return Value(~self.condition(a))
 
     def f_in(self, a, *items) -> Value:
+        x = self.value(a)
+        if items and x.info.kind == "iri" and not x.info.template and not x.info.row and all(isinstance(i, Iri) for i in items):
+            return Value(x.col.isin([i.value for i in items]))
         out = F.lit(False)
         for i in items:
             out = out | F.coalesce(self.compare("=", a, i), F.lit(False))
@@ -137,6 +190,11 @@ class Expressions:
 
     def f_if(self, c, a, b) -> Value:
         x, y = self.value(a), self.value(b)
+        if "mixed" in (x.info.kind, y.info.kind) or x.lang is not None or y.lang is not None or {x.info.kind, y.info.kind} == {"iri", "lit"} and self.frame.df is not None:
+            cond, (p, q) = self.condition(c), (shown(v.col, v.info).cast("string") for v in (x, y))
+            tag = lambda v: v.lang if v.lang is not None else F.lit(None).cast("string")
+            pick = lambda m, n: F.when(cond, m).when(~cond, n)
+            return Value(pick(p, q), Info("mixed"), pick(self.datatype(x), self.datatype(y)), pick(tag(x), tag(y)))
         keep = x.info if (x.info.template, x.info.kind) == (y.info.template, y.info.kind) else None
         p, q = (x.col, y.col) if keep else (shown(x.col, x.info), shown(y.col, y.info))
         cond = self.condition(c)
@@ -153,7 +211,7 @@ class Expressions:
     # -- arithmetic
 
     def arithmetic(self, op: str, a, b) -> Value:
-        x, y = self.value(a), self.value(b)
+        x, y = (Value(number_of(v.col, v.dt)) if v.info.kind == "mixed" and v.dt is not None else v for v in (self.value(a), self.value(b)))
         p, q = x.col, y.col
         if op == "/":
             kinds = (self.type(x), self.type(y))
@@ -214,20 +272,20 @@ class Expressions:
         return Value(F.split(self.col(s), F.concat(F.lit("\\Q"), self.col(by), F.lit("\\E")), F.lit(-1)), Info("list"))
 
     def f_lang(self, a) -> Value:
-        v = a.name if isinstance(a, Var) else None
-        if v and self.frame.df is not None and f"__lang_{v}" in self.frame.df.columns:
-            return Value(F.coalesce(F.col(f"__lang_{v}"), F.lit("")))
-        return Value(F.when(self.value(a).col.isNotNull(), F.lit("")))
+        v = self.value(a)
+        if v.info.kind == "iri":
+            return Value(F.lit(None).cast("string"))
+        literal_ = v.dt != "@id" if v.info.kind == "mixed" and v.dt is not None else F.lit(True)
+        return Value(F.when(v.col.isNotNull() & literal_, F.coalesce(v.lang, F.lit("")) if v.lang is not None else F.lit("")))
 
     def f_langmatches(self, tag, rng) -> Value:
         t, r = F.lower(self.col(tag)), F.lower(self.col(rng))
         return Value(F.when(r == "*", t != "").otherwise((t == r) | t.startswith(F.concat(r, F.lit("-")))))
 
     def f_datatype(self, a) -> Value:
-        v = a.name if isinstance(a, Var) else None
-        if v and self.frame.df is not None and f"__dt_{v}" in self.frame.df.columns:
-            return Value(F.col(f"__dt_{v}"), Info("iri"))
         x = self.value(a)
+        if x.dt is not None:
+            return Value(F.when(x.col.isNotNull() & (x.dt != "@id"), x.dt), Info("iri"))
         if x.info.kind == "iri":
             return Value(F.lit(None).cast("string"), Info("iri"))
         return Value(F.when(x.col.isNotNull(), F.lit(x.info.dt or xsd_of(self.type(x)))), Info("iri"))
@@ -237,7 +295,18 @@ class Expressions:
         return self.cast(a, kind)
 
     def f_strlang(self, a, tag) -> Value:
-        return Value(self.col(a))
+        return Value(self.col(a).cast("string"), Info("lit", dt=RDF + "langString"), F.lit(RDF + "langString"), self.col(tag))
+
+    def _tagged(self, a, f) -> Value:
+        """A string made of another, whose tag it keeps."""
+        v = self.value(a)
+        return Value(f(shown(v.col, v.info).cast("string")), Info("lit", dt=v.info.dt if v.lang is not None else None), v.dt if v.lang is not None else None, v.lang)
+
+    def f_ucase(self, a) -> Value:
+        return self._tagged(a, F.upper)
+
+    def f_lcase(self, a) -> Value:
+        return self._tagged(a, F.lower)
 
     def f_isiri(self, a) -> Value:
         return self._kind(a, "iri")
@@ -249,21 +318,29 @@ class Expressions:
 
     def f_isblank(self, a) -> Value:
         v = self.value(a)
-        return Value(F.when(v.col.isNotNull(), F.lit(v.info.row) if v.info.kind != "mixed" else v.col.startswith("_:")))
+        blank = v.col.startswith("_:") & (v.dt == "@id" if v.dt is not None else F.lit(True)) if v.info.kind == "mixed" or v.info.kind == "iri" and not v.info.template and not v.info.row else F.lit(v.info.row)
+        return Value(F.when(v.col.isNotNull(), blank))
 
     def f_isnumeric(self, a) -> Value:
         v = self.value(a)
+        if v.info.kind == "mixed" and v.dt is not None:
+            return Value(F.when(v.col.isNotNull(), number_of(v.col, v.dt).isNotNull()))
         return Value(F.when(v.col.isNotNull(), F.lit(v.info.kind == "lit" and self.type(v).startswith(NUMERIC))))
 
     def _kind(self, a, kind: str) -> Value:
         v = self.value(a)
-        if v.info.kind == "mixed" and isinstance(a, Var) and f"__dt_{a.name}" in self.frame.df.columns:
-            iri = F.col(f"__dt_{a.name}") == "@id"
-            return Value(iri if kind == "iri" else ~iri)
+        if v.info.kind == "mixed" and v.dt is not None:
+            iri = v.dt == "@id"
+            return Value(F.when(v.col.isNotNull(), iri & ~v.col.startswith("_:") if kind == "iri" else ~iri))
         return Value(F.when(v.col.isNotNull(), F.lit((v.info.kind == kind or kind == "lit" and v.info.kind == "mixed") and not v.info.row)))
 
     def f_sameterm(self, a, b) -> Value:
-        return Value(self.compare("=", a, b))
+        """Alike in spelling, datatype and tag: 1 and 1.0 are equal, not the same term."""
+        x, y = self.value(a), self.value(b)
+        tag = lambda v: F.lower(v.lang) if v.lang is not None else F.lit(None).cast("string")
+        p, q = shown(x.col, x.info).cast("string"), shown(y.col, y.info).cast("string")
+        c = (p == q) & self.datatype(x).eqNullSafe(self.datatype(y)) & tag(x).eqNullSafe(tag(y))
+        return Value(F.when(p.isNotNull() & q.isNotNull(), c))
 
     def f_iri(self, a) -> Value:
         return Value(self.col(a).cast("string"), Info("iri"))
@@ -308,7 +385,30 @@ class Expressions:
         return Value(F.struct(*[self.col(v).alias(k.value) for k, v in zip(items[::2], items[1::2])]), Info("map"))
 
     def f_member(self, a, name) -> Value:
-        return Value(self.value(a).col.getField(name.value))
+        return Value(self.value(a).col[name.value])
+
+    def f_sorted(self, a) -> Value:
+        c = self.value(a).col
+        return Value(F.coalesce(F.array_sort(c), F.array().cast("array<string>")), Info("list"))
+
+    def f_mapof(self, a) -> Value:
+        """A map of a list of structs (key, value)."""
+        c = self.value(a).col
+        return Value(F.coalesce(F.map_from_entries(F.array_sort(c)), F.create_map().cast("map<string,string>")), Info("map"))
+
+    def f_bm25(self, text, words, idf, mean) -> Value:
+        """The score of a text by statistics of its corpus; null of what is no string."""
+        from ..operators.search import B, K1, terms, times
+
+        v = self.value(text)
+        string = v.dt.isin(XSD + "string", RDF + "langString") if v.dt is not None else F.lit(v.info.kind != "iri")
+        t = terms(shown(v.col, v.info).cast("string"))
+        norm = K1 * (1 - B + B * F.size(t) / F.lit(mean.value))
+        tf = [times(t, w) for w in words.value]
+        score = F.lit(0.0)
+        for n, w in zip(tf, idf.value):
+            score = score + F.lit(w) * n * (K1 + 1) / (n + norm)
+        return Value(F.when(v.col.isNotNull() & string, score), Info("lit", dt=XSD + "double"))
 
     def f_size(self, a) -> Value:
         v = self.value(a)
@@ -430,7 +530,7 @@ def _comparable(a: str, b: str) -> bool:
 
 
 SIMPLE = {
-    "strlen": lambda s: F.char_length(s).cast("bigint"), "ucase": F.upper, "lcase": F.lower, "upper": F.upper, "lower": F.lower, "toupper": F.upper, "tolower": F.lower,
+    "strlen": lambda s: F.char_length(s).cast("bigint"), "upper": F.upper, "lower": F.lower, "toupper": F.upper, "tolower": F.lower,
     "contains": lambda a, b: a.contains(b), "strstarts": lambda a, b: a.startswith(b), "strends": lambda a, b: a.endswith(b), "startswith": lambda a, b: a.startswith(b), "endswith": lambda a, b: a.endswith(b),
     "concat": lambda *a: F.concat(*[x.cast("string") for x in a]), "strbefore": S.before, "strafter": S.after, "encode_for_uri": S.encode_for_uri, "encodeforuri": S.encode_for_uri,
     "replaceall": lambda s, a, b: F.replace(s, a, b), "trim": F.trim, "ltrim": F.ltrim, "rtrim": F.rtrim, "left": F.left, "right": F.right,

@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ir import Choice, Inverse, Iri, NotIn, Repeat, Sequence, Shortest, Triple, Var
-from .frame import Frame, Info, is_term, joined, shown, united
+from .frame import Frame, Info, is_term, joined, key_of, shown, united
 
 #: Rounds of a fixpoint after which it is taken to be wrong.
 MOST_ROUNDS = 10_000
@@ -77,10 +79,28 @@ def _uniform(f: Frame) -> Frame:
     return Frame(f.df.select(shown(F.col("a"), i).cast("string").alias("a"), shown(F.col("b"), j).cast("string").alias("b")), {"a": Info("iri"), "b": Info("iri" if j.kind == "iri" else "mixed")})
 
 
+def reached(step: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of the transitive closure of distinct pairs, by squaring: after k
+    rounds all of less than 2^k steps are known, and those of exactly 2^k steps take them
+    further. What is known stays where it was written."""
+    known, power = [step], step
+    for _ in range(MOST_ROUNDS):
+        every = reduce(DataFrame.union, known)
+        hop = power.select(F.col("a").alias("m"), F.col("b").alias("c"))
+        new = every.join(hop, every["b"] == hop["m"]).select("a", F.col("c").alias("b")).distinct()
+        new = kept(new.join(every, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            return every
+        known.append(new)
+        power = kept(power.join(hop, power["b"] == hop["m"]).select("a", F.col("c").alias("b")).distinct())
+    raise RuntimeError("a closure did not end")
+
+
 def closure(c, path: Repeat, start: DataFrame | None = None) -> Frame:
     """Distinct pairs that low to high steps connect; with low 0 each node of the edges with
-    itself. start: one column of the first ends that matter. Frontier by frontier: pairs that
-    are known aren't walked again, so cycles end."""
+    itself. start: one column of the first ends that matter; from these it goes frontier by
+    frontier, without them by squaring. Pairs that are known aren't walked again, so cycles
+    end."""
     f = _uniform(edges(c, path.path))
     step = kept(f.df.distinct())
     nodes = step.select("a").union(step.select("b")).distinct().toDF("a")
@@ -98,8 +118,7 @@ def closure(c, path: Repeat, start: DataFrame | None = None) -> Frame:
             if n >= low:
                 out = layer if out is None else out.union(layer)
         if high is None:  # low or more: walk on from the last layer
-            seen = kept(out.distinct())
-            out = _walk(seen, seen, hop)
+            out = _walk(kept(out.distinct()), hop)
         return Frame(out.distinct(), f.info)
     if high == 1:
         return Frame(identity.union(first).distinct(), f.info)
@@ -109,40 +128,50 @@ def closure(c, path: Repeat, start: DataFrame | None = None) -> Frame:
             layer = layer.join(hop, layer["b"] == hop["m"]).select("a", F.col("c").alias("b")).distinct()
             out = out.union(layer)
         return Frame(out.distinct(), f.info)
-    seen = kept(first)
-    out = _walk(seen, seen, hop)
+    out = reached(step) if start is None else _walk(kept(first), hop)
     return Frame(out.union(identity).distinct() if low == 0 else out, f.info)
 
 
-def _walk(seen: DataFrame, frontier: DataFrame, hop: DataFrame) -> DataFrame:
+def _walk(frontier: DataFrame, hop: DataFrame) -> DataFrame:
+    """The pairs of a frontier and all that they lead to; each round is written once."""
+    known = [frontier]
     for _ in range(MOST_ROUNDS):
         new = frontier.join(hop, frontier["b"] == hop["m"]).select("a", F.col("c").alias("b")).distinct()
-        frontier = kept(new.join(seen, ["a", "b"], "left_anti"))
+        frontier = kept(new.join(reduce(DataFrame.union, known), ["a", "b"], "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = kept(seen.union(frontier))
+            return reduce(DataFrame.union, known)
+        known.append(frontier)
     raise RuntimeError("a path did not end")
 
 
+def _bound_ends(so_far: Frame | None, x, info: Info, kind) -> DataFrame | None:
+    """The distinct values that a frame has for an end of a path, as the path's edges carry
+    them; None where it has none for all rows, or carries them otherwise."""
+    if so_far is None or not isinstance(x, Var) or x.name not in so_far.info:
+        return None
+    i = so_far.info[x.name]
+    if not i.bound or i.row != info.row or info.template is not None and i.template != info.template:
+        return None
+    return so_far.df.select((F.col(x.name) if i.template == info.template else shown(F.col(x.name), i)).cast(kind).alias("a"))
+
+
 def frame(c, t: Triple, so_far: Frame | None) -> Frame:
-    """Solutions of a triple whose predicate is a path."""
+    """Solutions of a triple whose predicate is a path. A closure starts from a constant end,
+    else from the values that the patterns before have for one."""
     if isinstance(t.p, Repeat):
-        start, backwards = None, False
-        if isinstance(t.s, Iri):
-            start = t.s
-        elif isinstance(t.o, Iri):
-            start, backwards = t.o, True
-        path = Repeat(Inverse(t.p.path), t.p.low, t.p.high) if backwards else t.p
-        if start is not None:
-            e = _uniform(edges(c, path.path))
-            from .frame import key_of
-
-            i = e.info["a"]
-            value = key_of(i.template, start.value) if i.template else start.value
-            d = c.spark.range(1).select(F.lit(value).cast(e.df.schema["a"].dataType).alias("a"))
-            f = closure(c, path, d)
-        else:
-            f = closure(c, path)
+        e = _uniform(edges(c, t.p.path))
+        kind, start, backwards = e.df.schema["a"].dataType, None, False
+        for end, x in (("a", t.s), ("b", t.o)):
+            i = e.info[end]
+            if isinstance(x, Iri):
+                value = key_of(i.template, x.value) if i.template else x.value
+                start = c.spark.range(1).select(F.lit(value).cast(kind).alias("a"))
+            elif not isinstance(t.s, Iri) and not isinstance(t.o, Iri):
+                start = _bound_ends(so_far, x, i, kind)
+            if start is not None:
+                backwards = end == "b"
+                break
+        f = closure(c, Repeat(Inverse(t.p.path), t.p.low, t.p.high) if backwards else t.p, start)
         if backwards:
             f = Frame(f.df.select(F.col("b").alias("a"), F.col("a").alias("b")), {"a": f.info["b"], "b": f.info["a"]})
     else:
@@ -165,7 +194,13 @@ def frame(c, t: Triple, so_far: Frame | None) -> Frame:
 def shortest(c, p: Shortest) -> Frame:
     """Paths by breadth: layers of partial paths carry their nodes. single keeps one path to
     each pair of ends (the least list of nodes), all every path of that length; trails all
-    paths that use no edge twice."""
+    paths that use no edge twice. A search goes from a constant end, and ends once all ends
+    that are asked for are met."""
+    if not isinstance(p.o, Var) and isinstance(p.s, Var):  # against the edges, and turned round
+        way = {"out": "in", "in": "out"}.get(p.direction, p.direction)
+        f = shortest(c, replace(p, s=p.o, o=p.s, direction=way))
+        back = F.struct(F.reverse(F.col(p.path)["nodes"]).alias("nodes"), F.reverse(F.col(p.path)["edges"]).alias("edges"))
+        return Frame(f.df.withColumn(p.path, back), f.info)
     parts = [_uniform(edges(c, Iri(i))) for i in p.predicates]
     parts = [Frame(f.df.withColumn("p", F.lit(i)), f.info) for f, i in zip(parts, p.predicates)]
     info = parts[0].info
@@ -205,12 +240,15 @@ def shortest(c, p: Shortest) -> Frame:
         layer = kept(layer)
         if layer.isEmpty():
             break
+        met = p.mode != "trails" and not isinstance(p.o, Var) and n >= p.low and not held(layer, "last", p.o).isEmpty()
         if p.mode != "trails":
-            pairs = layer.select("first", "last").distinct()
-            seen = kept(pairs if seen is None else seen.union(pairs))
+            pairs = layer.select("first", "last").distinct()  # of a written layer
+            seen = pairs if seen is None else seen.union(pairs)
         if n >= p.low:
             hit = held(layer, "last", p.o)
             out = hit if out is None else out.union(hit)
+        if met and not isinstance(p.s, Var):  # one pair of ends, and this was its layer
+            break
         if n > MOST_ROUNDS:
             raise RuntimeError("a path search did not end")
     if out is None:

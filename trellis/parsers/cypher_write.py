@@ -1,12 +1,12 @@
-"""Cypher's writing clauses on a fact store: CREATE, MERGE, SET, REMOVE and DELETE after any
-MATCH; each makes flakes to append."""
+"""Cypher's writing clauses on a fact store: CREATE, MERGE, SET, REMOVE, DELETE and FOREACH after
+any MATCH or UNWIND; each makes flakes to append."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..ir import TYPE, XSD, Group, Iri, Lit, Optional, Triple, Var, variables
+from ..ir import TYPE, XSD, Group, Iri, Lit, Optional, Triple, Unwind, Var, variables
 from ..plans.compile import Compiler, Dataset
 from ..plans.expr import Expressions
 from ..plans.frame import Frame, Info, xsd_of
@@ -90,7 +90,8 @@ def write(spark: SparkSession, flakes: DataFrame, text: str, vocab: str, t: int,
         nonlocal flakes
         flakes = flakes.union(new.select(columns))
 
-    while p.peek()[0] != "end":
+    def clause() -> None:
+        nonlocal t
         if p.word("MATCH"):
             p.match()
         elif p.word("OPTIONAL"):
@@ -99,6 +100,20 @@ def write(spark: SparkSession, flakes: DataFrame, text: str, vocab: str, t: int,
             p.match()
             inner, p.parts = p.parts, outside
             p.parts.append(Optional(Group(tuple(inner))))
+        elif p.word("UNWIND"):
+            e = p.expr()
+            p.word("AS")
+            p.parts.append(Unwind(e, p.name()))
+        elif p.word("FOREACH"):
+            p.need("(")
+            v = p.name()
+            p.word("IN")
+            outside, e = p.parts, p.expr()
+            p.need("|")
+            p.parts = [*p.parts, Unwind(e, v)]
+            while not p.op(")"):
+                clause()
+            p.parts = outside
         elif p.word("CREATE"):
             triples, props, nodes = p.template()
             append(fl.insert(flakes, created(fresh(solutions(), nodes), triples, props), t))
@@ -158,4 +173,7 @@ def write(spark: SparkSession, flakes: DataFrame, text: str, vocab: str, t: int,
             raise ValueError(f"unexpected {p.peek()[1]!r}")
         p.op(";")
         t += 1
+
+    while p.peek()[0] != "end":
+        clause()
     return flakes

@@ -63,12 +63,19 @@ class FlakeGraph:
     def types(self) -> dict[str, set[str]]:
         """Datatypes of each predicate's objects: the store's schema, one row a predicate."""
         if self._types is None:
-            rows = self.flakes.select("p", "dt").distinct().limit(MOST_TYPES).collect()
-            self._types = {}
-            for r in rows:
+            rows = self.flakes.select("p", "dt").distinct().limit(MOST_TYPES + 1).collect()
+            self._types, self._whole = {}, len(rows) <= MOST_TYPES
+            for r in rows if self._whole else ():
                 self._types.setdefault(r.p, set()).add(r.dt)
         return self._types
 
+    def types_of(self, p: str) -> set[str]:
+        """Those of one predicate; asked for by itself where the schema is too large to hold."""
+        known = self.types()
+        if not self._whole and p not in known:
+            known[p] = {r.dt for r in self.flakes.where(F.col("p") == p).select("dt").distinct().limit(3).collect()}
+        return known.get(p, set())
+
     def scan(self, t: Triple) -> Frame:
         df, info, cols, seen = self.facts(), {}, [], {}
         for c, x in zip("sp", (t.s, t.p)):
@@ -102,7 +109,7 @@ class FlakeGraph:
         return Frame(df.select(*cols), info)
 
     def _value(self, p, name: str) -> tuple[Column, Info, list[Column]]:
-        kinds = self.types().get(p.value, set()) if isinstance(p, Iri) else {"?", "!"}
+        kinds = self.types_of(p.value) if isinstance(p, Iri) else {"?", "!"}
         hidden = [F.col("dt").alias(f"__dt_{name}"), F.col("lang").alias(f"__lang_{name}")]
         if kinds == {"@id"}:
             return F.col("o"), Info("iri"), []
@@ -164,31 +171,47 @@ def upsert(flakes: DataFrame, new: DataFrame, t: int) -> DataFrame:
     return gone.union(insert(flakes, new, t))
 
 
-def update(spark: SparkSession, flakes: DataFrame, where, deletes: list[Triple], inserts: list[Triple], t: int, graph: str | None = None) -> DataFrame:
-    """Flakes of DELETE and INSERT templates for the solutions of `where`. A template with an
-    unbound part is left out for that solution."""
-    from ..plans.compile import Compiler, Dataset
+def graphs(flakes: DataFrame, using: list[str] | None = None, using_named: list[str] | None = None, home: str | None = None):
+    """The dataset of a store's present state: the default graph (or `home`) and the named ones;
+    `using` and `using_named` choose others."""
+    from ..plans.compile import Dataset
+
+    # the names of a store's graphs, as many as there are graphs
+    names = using_named if using_named is not None else [r.g for r in flakes.where("g is not null").select("g").distinct().orderBy("g").collect()]
+    default = merged([FlakeGraph(flakes, graph=g) for g in using]) if using else FlakeGraph(flakes, graph=home)
+    return Dataset(default, {g: FlakeGraph(flakes, graph=g) for g in names})
+
+
+def update(spark: SparkSession, flakes: DataFrame, where, deletes: list, inserts: list, t: int, graph: str | None = None, data=None) -> DataFrame:
+    """Flakes of DELETE and INSERT templates for the solutions of `where` over `data` (the
+    store's graphs). A template is a triple, of `graph`, or a pair of a graph (a name, a
+    variable or None) and a triple; with an unbound part it is left out for that solution."""
+    from ..plans.compile import Compiler
+    from ..plans.expr import Expressions
 
-    f = Compiler(spark, Dataset(FlakeGraph(flakes, graph=graph))).group(where)
+    f = Compiler(spark, data or graphs(flakes, home=graph)).group(where)
+    e = Expressions(f)
 
-    def made(templates: list[Triple]) -> DataFrame | None:
+    def part(y) -> Column:
+        return e.col(y).cast("string") if isinstance(y, Var) else F.lit(y.value if isinstance(y, Iri) else y).cast("string")
+
+    def made(templates: list) -> DataFrame | None:
         rows = []
         for x in templates:
+            g, x = x if isinstance(x, tuple) else (graph, x)
             if isinstance(x.o, Var):
-                i = f.info[x.o.name]
-                hidden = f"__dt_{x.o.name}" in f.df.columns
-                dt = F.lit("@id") if i.kind == "iri" else F.col(f"__dt_{x.o.name}") if hidden else F.lit(i.dt or XSD + "string")
-                lang = F.col(f"__lang_{x.o.name}") if hidden and i.kind != "iri" else F.lit(None).cast("string")
-                o = F.col(x.o.name).cast("string")
+                v = e.value(x.o)
+                dt, lang = e.datatype(v), v.lang if v.lang is not None else F.lit(None)
             else:
-                o = F.lit(x.o.value if isinstance(x.o, Iri) else lexical(x.o))
-                dt = F.lit("@id" if isinstance(x.o, Iri) else x.o.dt or (RDF + "langString" if x.o.lang else XSD + "string"))
-                lang = F.lit(None if isinstance(x.o, Iri) else x.o.lang).cast("string")
-            part = lambda y: F.col(y.name).cast("string") if isinstance(y, Var) else F.lit(y.value)
-            rows.append(F.struct(F.lit(graph).cast("string").alias("g"), part(x.s).alias("s"), part(x.p).alias("p"), o.alias("o"), dt.alias("dt"), lang.alias("lang"), F.lit(None).cast("int").alias("i")))
+                iri = isinstance(x.o, Iri)
+                dt, lang = F.lit("@id" if iri else x.o.dt or (RDF + "langString" if x.o.lang else XSD + "string")), F.lit(None if iri else x.o.lang)
+            o = part(x.o) if isinstance(x.o, (Var, Iri)) else F.lit(lexical(x.o))
+            named = F.lit(isinstance(g, Var))  # a graph that isn't bound makes nothing
+            rows.append(F.struct(part(g).alias("g"), part(x.s).alias("s"), part(x.p).alias("p"), o.alias("o"), dt.alias("dt"), lang.cast("string").alias("lang"), F.lit(None).cast("int").alias("i"), named.alias("named")))
         if not rows:
             return None
-        return f.df.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("s is not null and p is not null and o is not null")
+        df = f.df.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("s is not null and p is not null and o is not null and (g is not null or not named)")
+        return df.drop("named")
 
     gone, new = made(deletes), made(inserts)
     out = delete(flakes, gone, t) if gone is not None else flakes.limit(0)
@@ -198,6 +221,13 @@ def update(spark: SparkSession, flakes: DataFrame, where, deletes: list[Triple],
     return out
 
 
+def checked(commits: DataFrame, moment) -> None:
+    """An error if a commit at this moment would stand before one that is there."""
+    last = commits.agg(F.max("ts")).first()[0]
+    if last is not None and commits.sparkSession.range(1).select(F.lit(moment).cast("timestamp") < F.lit(last)).first()[0]:
+        raise ValueError(f"commit time {moment} is before the last one, {last}")
+
+
 def resolve_time(commits: DataFrame, moment) -> int:
     """The last t of commits (t, ts) at or before a moment."""
     got = commits.where(F.col("ts") <= F.lit(moment)).agg(F.max("t")).first()[0]

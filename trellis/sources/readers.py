@@ -23,9 +23,28 @@ def unescape(s: str) -> str:
     return re.sub(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else ESCAPES.get(m[3], m[3]), s) if "\\" in s else s
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files; Spark itself opens .gz ones, .zst ones are opened as streams."""
+    if not path.endswith(".zst"):
+        return spark.read.text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        import zstandard
+
+        for b in batches:
+            for raw in b.column(0):
+                text = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw.as_py()), read_across_frames=True), "utf-8", newline="\n")
+                while rows := [x.rstrip("\r\n") for x in text.readlines(1 << 22)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
+
+
 def nquads(spark: SparkSession, path: str, t: int = 1, strict: bool = True) -> DataFrame:
-    """Flakes of N-Triples or N-Quads, .gz too; read and parsed in parallel by line. A line
-    that is neither is an error, or left out if not strict."""
+    """Flakes of N-Triples or N-Quads, .gz and .zst too; read and parsed in parallel by line.
+    A line that is neither is an error, or left out if not strict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -47,7 +66,56 @@ def nquads(spark: SparkSession, path: str, t: int = 1, strict: bool = True) -> D
             columns = list(zip(*rows)) or [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return spark.read.text(path).mapInArrow(run, SCHEMA)
+    return _lines(spark, path).mapInArrow(run, SCHEMA)
+
+
+def read(spark: SparkSession, path: str, t: int = 1) -> DataFrame:
+    """Flakes of a file by its name: .nt and .nq (.gz, .zst), .ttl and .trig, .jsonld."""
+    kind = path.removesuffix(".gz").removesuffix(".zst").rpartition(".")[2].lower()
+    if kind in ("nt", "nq", "ntriples", "nquads"):
+        return nquads(spark, path, t)
+    whole = "\n".join(r[0] for r in _lines(spark, path).collect()) if kind in ("ttl", "trig", "jsonld") else ""
+    if kind in ("ttl", "trig"):
+        return turtle(spark, whole, t)
+    if kind == "jsonld":
+        return jsonld(spark, whole, t)
+    raise ValueError(f"unknown kind of file: {path}")
+
+
+def cypher_dump(spark: SparkSession, path: str, vocab: str, t: int = 1) -> DataFrame:
+    """Flakes of a dump of CREATE statements, one a line: (:Label {id: ..., key: value}) makes
+    the node `vocab + label/id`; lines that match two nodes by label and id and create a
+    relationship link them. Parsed in parallel by line."""
+    node = re.compile(r"\(\s*\w*\s*:\s*`?(\w+)`?\s*\{(.*?)\}\s*\)", re.S)
+    cell = re.compile(r"`?(\w+)`?\s*:\s*(?:'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\"|(true|false)|(-?\d+\.\d+(?:[eE][+-]?\d+)?)|(-?\d+))")
+    link = re.compile(r"CREATE\s*\(\s*(\w+)\s*\)\s*-\s*\[\s*\w*\s*:\s*`?(\w+)`?[^\]]*\]\s*->\s*\(\s*(\w+)\s*\)", re.I)
+    named = re.compile(r"\(\s*(\w+)\s*:\s*`?(\w+)`?\s*\{\s*id\s*:\s*(?:'([^']*)'|\"([^\"]*)\"|(-?\d+))\s*\}\s*\)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for line in b.column(0).to_pylist():
+                if m := link.search(line):
+                    ids = {n: f"{vocab}{label}/{a or b_ or c}" for n, label, a, b_, c in named.findall(line)}
+                    if m[1] not in ids or m[3] not in ids:
+                        raise ValueError(f"unknown ends: {line[:200]!r}")
+                    rows.append((ids[m[1]], vocab + m[2], ids[m[3]], "@id"))
+                    continue
+                for label, body in node.findall(line) if re.match(r"\s*CREATE\b", line, re.I) else ():
+                    cells = []
+                    for k, one, two, flag, real, whole in cell.findall(body):
+                        text = re.sub(r"\\(.)", r"\1", one or two)
+                        cells.append((k, flag or real or whole or text, XSD + ("boolean" if flag else "double" if real else "integer" if whole else "string")))
+                    keys = {k: v for k, v, _ in cells}
+                    if "id" not in keys:
+                        raise ValueError(f"a node without id: {line[:200]!r}")
+                    s = f"{vocab}{label}/{keys['id']}"
+                    rows += [(s, TYPE, vocab + label, "@id"), *[(s, vocab + k, v, dt) for k, v, dt in cells]]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["s", "p", "o", "dt"])
+
+    x = _lines(spark, path).mapInArrow(run, "s string, p string, o string, dt string")
+    return x.selectExpr("cast(null as string) g", "s", "p", "o", "dt", "cast(null as string) lang", "cast(null as int) i", f"cast({t} as bigint) t", "true op")
 
 
 def turtle(spark: SparkSession, text: str, t: int = 1) -> DataFrame:
@@ -148,4 +216,4 @@ def results_json(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
 
 
-__all__ = ["TYPE", "Iri", "csv", "jsonld", "ndjson", "nquads", "results_json", "turtle"]
+__all__ = ["TYPE", "Iri", "csv", "cypher_dump", "jsonld", "ndjson", "nquads", "read", "results_json", "turtle"]

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..ir import TYPE, XSD
 
 
+#: What a string column holds where it holds an IRI.
+IRI = r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$"
+
+
 def _escaped(c: Column) -> Column:
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -36,12 +40,69 @@ def bindings(df: DataFrame) -> DataFrame:
     def one(c: str) -> Column:
         v = F.col(c).cast("string")
         if kinds[c] == "string":
-            return F.when(v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$"), F.struct(F.lit("uri").alias("type"), v.alias("value"), F.lit(None).cast("string").alias("datatype"))).when(v.isNotNull(), F.struct(F.lit("literal").alias("type"), v.alias("value"), F.lit(None).cast("string").alias("datatype")))
+            return F.when(v.rlike(IRI), F.struct(F.lit("uri").alias("type"), v.alias("value"), F.lit(None).cast("string").alias("datatype"))).when(v.isNotNull(), F.struct(F.lit("literal").alias("type"), v.alias("value"), F.lit(None).cast("string").alias("datatype")))
         return F.when(v.isNotNull(), F.struct(F.lit("literal").alias("type"), v.alias("value"), F.lit(xsd_of(kinds[c])).alias("datatype")))
 
     return df.select(F.to_json(F.struct(*[one(c).alias(c) for c in df.columns])).alias("value"))
 
 
+def results_xml(df: DataFrame) -> DataFrame:
+    """A line of SPARQL results XML, <result>...</result>, for each row; unbound variables are
+    left out. xml_head() and "</results></sparql>" go around them."""
+    from ..plans.frame import xsd_of
+
+    kinds = dict(df.dtypes)
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def one(c: str) -> Column:
+        v = F.col(c).cast("string")
+        literal = F.concat(F.lit(f'<literal datatype="{xsd_of(kinds[c])}">' if kinds[c] != "string" else "<literal>"), escaped(v), F.lit("</literal>"))
+        term = F.when(v.startswith("_:"), F.concat(F.lit("<bnode>"), escaped(v.substr(3, 1 << 30)), F.lit("</bnode>"))).when(v.rlike(IRI), F.concat(F.lit("<uri>"), escaped(v), F.lit("</uri>"))).otherwise(literal) if kinds[c] == "string" else literal
+        return F.when(v.isNotNull(), F.concat(F.lit(f'<binding name="{c}">'), term, F.lit("</binding>"))).otherwise(F.lit(""))
+
+    return df.select(F.concat(F.lit("<result>"), *[one(c) for c in df.columns], F.lit("</result>")).alias("value"))
+
+
+def xml_head(names: list[str]) -> str:
+    return '<?xml version="1.0"?><sparql xmlns="http://www.w3.org/2005/sparql-results#"><head>' + "".join(f'<variable name="{n}"/>' for n in names) + "</head><results>"
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """A line of JSON for each row, every value with its type: {"x": {"@value": .., "@type": ..}}
+    or {"@id": ..}; what is unbound is left out."""
+    from ..plans.frame import xsd_of
+
+    kinds = dict(df.dtypes)
+
+    def one(c: str) -> Column:
+        v = F.col(c).cast("string")
+        value = F.struct(F.lit(None).cast("string").alias("@id"), v.alias("@value"), F.lit(xsd_of(kinds[c]) or XSD + "string").alias("@type"))
+        iri = F.struct(v.alias("@id"), F.lit(None).cast("string").alias("@value"), F.lit(None).cast("string").alias("@type"))
+        return F.when(v.isNull(), None).when(v.rlike(IRI), iri).otherwise(value) if kinds[c] == "string" else F.when(v.isNotNull(), value)
+
+    return df.select(F.to_json(F.struct(*[one(c).alias(c) for c in df.columns])).alias("value"))
+
+
+def compact(df: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """A line of short JSON for readers with little room: values as they are, IRIs by prefixes,
+    what is unbound left out."""
+
+    def one(c: str, kind: str) -> Column:
+        v = F.col(c)
+        for k, iri in sorted((prefixes or {}).items(), key=lambda x: len(x[1])) if kind == "string" else ():
+            v = F.when(F.col(c).startswith(iri), F.concat(F.lit(k + ":"), F.substring(F.col(c), len(iri) + 1, 1 << 30))).otherwise(v)
+        return v.alias(c)
+
+    return df.select(F.to_json(F.struct(*[one(c, k) for c, k in df.dtypes])).alias("value"))
+
+
+def cypher_json(df: DataFrame) -> DataFrame:
+    """A line of a Cypher result, {"row":[..]}, for each row, nulls among its values."""
+    cells = [F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1) for c in df.columns]
+    row = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit("null")).otherwise(x) for c, x in zip(df.columns, cells)])
+    return df.select(F.concat(F.lit('{"row":['), row, F.lit("]}")).alias("value"))
+
+
 def delimited(df: DataFrame, sep: str = ",") -> DataFrame:
     """CSV (or TSV with a tab) lines; the header isn't among them."""
     def cell(c: str) -> Column:

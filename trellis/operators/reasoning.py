@@ -4,27 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..ir import OWL, RDF, RDFS, TYPE, Group, Iri, Triple, Union, Var
-from ..plans.paths import kept
+from ..ir import OWL, RDF, RDFS, TYPE, Bind, Call, Filter, Group, InGraph, Iri, Query, Sub, Triple, Union, Var, variables
+from ..plans.paths import kept, reached
 
 MOST_ROUNDS = 100
 
 
 def closure(pairs: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of the transitive closure."""
-    step = kept(pairs.toDF("a", "b").distinct())
-    seen = frontier = step
-    for _ in range(MOST_ROUNDS):
-        new = frontier.select("a", F.col("b").alias("m")).join(step.toDF("m", "b"), "m").select("a", "b").distinct()
-        frontier = kept(new.join(seen, ["a", "b"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = kept(seen.union(frontier))
-    raise RuntimeError("a closure did not end")
+    return reached(kept(pairs.toDF("a", "b").distinct()))
 
 
 def _of(facts: DataFrame, p: str, s: str = "s", o: str = "o") -> DataFrame:
@@ -39,19 +32,21 @@ def _list_members(facts: DataFrame) -> DataFrame:
     return every.join(first, "cell").select("head", "item").distinct()
 
 
-# Each rule makes facts (s, p, o) of all facts; names are those of the OWL 2 RL profile.
+# Each rule makes facts (s, p, o) of all facts f; names are those of the OWL 2 RL profile. A rule
+# with a second parameter joins the schema in f with single facts, those of d: in later rounds,
+# the new ones.
 
 
-def prp_dom(f):
-    return f.alias("t").join(_of(f, RDFS + "domain", "p", "c"), "p").select("s", F.lit(TYPE).alias("p"), F.col("c").alias("o"))
+def prp_dom(f, d):
+    return d.alias("t").join(_of(f, RDFS + "domain", "p", "c"), "p").select("s", F.lit(TYPE).alias("p"), F.col("c").alias("o"))
 
 
-def prp_rng(f):
-    return f.alias("t").join(_of(f, RDFS + "range", "p", "c"), "p").select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o"))
+def prp_rng(f, d):
+    return d.alias("t").join(_of(f, RDFS + "range", "p", "c"), "p").select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o"))
 
 
-def prp_spo1(f):
-    return f.join(_of(f, RDFS + "subPropertyOf", "p", "q"), "p").select("s", F.col("q").alias("p"), "o")
+def prp_spo1(f, d):
+    return d.join(_of(f, RDFS + "subPropertyOf", "p", "q"), "p").select("s", F.col("q").alias("p"), "o")
 
 
 def prp_spo2(f):
@@ -65,21 +60,23 @@ def prp_spo2(f):
     return a.join(pairs, "p1").join(b, ["m", "p2"]).select("s", F.col("q").alias("p"), "o")
 
 
-def prp_symp(f):
+def prp_symp(f, d):
     sym = _of(f, TYPE, "p", "c").where(F.col("c") == OWL + "SymmetricProperty").select("p")
-    return f.join(sym, "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
+    return d.join(sym, "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
 
 
 def prp_trp(f):
+    """The whole closure of each transitive property, pairs of one property by themselves."""
     tr = _of(f, TYPE, "p", "c").where(F.col("c") == OWL + "TransitiveProperty").select("p")
     t = f.join(tr, "p")
-    return t.select("p", "s", F.col("o").alias("m")).join(t.select("p", F.col("s").alias("m"), "o"), ["p", "m"]).select("s", "p", "o")
+    every = closure(t.select(F.struct("p", F.col("s").alias("x")).alias("a"), F.struct("p", F.col("o").alias("x")).alias("b")))
+    return every.select(F.col("a.x").alias("s"), F.col("a.p").alias("p"), F.col("b.x").alias("o"))
 
 
-def prp_inv(f):
+def prp_inv(f, d):
     inv = _of(f, OWL + "inverseOf", "p", "q")
     inv = inv.union(inv.select("q", "p")).distinct()
-    return f.join(inv, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
+    return d.join(inv, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
 
 
 def prp_fp(f):
@@ -96,10 +93,10 @@ def prp_ifp(f):
     return t.join(least, ["p", "o"]).where("s <> m").select("s", F.lit(OWL + "sameAs").alias("p"), F.col("m").alias("o"))
 
 
-def prp_eqp(f):
+def prp_eqp(f, d):
     eq = _of(f, OWL + "equivalentProperty", "p", "q")
     eq = eq.union(eq.select("q", "p")).distinct()
-    return f.join(eq, "p").select("s", F.col("q").alias("p"), "o")
+    return d.join(eq, "p").select("s", F.col("q").alias("p"), "o")
 
 
 def prp_key(f):
@@ -110,14 +107,14 @@ def prp_key(f):
     return t.join(least, ["c", "p", "o"]).where("s <> m").select("s", F.lit(OWL + "sameAs").alias("p"), F.col("m").alias("o"))
 
 
-def cax_sco(f):
-    return _of(f, TYPE, "s", "c").join(_of(f, RDFS + "subClassOf", "c", "d"), "c").select("s", F.lit(TYPE).alias("p"), F.col("d").alias("o"))
+def cax_sco(f, d):
+    return _of(d, TYPE, "s", "c").join(_of(f, RDFS + "subClassOf", "c", "d"), "c").select("s", F.lit(TYPE).alias("p"), F.col("d").alias("o"))
 
 
-def cax_eqc(f):
+def cax_eqc(f, d):
     eq = _of(f, OWL + "equivalentClass", "c", "d")
     eq = eq.union(eq.select("d", "c")).distinct()
-    return _of(f, TYPE, "s", "c").join(eq, "c").select("s", F.lit(TYPE).alias("p"), F.col("d").alias("o"))
+    return _of(d, TYPE, "s", "c").join(eq, "c").select("s", F.lit(TYPE).alias("p"), F.col("d").alias("o"))
 
 
 def scm_sco(f):
@@ -134,13 +131,13 @@ def _restrictions(f, what: str):
     return _of(f, OWL + what, "r", "v").join(_of(f, OWL + "onProperty", "r", "p"), "r")
 
 
-def cls_hv1(f):
-    return _of(f, TYPE, "s", "r").join(_restrictions(f, "hasValue"), "r").select("s", "p", F.col("v").alias("o"))
+def cls_hv1(f, d):
+    return _of(d, TYPE, "s", "r").join(_restrictions(f, "hasValue"), "r").select("s", "p", F.col("v").alias("o"))
 
 
-def cls_hv2(f):
+def cls_hv2(f, d):
     r = _restrictions(f, "hasValue").select("r", "p", F.col("v").alias("o"))
-    return f.join(r, ["p", "o"]).select("s", F.lit(TYPE).alias("p"), F.col("r").alias("o"))
+    return d.join(r, ["p", "o"]).select("s", F.lit(TYPE).alias("p"), F.col("r").alias("o"))
 
 
 def cls_svf1(f):
@@ -163,14 +160,14 @@ def cls_int1(f):
     return have.join(need, "c").where("n = k").select("s", F.lit(TYPE).alias("p"), F.col("c").alias("o"))
 
 
-def cls_int2(f):
+def cls_int2(f, d):
     parts = _of(f, OWL + "intersectionOf", "c", "head").join(_list_members(f), "head").select("c", "item")
-    return _of(f, TYPE, "s", "c").join(parts, "c").select("s", F.lit(TYPE).alias("p"), F.col("item").alias("o"))
+    return _of(d, TYPE, "s", "c").join(parts, "c").select("s", F.lit(TYPE).alias("p"), F.col("item").alias("o"))
 
 
-def cls_uni(f):
+def cls_uni(f, d):
     parts = _of(f, OWL + "unionOf", "c", "head").join(_list_members(f), "head").select("c", "item")
-    return _of(f, TYPE, "s", "item").join(parts, "item").select("s", F.lit(TYPE).alias("p"), F.col("c").alias("o"))
+    return _of(d, TYPE, "s", "item").join(parts, "item").select("s", F.lit(TYPE).alias("p"), F.col("c").alias("o"))
 
 
 def cls_oo(f):
@@ -185,8 +182,18 @@ def cls_maxc2(f):
     return t.join(least, ["s", "p"]).where("o <> m").select(F.col("o").alias("s"), F.lit(OWL + "sameAs").alias("p"), F.col("m").alias("o"))
 
 
+def cls_maxqc3(f):
+    """Of a class with at most one value of a property in a class, such values are the same."""
+    r = _of(f, OWL + "maxQualifiedCardinality", "r", "v").where(F.col("v") == "1").join(_of(f, OWL + "onProperty", "r", "p"), "r").join(_of(f, OWL + "onClass", "r", "k"), "r").select("r", "p", "k")
+    t = _of(f, TYPE, "s", "r").join(r, "r").join(f, ["s", "p"]).select("s", "p", "k", "o").distinct()
+    thing = t.where(F.col("k") == OWL + "Thing")
+    t = thing.union(t.join(_of(f, TYPE, "o", "k"), ["o", "k"]).select("s", "p", "k", "o")).distinct()
+    least = t.groupBy("s", "p", "k").agg(F.min("o").alias("m"))
+    return t.join(least, ["s", "p", "k"]).where("o <> m").select(F.col("o").alias("s"), F.lit(OWL + "sameAs").alias("p"), F.col("m").alias("o"))
+
+
 RDFS_RULES = [prp_dom, prp_rng, prp_spo1, cax_sco, scm_sco, scm_spo]
-RL_RULES = RDFS_RULES + [prp_spo2, prp_symp, prp_trp, prp_inv, prp_fp, prp_ifp, prp_eqp, prp_key, cax_eqc, cls_hv1, cls_hv2, cls_svf1, cls_avf, cls_int1, cls_int2, cls_uni, cls_oo, cls_maxc2]
+RL_RULES = RDFS_RULES + [prp_spo2, prp_symp, prp_trp, prp_inv, prp_fp, prp_ifp, prp_eqp, prp_key, cax_eqc, cls_hv1, cls_hv2, cls_svf1, cls_avf, cls_int1, cls_int2, cls_uni, cls_oo, cls_maxc2, cls_maxqc3]
 
 
 def same(facts: DataFrame) -> DataFrame:
@@ -194,10 +201,13 @@ def same(facts: DataFrame) -> DataFrame:
     facts remain between each member and that one."""
     links = _of(facts, OWL + "sameAs", "a", "b")
     both = links.union(links.select("b", "a")).distinct()
+    both = kept(both)
     labels = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label")))
-    for _ in range(MOST_ROUNDS):
+    for _ in range(MOST_ROUNDS):  # a label's own label halves the way
         near = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        new = kept(labels.join(near, "a").select("a", F.least("label", "l").alias("label"), (F.col("l") < F.col("label")).alias("moved")))
+        new = labels.join(near, "a").select("a", F.least("label", "l").alias("next"), F.col("label").alias("old"))
+        up = new.select(F.col("a").alias("next"), F.col("next").alias("over"))
+        new = kept(new.join(up, "next").select("a", F.least("next", "over").alias("label"), (F.least("next", "over") != F.col("old")).alias("moved")))
         labels = new.select("a", "label")
         if new.where("moved").isEmpty():
             break
@@ -210,38 +220,73 @@ def same(facts: DataFrame) -> DataFrame:
     return out.select("s", "p", "o").union(links).distinct()
 
 
+def _schema(facts: DataFrame) -> DataFrame:
+    """Facts of the vocabularies that rules read."""
+    own = lambda c: F.col(c).startswith(OWL) | F.col(c).startswith(RDFS)
+    return facts.where(own("p") & (F.col("p") != OWL + "sameAs") | F.col("p").isin(RDF + "first", RDF + "rest") | (F.col("p") == TYPE) & own("o"))
+
+
 def materialised(facts: DataFrame, rules: list | None = None) -> DataFrame:
-    """facts (s, p, o) with all that the rules make of them. Equal subjects are written as
-    one in each round."""
+    """facts (s, p, o) with all that the rules make of them. After the first round, rules that
+    join the schema with single facts see the new facts alone, unless the schema grew. What
+    is known stays where it was written; equal subjects are written as one in each round."""
     rules = RL_RULES if rules is None else rules
-    known = kept(facts.select("s", "p", "o").distinct())
+    single = {r: len(signature(r).parameters) == 2 for r in rules}
+    known = [kept(facts.select("s", "p", "o").distinct())]
+    new = known[0]
     for _ in range(MOST_ROUNDS):
-        made = reduce(DataFrame.union, [r(known).select("s", "p", "o") for r in rules]).distinct()
-        new = kept(made.join(known, ["s", "p", "o"], "left_anti"))
+        every = reduce(DataFrame.union, known)
+        made = reduce(DataFrame.union, [(r(every, new) if single[r] else r(every)).select("s", "p", "o") for r in rules]).distinct()
+        new = kept(made.join(every, ["s", "p", "o"], "left_anti"))
         if new.isEmpty():
-            return known
-        known = known.union(new)
+            return every
+        known.append(new)
         if prp_fp in rules and not new.where(F.col("p") == OWL + "sameAs").isEmpty():
-            known = same(known)
-        known = kept(known)
+            new = kept(same(reduce(DataFrame.union, known)))
+            known = [new]
+        elif not _schema(new).isEmpty():
+            new = reduce(DataFrame.union, known)
     raise RuntimeError("inference did not end")
 
 
-def expand(group: Group, subclasses: dict[str, list[str]], subproperties: dict[str, list[str]], inverses: dict[str, str] | None = None, most: int = 50) -> Group:
-    """A group's patterns over all subclasses, subproperties and inverse properties, as
-    unions. The dicts hold closures; a pattern with more than `most` of them is left alone."""
+def expand(group: Group, subclasses: dict[str, list[str]], subproperties: dict[str, list[str]], inverses: dict[str, str] | None = None, most: int = 50, domains: dict[str, list[str]] | None = None, ranges: dict[str, list[str]] | None = None) -> Group:
+    """A group's patterns over all subclasses, subproperties and inverse properties, as unions.
+    The dicts hold closures; of more than `most` classes or properties a pattern takes those
+    in a list. domains, ranges: properties by the class that their subjects and objects are
+    of; for a pattern of a class these count as well."""
     out = []
     for t in group.parts:
         if not isinstance(t, Triple) or not isinstance(t.p, Iri):
             out.append(t)
             continue
-        ways = [t]
+        ways: list = [(t,)]
         if t.p.value == TYPE and isinstance(t.o, Iri):
-            ways += [Triple(t.s, t.p, Iri(c)) for c in subclasses.get(t.o.value, [])]
+            classes = [t.o.value, *subclasses.get(t.o.value, [])]
+            if len(classes) > most:
+                c = Var(f"_c{len(out)}")
+                ways = [(Triple(t.s, t.p, c), Filter(Call("in", (c, *map(Iri, classes)))))]
+            else:
+                ways = [(Triple(t.s, t.p, Iri(c)),) for c in classes]
+            for by, forth in ((domains or {}, True), (ranges or {}, False)):
+                names = dict.fromkeys(q for c in classes for p in by.get(c, []) for q in (p, *subproperties.get(p, [])))
+                other = Var(f"_d{len(out)}")
+                ways += [(Triple(t.s, Iri(p), other) if forth else Triple(other, Iri(p), t.s),) for p in names]
         else:
-            ways += [Triple(t.s, Iri(p), t.o) for p in subproperties.get(t.p.value, [])]
-            ways += [Triple(w.o, Iri(inverses[w.p.value]), w.s) for w in list(ways) if inverses and w.p.value in inverses]
-        out.append(t if len(ways) == 1 or len(ways) > most else Union(tuple(Group((w,)) for w in ways)))
+            names = [t.p.value, *subproperties.get(t.p.value, [])]
+            turned = [(n, inverses[n]) for n in names if inverses and n in inverses]
+            if len(names) > most:
+                p = Var(f"_p{len(out)}")
+                ways = [(Triple(t.s, p, t.o), Filter(Call("in", (p, *map(Iri, names)))))]
+            else:
+                ways = [(Triple(t.s, Iri(p), t.o),) for p in names]
+            ways += [(Triple(t.o, Iri(q), t.s),) for _, q in turned]
+        if len(ways) == 1:
+            out += ways[0]
+        elif domains or ranges:  # a subject of a class counts once, by however many facts
+            names = variables([t])
+            out.append(Sub(Query(Group((Union(tuple(Group(w) for w in ways)),)), [(Var(v), v) for v in names], distinct=True)))
+        else:
+            out.append(Union(tuple(Group(w) for w in ways)))
     return Group(tuple(out))
 
 
@@ -268,23 +313,42 @@ class Rule:
 def datalog(spark: SparkSession, facts: DataFrame, rules: list[Rule]) -> DataFrame:
     """facts (s, p, o, dt) with all that the rules insert, to a fixpoint."""
     from ..plans.compile import Compiler, Dataset
+    from ..plans.expr import Expressions
     from ..plans.frame import lexical
     from ..sources.flakes import FlakeGraph
 
-    known = kept(facts.select("s", "p", "o", "dt").distinct())
-    for _ in range(MOST_ROUNDS):
-        flakes = known.selectExpr("cast(null as string) g", "s", "p", "o", "dt", "cast(null as string) lang", "cast(null as int) i", "1L t", "true op")
-        c = Compiler(spark, Dataset(FlakeGraph(flakes, facts=flakes)))
+    known = [kept(facts.select("s", "p", "o", "dt").distinct())]
+    new, fresh = known[0], "urn:new"
+    as_flakes = lambda df: df.selectExpr("cast(null as string) g", "s", "p", "o", "dt", "cast(null as string) lang", "cast(null as int) i", "1L t", "true op")
+
+    def ways(r: Rule, first: bool) -> list[Group]:
+        """After the first round, a rule of plain patterns sees one of them among the new facts
+        at a time, and the others among all."""
+        if first or not all(isinstance(x, (Triple, Filter, Bind)) for x in r.where.parts):
+            return [r.where]
+        parts = r.where.parts
+        return [Group(tuple(InGraph(Iri(fresh), Group((x,))) if k == i else x for k, x in enumerate(parts))) for i, y in enumerate(parts) if isinstance(y, Triple)]
+
+    for n in range(MOST_ROUNDS):
+        every = as_flakes(reduce(DataFrame.union, known))
+        g, delta = FlakeGraph(every, facts=every), as_flakes(new)
+        # objects are carried alike in both
+        delta = FlakeGraph(every, facts=delta)
+        delta._types, delta._whole = g.types(), g._whole
+        c = Compiler(spark, Dataset(g, {fresh: delta}))
         made = []
         for r in rules:
-            f = c.group(r.where)
-            for t in r.insert:
-                part = lambda x: F.col(x.name).cast("string") if isinstance(x, Var) else F.lit(x.value if isinstance(x, Iri) else lexical(x))
-                iri = isinstance(t.o, Iri) or isinstance(t.o, Var) and f.info[t.o.name].kind == "iri"
-                dt = F.lit("@id") if iri else F.col(f"__dt_{t.o.name}") if isinstance(t.o, Var) else F.lit(t.o.dt)
-                made.append(f.df.select(part(t.s).alias("s"), part(t.p).alias("p"), part(t.o).alias("o"), dt.alias("dt")))
-        new = kept(reduce(DataFrame.union, made).distinct().join(known, ["s", "p", "o", "dt"], "left_anti"))
+            for where in ways(r, n == 0):
+                f = c.group(where)
+                e = Expressions(f)
+                for t in r.insert:
+                    part = lambda x: e.col(x).cast("string") if isinstance(x, Var) else F.lit(x.value if isinstance(x, Iri) else lexical(x))  # noqa: E731, B023
+                    dt = e.datatype(e.value(t.o)) if isinstance(t.o, Var) else F.lit("@id" if isinstance(t.o, Iri) else t.o.dt)
+                    made.append(f.df.select(part(t.s).alias("s"), part(t.p).alias("p"), part(t.o).alias("o"), dt.alias("dt")))
+        made = reduce(DataFrame.union, made).where("s is not null and p is not null and o is not null").distinct()
+        every = reduce(DataFrame.union, known)
+        new = kept(made.join(every, ["s", "p", "o", "dt"], "left_anti"))
         if new.isEmpty():
-            return known
-        known = kept(known.union(new))
+            return every
+        known.append(new)
     raise RuntimeError("the rules did not end")

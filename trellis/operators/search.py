@@ -26,30 +26,74 @@ def terms(text: Column, language: str | None = "en") -> Column:
     return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 
+def times(of: Column, word: str) -> Column:
+    """How often a term is in an array."""
+    return F.size(F.filter(of, lambda x: x == word))
+
+
+def idf(n: int, df: int) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
 class TextIndex:
-    """Postings (term, id, tf, length) of texts, and what BM25 needs of all of them."""
+    """BM25 over texts, or over postings that are kept (term, id, tf, length). A query counts
+    its own terms in each text, where they are: nothing is exploded or shuffled but what has
+    one of them."""
 
     def __init__(self, docs: DataFrame, id: str, text: str, language: str | None = "en"):
-        t = docs.select(F.col(id).alias("id"), terms(F.coalesce(F.col(text), F.lit("")), language).alias("terms"))
-        t = t.withColumn("length", F.size("terms"))
-        self.language = language
-        self.totals = t.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-        # tf within a row: its terms are counted where they are
-        self.postings = t.select("id", "length", F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+        self.language, self.postings = language, None
+        self.texts = docs.select(F.col(id).alias("id"), terms(F.coalesce(F.col(text), F.lit("")), language).alias("terms"))
+
+    @classmethod
+    def of_postings(cls, postings: DataFrame, language: str | None = "en") -> TextIndex:
+        """The index that postings() made, or streaming.feeds.keep_postings() keeps: with t and op,
+        only what holds at last counts. A text without terms has no postings, and isn't counted."""
+        self = cls.__new__(cls)
+        self.language, self.texts = language, None
+        if "op" in postings.columns:
+            last = postings.groupBy("id", "length", "term", "tf").agg(F.max_by("op", "t").alias("op"))
+            postings = last.where("op").drop("op")
+        self.postings = postings.select("term", "id", "tf", "length")
+        return self
+
+    def kept(self) -> DataFrame:
+        """The postings of the texts, to be written sorted by term and read by of_postings()."""
+        t = self.texts.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+        return t.groupBy("term", "id", "length").agg(F.count("*").alias("tf")).select("term", "id", "tf", "length")
+
+    def wanted(self, spark, query: str) -> list[str]:
+        return [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(terms(F.lit(query), self.language)))).collect()]
+
+    def statistics(self, query: str) -> tuple[list[str], list[float], float]:
+        """The query's terms, their idf, and the mean length of the texts."""
+        words = self.wanted(self.texts.sparkSession, query)
+        has = [F.count_if(F.array_contains("terms", w)) for w in words]
+        got = self.texts.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"), F.array(*has).alias("df")).first()
+        return words, [idf(got.n, d) for d in got.df], float(got.mean or 1)
 
     def scores(self, query: str) -> DataFrame:
         """(id, score) of all texts with a term of the query, by
         idf = ln(1 + (N - n + 0.5) / (n + 0.5))."""
-        spark = self.postings.sparkSession
-        wanted = [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(terms(F.lit(query), self.language)))).collect()]
-        hit = self.postings.where(F.col("term").isin(wanted) if wanted else F.lit(False))
-        df = hit.groupBy("term").agg(F.count("*").alias("df"))
-        one = F.broadcast(self.totals)  # one row
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        df = df.join(one).select("term", idf.alias("idf"), "mean")
-        x = hit.join(F.broadcast(df), "term")  # a row for each term of the query
-        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-        return x.groupBy("id").agg(F.sum(part).alias("score"))
+        df = self.texts if self.texts is not None else self.postings
+        words = self.wanted(df.sparkSession, query)
+        if not words:
+            return df.select("id", F.lit(0.0).alias("score")).limit(0)
+        if self.texts is not None:
+            tf = [times(F.col("terms"), w) for w in words]
+            rows = df.select("id", F.size("terms").alias("length"), F.array(*tf).alias("tf"))
+            stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(words))]).alias("df")).first()
+        else:
+            totals = df.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+            hit = df.where(F.col("term").isin(words))
+            rows = hit.groupBy("id").agg(F.first("length").alias("length"), F.array(*[F.coalesce(F.sum(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)) for w in words]).alias("tf"))
+            found = dict(hit.groupBy("term").count().collect())
+            stats = {"n": totals.n, "mean": totals.mean, "df": [found.get(w, 0) for w in words]}
+        norm = K1 * (1 - B + B * F.col("length") / F.lit(float(stats["mean"] or 1)))
+        parts = [F.lit(w) * F.col("tf")[i] * (K1 + 1) / (F.col("tf")[i] + norm) for i, w in enumerate(idf(stats["n"], d) for d in stats["df"])]
+        score = parts[0]
+        for x in parts[1:]:
+            score = score + x
+        return rows.where(F.exists("tf", lambda x: x > 0)).select("id", score.alias("score"))
 
     def top(self, query: str, k: int = 10) -> DataFrame:
         return self.scores(query).orderBy(F.desc("score"), "id").limit(k)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ir import TYPE, XSD
+from ..ir import RDF, TYPE, XSD
 from ..plans.frame import spark_type
 
 REPORT = "focus string, path string, constraint string, value string"
@@ -16,7 +17,8 @@ REPORT = "focus string, path string, constraint string, value string"
 
 @dataclass
 class Property:
-    """Constraints on the values of a path (a predicate, or ^predicate backwards)."""
+    """Constraints on the values of a path: a predicate, ^predicate backwards, several parted by /
+    one after the other, or by | either."""
 
     path: str
     min_count: int | None = None
@@ -40,6 +42,7 @@ class Property:
     unique_lang: bool = False
     language_in: list[str] | None = None
     qualified: tuple[Shape, int | None, int | None] | None = None  # shape, least and most
+    node: Shape | None = None  # a shape that the values must have
 
 
 @dataclass
@@ -57,6 +60,7 @@ class Shape:
     every: list[Shape] | None = None
     some: list[Shape] | None = None
     one: list[Shape] | None = None
+    node: Shape | None = None  # a shape that the nodes must have as well
 
 
 def focus(facts: DataFrame, s: Shape) -> DataFrame:
@@ -74,12 +78,25 @@ def focus(facts: DataFrame, s: Shape) -> DataFrame:
 
 
 def values(facts: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
-    """(focus, value, dt, lang) of each focus node's values of a path."""
-    if path.startswith("^"):
-        x = facts.where((F.col("p") == path[1:]) & (F.col("dt") == "@id")).select(F.col("o").alias("focus"), F.col("s").alias("value"), F.lit("@id").alias("dt"), F.lit(None).cast("string").alias("lang"))
-    else:
-        x = facts.where(F.col("p") == path).select(F.col("s").alias("focus"), F.col("o").alias("value"), "dt", "lang")
-    return x.join(nodes, "focus", "left_semi")
+    """(focus, value, dt, lang) of each focus node's values of a path: ways parted by |, each of
+    steps parted by / where they follow an IRI, each forwards or, with ^, backwards. The
+    values of a path of several steps or ways are a set."""
+
+    def step(p: str) -> DataFrame:
+        if p.startswith("^"):
+            return facts.where((F.col("p") == p[1:]) & (F.col("dt") == "@id")).select(F.col("o").alias("focus"), F.col("s").alias("value"), F.lit("@id").alias("dt"), F.lit(None).cast("string").alias("lang"))
+        return facts.where(F.col("p") == p).select(F.col("s").alias("focus"), F.col("o").alias("value"), "dt", "lang")
+
+    def way(p: str) -> DataFrame:
+        steps = re.split(r"/(?=\^?[A-Za-z][A-Za-z0-9+.-]*:)", p)
+        x = step(steps[0]).join(nodes, "focus", "left_semi")
+        for q in steps[1:]:
+            y = step(q).withColumnRenamed("focus", "m")
+            x = x.where("dt = '@id'").select("focus", F.col("value").alias("m")).join(y, "m").select("focus", "value", "dt", "lang").distinct()
+        return x
+
+    ways = path.split("|")
+    return way(path) if len(ways) == 1 else reduce(DataFrame.union, map(way, ways)).distinct()
 
 
 def _violations(facts: DataFrame, nodes: DataFrame, c: Property) -> list[DataFrame]:
@@ -141,6 +158,9 @@ def _violations(facts: DataFrame, nodes: DataFrame, c: Property) -> list[DataFra
         report(v.where("lang is not null").groupBy("focus", F.lower("lang").alias("value")).count().where("count > 1"), "uniqueLang")
     if c.language_in is not None:
         wrong(reduce(lambda a, b: a | b, [(F.lower("lang") == x.lower()) | F.lower("lang").startswith(x.lower() + "-") for x in c.language_in]), "languageIn")
+    if c.node is not None:
+        bad = invalid(facts, v.select(F.col("value").alias("focus")).distinct(), c.node).select(F.col("focus").alias("value"))
+        report(v.join(bad, "value", "left_semi"), "node")
     if c.qualified is not None:
         shape, least, most = c.qualified
         good = v.join(invalid(facts, v.select(F.col("value").alias("focus")).distinct(), shape).select(F.col("focus").alias("value")), "value", "left_anti")
@@ -162,6 +182,8 @@ def _report(facts: DataFrame, nodes: DataFrame, s: Shape) -> DataFrame:
         allowed = [c.path for c in s.properties] + s.ignored
         x = facts.where(~F.col("p").isin(allowed)).select(F.col("s").alias("focus"), F.col("p").alias("path"), F.lit("closed").alias("constraint"), F.col("o").alias("value"))
         out.append(x.join(nodes, "focus", "left_semi"))
+    if s.node is not None:
+        whole(nodes.join(invalid(facts, nodes, s.node), "focus", "left_semi"), "node")
     if s.no is not None:
         whole(nodes.join(invalid(facts, nodes, s.no), "focus", "left_anti"), "not")
     for name, shapes, wrong in (("and", s.every, lambda k, n: k < n), ("or", s.some, lambda k, n: k < 1), ("xone", s.one, lambda k, n: k != 1)):
@@ -172,6 +194,64 @@ def _report(facts: DataFrame, nodes: DataFrame, s: Shape) -> DataFrame:
     return reduce(DataFrame.union, out) if out else facts.sparkSession.createDataFrame([], REPORT)
 
 
+SH = "http://www.w3.org/ns/shacl#"
+
+
+def shapes_of(facts: DataFrame, most: int = 100_000) -> list[Shape]:
+    """The shapes that a shapes graph (s, p, o) describes; it is small by nature, an error
+    beyond `most` facts."""
+    rows = facts.select("s", "p", "o").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a shapes graph of more than {most} facts")
+    known: dict[str, dict[str, list[str]]] = {}
+    for r in rows:
+        known.setdefault(r.s, {}).setdefault(r.p, []).append(r.o)
+
+    def got(s: str, name: str) -> list[str]:
+        return known.get(s, {}).get(name if ":" in name else SH + name, [])
+
+    def one(s: str, name: str, kind=str):
+        x = got(s, name)
+        return kind(x[0]) if x else None
+
+    def items(head: str) -> list[str]:
+        out = []
+        while head and head != RDF + "nil":
+            out += got(head, RDF + "first")
+            head = one(head, RDF + "rest")
+        return out
+
+    def path(p: str) -> str:
+        if inverse := one(p, "inversePath"):
+            return "^" + path(inverse)
+        if ways := one(p, "alternativePath"):
+            return "|".join(map(path, items(ways)))
+        return "/".join(map(path, items(p))) if got(p, RDF + "first") else p
+
+    def prop(p: str) -> Property:
+        kind = one(p, "nodeKind")
+        least, most_ = one(p, "qualifiedMinCount", int), one(p, "qualifiedMaxCount", int)
+        inner = one(p, "qualifiedValueShape")
+        return Property(
+            path(one(p, "path")), one(p, "minCount", int), one(p, "maxCount", int), one(p, "datatype"), kind and kind[len(SH) :], one(p, "class"),
+            one(p, "minInclusive", float), one(p, "maxInclusive", float), one(p, "minExclusive", float), one(p, "maxExclusive", float),
+            one(p, "pattern"), one(p, "minLength", int), one(p, "maxLength", int), one(p, "hasValue"), items(one(p, "in")) if got(p, "in") else None,
+            one(p, "equals"), one(p, "disjoint"), one(p, "lessThan"), one(p, "lessThanOrEquals"), one(p, "uniqueLang") == "true",
+            items(one(p, "languageIn")) if got(p, "languageIn") else None, (shape(inner), least, most_) if inner else None, shape(n) if (n := one(p, "node")) else None,
+        )
+
+    def shape(s: str) -> Shape:
+        lists = {k: [shape(x) for x in items(one(s, n))] if got(s, n) else None for k, n in (("every", "and"), ("some", "or"), ("one", "xone"))}
+        no, node = one(s, "not"), one(s, "node")
+        return Shape(
+            one(s, "targetClass"), got(s, "targetNode") or None, one(s, "targetSubjectsOf"), one(s, "targetObjectsOf"), [prop(p) for p in got(s, "property")],
+            one(s, "closed") == "true", items(one(s, "ignoredProperties")) if got(s, "ignoredProperties") else [], shape(no) if no else None, **lists, node=shape(node) if node else None,
+        )
+
+    targets = [SH + x for x in ("targetClass", "targetNode", "targetSubjectsOf", "targetObjectsOf")]
+    return [shape(s) for s in sorted(known) if any(t in known[s] for t in targets)]
+
+
 def invalid(facts: DataFrame, nodes: DataFrame, s: Shape) -> DataFrame:
     """The nodes that violate a shape."""
     return _report(facts, nodes, s).select("focus").distinct()

@@ -28,19 +28,30 @@ def keep_postings(flakes: DataFrame, predicate: str, out: str, checkpoint: str,
     return flakes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def materialise(source: DataFrame, key: str, predicates: dict[str, str], template: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends a table's new rows as flakes: predicates by column, subjects by template.
-    The checkpoint is the watermark of what was taken."""
+def materialise(source: DataFrame, key: str, predicates: dict[str, str], template: str, out: str, checkpoint: str, gone: str | None = None) -> StreamingQuery:
+    """Appends a table's new and changed rows as flakes: predicates by column, subjects by
+    template. What a row no longer says is retracted; a row whose column `gone` is true is
+    retracted whole. Of rows of one key in a batch, one that isn't gone counts if there is
+    one. The checkpoint is the watermark of what was taken, and a batch that is run again
+    replaces itself."""
     head, _, rest = template.partition("{")
 
     def batch(df: DataFrame, n: int) -> None:
         kinds = dict(df.dtypes)
         from ..plans.frame import xsd_of
-
-        rows = [F.struct(F.lit(p).alias("p"), F.col(c).cast("string").alias("o"), F.lit(xsd_of(kinds[c])).alias("dt")) for c, p in predicates.items()]
-        x = df.select(F.concat(F.lit(head), F.col(key).cast("string"), F.lit(rest.partition("}")[2])).alias("s"), F.explode(F.array(*rows)).alias("x"))
-        flakes = x.where("x.o is not null").selectExpr("cast(null as string) g", "s", "x.p p", "x.o o", "x.dt dt", "cast(null as string) lang", "cast(null as int) i", f"cast({n} + 1 as bigint) t", "true op")
-        flakes.select(*FACT, "t", "op").write.mode("overwrite").parquet(f"{out}/batch={n}")
+        from ..sources.flakes import current
+
+        spark = df.sparkSession
+        cells = [F.struct(F.lit(p).alias("p"), F.col(c).cast("string").alias("o"), F.lit(xsd_of(kinds[c])).alias("dt")) for c, p in predicates.items()]
+        away = F.coalesce(F.col(gone).cast("boolean"), F.lit(False)) if gone else F.lit(False)
+        rows = df.select(F.concat(F.lit(head), F.col(key).cast("string"), F.lit(rest.partition("}")[2])).alias("s"), F.struct(away.alias("away"), F.array(*cells).alias("cells")).alias("row"))
+        rows = rows.groupBy("s").agg(F.min("row").alias("row")).select("s", "row.away", "row.cells")
+        new = rows.where("not away").select("s", F.explode("cells").alias("x")).where("x.o is not null").selectExpr("cast(null as string) g", "s", "x.p p", "x.o o", "x.dt dt", "cast(null as string) lang", "cast(null as int) i")
+        past = spark.read.schema(SCHEMA + ", batch long").parquet(out).where(F.col("batch") < n).drop("batch") if n else spark.createDataFrame([], SCHEMA)
+        old = current(past).join(rows.select("s"), "s", "left_semi").select(*FACT)
+        both = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in FACT]
+        made = [x.alias("x").join(y.alias("y"), both, "left_anti").withColumn("t", F.lit(n + 1).cast("long")).withColumn("op", F.lit(op)) for x, y, op in ((new, old, True), (old, new, False))]
+        made[0].union(made[1]).select(*FACT, "t", "op").write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -169,7 +169,7 @@ def rdfs_subproperty(spark: SparkSession, d: str) -> DataFrame:
 
     schema = spark.createDataFrame([(V + "next", RDFS + "subPropertyOf", V + "leads"), (V + "back", RDFS + "subPropertyOf", V + "leads")], "s string, p string, o string")
     g = reasoning.expand(Group((Triple(Var("s"), Iri(V + "leads"), Var("o")),)), {}, reasoning.hierarchy(schema, RDFS + "subPropertyOf"))
-    return Compiler(spark, tables.replies(spark, d)).group(g).df.distinct()
+    return Compiler(spark, tables.replies(spark, d)).group(g).df.select("s", "o").distinct()
 
 
 @Q(f"SELECT {node('conv_id', 'turn')} s, {node('conv_id', 'turn - 1')} o FROM conversations WHERE turn > 0")
@@ -177,7 +177,7 @@ def ql_inverse(spark: SparkSession, d: str) -> DataFrame:
     from ..plans.compile import Compiler
 
     g = reasoning.expand(Group((Triple(Var("s"), Iri(V + "after"), Var("o")),)), {}, {}, {V + "after": V + "next"})
-    return Compiler(spark, tables.replies(spark, d)).group(g).df
+    return Compiler(spark, tables.replies(spark, d)).group(g).df.select("s", "o")
 
 
 @Q(f"SELECT {node('x.conv_id', 'x.turn')} s, {node('y.conv_id', 'y.turn')} o FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn < y.turn")

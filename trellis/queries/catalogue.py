@@ -120,7 +120,7 @@ S("union_distinct", "SELECT DISTINCT ?k WHERE { { ?x v:c_nation ?k } UNION { ?y
 S("union_star_count", "SELECT (COUNT(*) AS ?n) WHERE { { ?c v:c_nation ?k } UNION { ?c v:s_nation ?k } ?k v:n_name ?m }", "SELECT count(*) n FROM (SELECT c_nationkey k FROM customer UNION ALL SELECT s_nationkey FROM supplier) JOIN nation ON k = n_nationkey", "customer supplier nation")
 S("subselect_agg", "SELECT ?n ?k WHERE { ?c v:c_name ?n { SELECT ?c (COUNT(?o) AS ?k) WHERE { ?o v:o_customer ?c } GROUP BY ?c HAVING(COUNT(?o) > 12) } }", "SELECT c_name n, k FROM customer JOIN (SELECT o_custkey, count(*) k FROM orders GROUP BY 1 HAVING count(*) > 12) ON o_custkey = c_custkey", "customer orders")
 S("subselect_limit", "SELECT ?n ?t WHERE { { SELECT ?o ?t WHERE { ?o v:o_totalprice ?t } ORDER BY DESC(?t) LIMIT 5 } ?o v:o_customer ?c . ?c v:c_name ?n }", "SELECT c_name n, o_totalprice t FROM (SELECT * FROM orders ORDER BY o_totalprice DESC LIMIT 5) JOIN customer ON o_custkey = c_custkey", "customer orders")
-S("above_average", "SELECT ?o ?t WHERE { { SELECT (AVG(?x) AS ?m) WHERE { ?y v:o_totalprice ?x } } ?o v:o_totalprice ?t FILTER(?t > 4 * ?m) }", f"SELECT '{D}order/' || o_orderkey o, o_totalprice t FROM orders WHERE o_totalprice > 4 * (SELECT avg(o_totalprice) FROM orders)", "orders")
+S("above_average", "SELECT ?o ?t WHERE { { SELECT (AVG(?x) AS ?m) WHERE { ?y v:o_totalprice ?x } } ?o v:o_totalprice ?t FILTER(?t > 1.5 * ?m) }", f"SELECT '{D}order/' || o_orderkey o, o_totalprice t FROM orders WHERE o_totalprice > 1.5 * (SELECT avg(o_totalprice) FROM orders)", "orders")
 C("lateral_top1", "MATCH (n:Nation) CALL (n) { MATCH (c:Customer)-[:c_nation]->(n) RETURN c.c_name AS who, c.c_acctbal AS b ORDER BY b DESC, who LIMIT 1 } RETURN n.n_name AS name, who, b", "SELECT n_name AS name, c_name who, c_acctbal b FROM nation JOIN customer ON c_nationkey = n_nationkey QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY c_acctbal DESC, c_name) = 1", "nation customer")
 S("cartesian_filter", "SELECT (COUNT(*) AS ?n) WHERE { ?a v:n_nationkey ?x . ?b v:r_regionkey ?y FILTER(?x < ?y * 5) }", "SELECT count(*) n FROM nation, region WHERE n_nationkey < r_regionkey * 5", "nation region")
 S("equality_filter_join", "SELECT (COUNT(*) AS ?n) WHERE { ?c v:c_nation ?x . ?s v:s_nation ?y FILTER(?x = ?y) }", "SELECT count(*) n FROM customer JOIN supplier ON c_nationkey = s_nationkey", "customer supplier")
@@ -152,8 +152,8 @@ SQL["agg_collect"] = "SELECT r_name r, string_agg(n_name, '|' ORDER BY n_name) A
 S("topk", "SELECT ?o ?t WHERE { ?o v:o_totalprice ?t } ORDER BY DESC(?t) ?o LIMIT 25", f"SELECT '{D}order/' || o_orderkey o, o_totalprice t FROM orders ORDER BY t DESC, o LIMIT 25", "orders")
 S("offset_limit", "SELECT ?n WHERE { ?c v:c_name ?n } ORDER BY ?n OFFSET 40 LIMIT 20", "SELECT c_name n FROM customer ORDER BY 1 LIMIT 20 OFFSET 40", "customer")
 S("distinct_order_limit", "SELECT DISTINCT ?b ?z WHERE { ?p v:p_brand ?b ; v:p_size ?z } ORDER BY DESC(?z) ?b LIMIT 30", "SELECT DISTINCT p_brand b, p_size z FROM part ORDER BY z DESC, b LIMIT 30", "part")
-S("sort_desc_multi", "SELECT ?s ?b ?n WHERE { ?c v:c_mktsegment ?s ; v:c_acctbal ?b ; v:c_name ?n } ORDER BY ?s DESC(?b) LIMIT 50", "SELECT c_mktsegment s, c_acctbal b, c_name n FROM customer ORDER BY 1, 2 DESC LIMIT 50", "customer")
-S("sort_nulls", "SELECT ?c ?t WHERE { ?c a v:Customer OPTIONAL { ?o v:o_customer ?c ; v:o_totalprice ?t FILTER(?t > 450000) } } ORDER BY ?t ?c LIMIT 40", f"SELECT '{D}customer/' || c_custkey c, o_totalprice t FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 450000 ORDER BY t NULLS FIRST, c LIMIT 40", "customer orders")
+S("sort_desc_multi", "SELECT ?s ?b ?n WHERE { ?c v:c_mktsegment ?s ; v:c_acctbal ?b ; v:c_name ?n } ORDER BY ?s DESC(?b)", "SELECT c_mktsegment s, c_acctbal b, c_name n FROM customer", "customer")
+S("sort_nulls", "SELECT ?c ?t WHERE { ?c a v:Customer OPTIONAL { ?o v:o_customer ?c ; v:o_totalprice ?t FILTER(?t > 450000) } } ORDER BY ?t ?c", f"SELECT '{D}customer/' || c_custkey c, o_totalprice t FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 450000 ORDER BY t NULLS FIRST, c", "customer orders")
 
 # ---- functions
 
@@ -164,7 +164,7 @@ S("fn_string", """SELECT ?n (STRLEN(?n) AS ?a) (UCASE(?n) AS ?b) (LCASE(?n) AS ?
 S("fn_regex", 'SELECT (COUNT(*) AS ?n) WHERE { ?p v:p_name ?x FILTER(REGEX(?x, "(1|2)5$", "i")) }', "SELECT count(*) n FROM part WHERE regexp_matches(p_name, '(?i)(1|2)5$')", "part")
 S("fn_regex_prefix", 'SELECT (COUNT(*) AS ?n) WHERE { ?p v:c_name ?x FILTER(REGEX(?x, "^Customer")) }', "SELECT count(*) n FROM customer WHERE starts_with(c_name, 'Customer')", "customer")
 S("fn_string_fold", "SELECT (SUM(STRLEN(?t)) AS ?n) WHERE { ?d v:text ?t }", "SELECT CAST(sum(length(text)) AS BIGINT) n FROM documents", "documents")
-S("fn_uri", "SELECT ?d (ENCODE_FOR_URI(CONCAT(?s, \" a~*+\")) AS ?u) (IRI(CONCAT(\"http://x/\", ?s)) AS ?i) (isIRI(?d) AS ?j) (isLiteral(?s) AS ?k) WHERE { ?d v:source ?s ; v:n_chars ?c FILTER(?c > 20000) }", f"SELECT '{D}document/' || doc_id d, source || '%20a~%2A%2B' u, 'http://x/' || source i, true j, true k FROM documents WHERE n_chars > 20000", "documents")
+S("fn_uri", "SELECT ?d (ENCODE_FOR_URI(CONCAT(?s, \" a~*+\")) AS ?u) (IRI(CONCAT(\"http://x/\", ?s)) AS ?i) (isIRI(?d) AS ?j) (isLiteral(?s) AS ?k) WHERE { ?d v:source ?s }", f"SELECT '{D}document/' || doc_id d, source || '%20a~%2A%2B' u, 'http://x/' || source i, true j, true k FROM documents WHERE source IS NOT NULL", "documents")
 S("fn_num", "SELECT ?c (ABS(?b) AS ?x) (CEIL(?b) AS ?y) (FLOOR(?b) AS ?z) (ROUND(?b) AS ?r) (-?b AS ?m) (?b * 2 + 1 AS ?w) (ROUND(?k / 7 * 1000) AS ?q) WHERE { ?c v:c_acctbal ?b ; v:c_custkey ?k FILTER(?b < 1000) }", None, "customer", lambda df: df.selectExpr("c", "x", "y", "z", "r", "m", "w", "cast(q as bigint) q"))
 SQL["fn_num"] = f"SELECT '{D}customer/' || c_custkey c, abs(c_acctbal) x, ceil(c_acctbal) y, floor(c_acctbal) z, floor(c_acctbal + 0.5) r, -c_acctbal m, c_acctbal * 2 + 1 w, CAST(floor(c_custkey::DECIMAL(20,0) / 7 * 1000 + 0.5) AS BIGINT) q FROM customer WHERE c_acctbal < 1000"
 S("fn_date", "SELECT ?o (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (DAY(?d) AS ?a) (HOURS(?d) AS ?h) (MINUTES(?d) AS ?i) WHERE { ?o v:o_orderdate ?d FILTER(?d >= \"1997-06-01T00:00:00\"^^xsd:dateTime) }", f"SELECT '{D}order/' || o_orderkey o, year(o_orderdate)::INT y, month(o_orderdate)::INT m, day(o_orderdate)::INT a, hour(o_orderdate)::INT h, minute(o_orderdate)::INT i FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01'", "orders")
@@ -183,7 +183,7 @@ C("fn_cypher_string", "MATCH (n:Nation) RETURN n.n_name AS n, toLower(n.n_name)
 C("cypher_match_agg", "MATCH (o:Order)-[:o_customer]->(c:Customer) WHERE c.c_acctbal > 5000 RETURN c.c_mktsegment AS s, count(*) AS n, max(o.o_totalprice) AS m ORDER BY s", "SELECT c_mktsegment s, count(*) n, max(o_totalprice) m FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000 GROUP BY 1", "orders customer")
 C("cypher_optional_with", "MATCH (c:Customer) OPTIONAL MATCH (o:Order)-[:o_customer]->(c) WHERE o.o_totalprice > 200000 WITH c, count(o) AS n WHERE n > 2 RETURN n, count(*) AS k", "SELECT n, count(*) k FROM (SELECT c_custkey, count(o_orderkey) n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY 1) WHERE n > 2 GROUP BY 1", "customer orders")
 C("cypher_unwind", "UNWIND [1, 2, 3, 4] AS x WITH x WHERE x > 1 UNWIND range(1, x) AS y RETURN x, y", "SELECT x::BIGINT x, y::BIGINT y FROM range(2, 5) a(x), LATERAL (SELECT unnest(range(1, x + 1)) y)", "region")
-C("cypher_unwind_empty", "MATCH (r:Region) UNWIND range(3, 1) AS y RETURN r, y", "SELECT '' r, 1::BIGINT y WHERE false", "region")
+C("cypher_unwind_empty", "MATCH (r:Region) UNWIND range(1, r.r_regionkey) AS y RETURN r.r_name AS r, y", "SELECT r_name r, unnest(range(1, r_regionkey + 1)) y FROM region", "region")
 C("cypher_union", "MATCH (r:Region) RETURN r.r_name AS n UNION MATCH (x:Nation) WHERE x.n_nationkey < 3 RETURN x.n_name AS n", "SELECT r_name n FROM region UNION SELECT n_name FROM nation WHERE n_nationkey < 3", "region nation")
 C("cypher_union_all", "MATCH (r:Region) RETURN r.r_name AS n UNION ALL MATCH (r:Region) RETURN r.r_name AS n", "SELECT r_name n FROM region UNION ALL SELECT r_name FROM region", "region")
 C("cypher_case", "MATCH (p:Part) RETURN CASE WHEN p.p_size > 30 THEN 'large' WHEN p.p_size > 10 THEN 'middle' ELSE 'small' END AS k, count(*) AS n", "SELECT CASE WHEN p_size > 30 THEN 'large' WHEN p_size > 10 THEN 'middle' ELSE 'small' END k, count(*) n FROM part GROUP BY 1", "part")
@@ -191,7 +191,7 @@ C("cypher_exists", "MATCH (o:Order) WHERE NOT EXISTS { MATCH (l:Lineitem)-[:l_or
 C("cypher_collect", "MATCH (n:Nation)-[:n_region]->(r:Region) WITH r.r_name AS name, collect(n.n_nationkey) AS ks RETURN name, size(ks) AS n, reduce(s = 0, x IN ks | s + x) AS t", "SELECT r_name AS name, count(*) n, CAST(sum(n_nationkey) AS BIGINT) t FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1", "nation region")
 J("jsonld_filter", {"select": ["?c", "?b"], "where": [{"@id": "?c", "@type": "v:Customer", "v:c_acctbal": "?b", "v:c_mktsegment": "BUILDING"}, ["filter", "(and (> ?b 1000) (< ?b 2000))"]]}, f"SELECT '{D}customer/' || c_custkey c, c_acctbal b FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000 AND c_acctbal < 2000", "customer")
 J("jsonld_optional_union", {"select": ["?n", "?k"], "where": [["union", {"@id": "?x", "v:r_name": "?n"}, {"@id": "?x", "v:n_name": "?n"}], ["optional", {"@id": "?x", "v:n_nationkey": "?k"}]]}, "SELECT r_name n, NULL::INTEGER k FROM region UNION ALL SELECT n_name, n_nationkey FROM nation", "region nation")
-J("jsonld_exists_values", {"select": ["?n"], "where": [{"@id": "?x", "v:n_name": "?n", "v:n_region": "?r"}, {"@id": "?r", "v:r_name": "?rn"}, ["values", ["?rn", ["ASIA", "EUROPE"]]], ["not-exists", {"@id": "?s", "v:s_nation": "?x"}]]}, "SELECT n_name n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier)", "nation region supplier")
+J("jsonld_exists_values", {"select": ["?n"], "where": [{"@id": "?x", "v:n_name": "?n", "v:n_region": "?r"}, {"@id": "?r", "v:r_name": "?rn"}, ["values", ["?rn", ["ASIA", "EUROPE"]]], ["not-exists", {"@id": "?s", "v:s_nation": "?x", "v:s_suppkey": "?k"}, ["filter", "(< ?k 20)"]]]}, "SELECT n_name n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20)", "nation region supplier")
 J("jsonld_group_order", {"select": ["?s", "(as (count ?c) ?n)", "(as (avg ?b) ?m)"], "where": [{"@id": "?c", "v:c_mktsegment": "?s", "v:c_acctbal": "?b"}], "groupBy": "?s", "having": "(> (count ?c) 10)", "orderBy": "(desc ?n)"}, None, "customer")
 QUERIES["jsonld_group_order"] = lambda spark, d, f=QUERIES["jsonld_group_order"]: f(spark, d).selectExpr("s", "n", "floor(m) m")
 SQL["jsonld_group_order"] = "SELECT c_mktsegment s, count(*) n, CAST(floor(avg(c_acctbal)) AS BIGINT) m FROM customer GROUP BY 1 HAVING count(*) > 10"

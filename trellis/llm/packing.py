@@ -15,12 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim, written
+from .common import pieces, small_batches, trim, written
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
-#: A shard ends with this many documents or tokens, which bounds a task's memory.
-SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 22
+#: A shard ends with this many parts or this many of their tokens, which bounds a task's memory.
+SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 21
 #: Terms in the signature by which documents are dealt to shards.
 SIGNATURE = 8
 #: Rows of statistics that count parts and their tokens, beside those of terms.
@@ -31,103 +31,93 @@ class Words:
     """Token ids of texts by way of their words: the words of many texts are coded at once
     and each distinct word is looked up once, or tokenized when it is new. The tokenizer
     drops white space before it splits, so no token crosses a word; it puts letters into
-    lower case, and splits them from the marks behind them. Words are kept from the second
-    time on that they come, while there are fewer than `most`."""
-
-    PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+    lower case, and splits them from the marks behind them, which are words of their own
+    here. Words are kept from the second time on that they come, while there are fewer than
+    `most`, which bounds the memory."""
+
+    #: A letter and a mark that begins another token whatever follows; an apostrophe may not.
+    MARK = r"([\p{Ll}\p{Lo}])([!-&(-/:-@\[-`{-~])"
+    #: What is one word to the model, which knows these characters by themselves.
+    PLAIN = r"^(?:[a-z]+|[!-/:-@\[-`{-~]+)$"
     #: The characters that stand for bytes in the model: printable ones for themselves, the
     #: others for those from 256 on.
     _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
     BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, int] = {}  # word: row of bounds
-        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.bounds, self.rows = np.empty((1 << 18, 2), np.int64), 0
-        self.seen = bytearray(1 << 23)  # by hash
+        self.known = pa.array([], pa.string())  # words by their row of bounds
+        self.flat, self.used = np.empty(1 << 18, np.uint32), 0
+        self.bounds, self.rows = np.empty((1 << 17, 2), np.int64), 0
+        self.seen = np.zeros(1 << 22, bool)  # by hash
 
-    def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         ends = self.used + np.cumsum(sizes)
-        while self.used + len(flat) > len(self.flat):
+        last = int(ends[-1]) if len(ends) else self.used
+        while last > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        while self.rows + len(words) > len(self.bounds):
+        while self.rows + len(lists) > len(self.bounds):
             self.bounds = np.concatenate((self.bounds, np.empty_like(self.bounds)))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.bounds[self.rows : self.rows + len(words)] = np.stack((ends - sizes, ends), 1)
-        self.known.update(zip(words, range(self.rows, self.rows + len(words))))
-        self.used, self.rows = self.used + len(flat), self.rows + len(words)
+        self.flat[self.used : last] = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, last - self.used)
+        self.bounds[self.rows : self.rows + len(lists)] = np.stack((ends - sizes, ends), 1)
+        self.used, self.rows = last, self.rows + len(lists)
 
     def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these rows one after the other, and how many each has."""
         begin, size = self.bounds[rows, 0], self.bounds[rows, 1] - self.bounds[rows, 0]
         return self.flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
-    def _tokenize(self, parts: list[str]) -> None:
-        letters, coded, others = [], [], []
-        for p in parts:
-            if p.isalpha():  # one word to the model, which knows bytes by characters
-                if p.isascii():
-                    letters.append(p)
-                    coded.append(p)
-                    continue
-                low = p.lower()
-                if low.isalpha() and "Σ" not in p and unicodedata.is_normalized("NFC", p):
-                    letters.append(p)
-                    coded.append("".join(map(self.BYTES.__getitem__, low.encode())))
-                    continue
-            others.append(p)
-        cut = self.tokenizer.model.tokenize
-        lists = [[x.id for x in cut(p)] for p in coded] + [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
-        self._add(letters + others, np.fromiter(itertools.chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
-
-    def _compose(self, whole: list[tuple[str, str, str]]) -> None:
-        if whole:
-            flat, size = self._gather(np.array([self.known[p] for x in whole for p in x[1:]]))
-            self._add([x[0] for x in whole], flat, size.reshape(-1, 2).sum(axis=1))
-
-    def _learn(self, words: list[str]) -> list[str]:
-        """Makes words known; returns those that are to be forgotten after use, which stand
-        last in the store."""
-        seen, last = self.seen, len(self.seen) - 1
-        split = [(w, *m.groups()) if (m := self.PLAIN.fullmatch(w)) and m[1].isalpha() and m[1].lower().isalpha() else (w,) for w in words]
-        keep: set[str] = set()
+    def _tokenize(self, words: pa.Array) -> np.ndarray:
+        """Rows for words, added at the end."""
+        plain = pc.match_substring_regex(words, self.PLAIN).to_numpy(zero_copy_only=False)
+        coded, others, wide, at = words.filter(pa.array(plain)).to_pylist(), [], [], np.flatnonzero(~plain)
+        for i, p in zip(at.tolist(), words.filter(pa.array(~plain)).to_pylist()):
+            low = p.lower()
+            if p.isalpha() and low.isalpha() and "Σ" not in p and unicodedata.is_normalized("NFC", p):
+                coded.append("".join(map(self.BYTES.__getitem__, low.encode())))
+                wide.append(i)
+            else:
+                others.append((i, p))
+        cut, rows = self.tokenizer.model.tokenize, np.empty(len(words), np.int64)
+        order = np.concatenate((np.flatnonzero(plain), np.array(wide, np.int64), np.array([i for i, _ in others], np.int64)))
+        rows[order] = np.arange(self.rows, self.rows + len(words))
+        self._add([[x.id for x in cut(p)] for p in coded] + [e.ids for e in self.tokenizer.encode_batch_fast([p for _, p in others], add_special_tokens=False)])
+        return rows
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Rows for new words: kept ones, then those that are to be forgotten after use."""
+        keep = np.zeros(len(words), bool)
         if len(self.known) < self.most:
-            keep.update(p for x in split if seen[hash(x[0]) & last] for p in x)
-        for w in words:
-            seen[hash(w) & last] = 1
-        parts = dict.fromkeys(p for x in split for p in (x[1:] or x) if p not in self.known)
-        whole = [x for x in split if len(x) > 1]
-        self._tokenize([p for p in parts if p in keep])
-        self._compose([x for x in whole if x[0] in keep])
-        mark = self.used, self.rows
-        brief = [p for p in parts if p not in keep]
-        self._tokenize(brief)
-        rest = [x for x in whole if x[0] not in keep]
-        self._compose(rest)
-        self.mark = mark
-        return brief + [x[0] for x in rest]
+            at = np.fromiter(map(hash, words.to_pylist()), np.int64, len(words)) & (len(self.seen) - 1)
+            keep = self.seen[at]
+            self.seen[at] = True
+        rows, kept = np.empty(len(words), np.int64), words.filter(pa.array(keep))
+        order = self._tokenize(kept)
+        self.mark = self.used, self.rows
+        # the known words stand by their rows
+        self.known = pa.concat_arrays([self.known, kept.take(pa.array(np.argsort(order)))])
+        rows[keep], rows[~keep] = order, self._tokenize(words.filter(pa.array(~keep)))
+        return rows
 
     def ids(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """The ids of each text, then `end`."""
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)  # special tokens keep their case
-        plain = pc.if_else(pa.array(odd), "", texts)
-        lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(plain), "\n", " "), " ")
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        plain = pc.replace_substring_regex(pc.replace_substring(pc.ascii_lower(plain), "\n", " "), self.MARK, r"\1 \2")
+        lists = pc.split_pattern(plain, " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        get, brief = self.known.get, []
-        if new := [w for w in words if get(w) is None]:
-            brief = self._learn(new)
-        rows = np.fromiter(map(get, words), np.int64, len(words))[coded.indices.to_numpy()]
-        flat, size = self._gather(rows)
-        for w in brief:
-            del self.known[w]
-        if brief:
-            self.used, self.rows = self.mark
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        new, rows = found.is_null().to_numpy(zero_copy_only=False), found.fill_null(0).to_numpy().astype(np.int64)
+        self.mark = self.used, self.rows
+        if new.any():
+            rows[new] = self._learn(coded.dictionary.filter(pa.array(new)))
+        flat, size = self._gather(rows[coded.indices.to_numpy()])
+        self.used, self.rows = self.mark
         cuts = np.concatenate(([0], np.cumsum(size)))[lists.offsets.to_numpy()]
         last, out = np.array([end], np.uint32), []
         for i in range(len(texts)):
@@ -152,29 +142,30 @@ def signature(terms: np.ndarray, order: np.ndarray) -> bytes:
 
 
 class Shard:
-    """Documents of one shard, their BM25 index over token ids, and the packing of them.
-    `corpus` has the number of all parts, the number that has each term, and the mean length;
-    without it the shard is the corpus."""
+    """Parts of documents (what their full windows leave), their BM25 index over token ids,
+    and the packing of them. `corpus` has the number of all parts, the number that has each
+    term, and the mean length; without it the shard is the corpus."""
 
     def __init__(self, length: int, corpus: tuple[int, np.ndarray, float] | None = None):
-        self.length, self.corpus, self.docs, self.ids, self.tokens = length, corpus, [], [], 0
+        self.length, self.corpus, self.docs, self.parts, self.tokens = length, corpus, [], [], 0
 
-    def add(self, doc, ids: np.ndarray) -> bool:
+    def add(self, doc, part: np.ndarray) -> bool:
+        """Takes a part, shorter than a window, and says whether the shard is full."""
         self.docs.append(doc)
-        self.ids.append(ids)
-        self.tokens += len(ids)
+        self.parts.append(part)
+        self.tokens += len(part)
         return len(self.docs) >= SHARD_DOCS or self.tokens >= SHARD_TOKENS
 
-    def index(self, rests: list[np.ndarray]) -> None:
-        """Postings of the parts to be packed: by term, the parts and their weights."""
-        terms = [np.unique(x, return_counts=True) for x in rests]
-        sizes = np.array([len(x) for x in rests], float)
-        part = np.repeat(np.arange(len(rests)), [len(t) for t, _ in terms])
+    def index(self) -> None:
+        """Postings: by term, the parts and their weights."""
+        terms = [np.unique(x, return_counts=True) for x in self.parts]
+        sizes = np.array([len(x) for x in self.parts], float)
+        part = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t, _ in terms])
         vocabulary, term = np.unique(np.concatenate([t for t, _ in terms]), return_inverse=True)
         tf = np.concatenate([c for _, c in terms]).astype(float)
         order = np.argsort(term, kind="stable")
         self.start = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-        every, df, mean = (self.corpus[0], self.corpus[1][vocabulary], self.corpus[2]) if self.corpus else (len(rests), np.diff(self.start), sizes.mean())
+        every, df, mean = (self.corpus[0], self.corpus[1][vocabulary], self.corpus[2]) if self.corpus else (len(terms), np.diff(self.start), sizes.mean())
         idf = np.log1p((every - df + 0.5) / (df + 0.5))
         self.part, self.weight = part[order], (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[part] / mean)))[order]
         ends = np.cumsum([len(t) for t, _ in terms])
@@ -186,32 +177,30 @@ class Shard:
         at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         return np.bincount(self.part[at], self.weight[at], minlength=len(self.of))
 
+    def forget(self, free: np.ndarray) -> None:
+        """Drops the postings of parts that aren't free."""
+        keep = free[self.part]
+        self.start = np.concatenate(([0], np.cumsum(keep)))[self.start]
+        self.part, self.weight = self.part[keep], self.weight[keep]
+
     def pack(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, start, length, sequence, offset) of each piece. Documents give their
-        full windows first. Of the parts that are left, each seed in turn opens a window and
-        its unused neighbours fill it, best score first: those that fit whole, then one cut
-        to fit. The last window, if not full, is cut into sequences of powers of two, which
-        need no padding."""
+        """(number of the part, start in it, length, sequence, offset) of each piece. Each
+        seed in turn opens a window and its unused neighbours fill it, best score first:
+        those that fit whole, then one cut to fit. The last window, if not full, is cut into
+        sequences of powers of two, which need no padding."""
         w, s = self.length, 0
-        start, size = [], []
-        for i, x in enumerate(self.ids):
-            full = len(x) // w
-            for k in range(full):
-                yield i, k * w, w, s, 0
-                s += 1
-            start.append(full * w)
-            size.append(len(x) - full * w)
-        parts = [i for i, n in enumerate(size) if n]
-        if not parts:
-            return
-        start, size = np.array([start[i] for i in parts]), np.array([size[i] for i in parts])
+        size = np.array([len(x) for x in self.parts], np.int64)
+        start, free = np.zeros(len(size), np.int64), size > 0
+        indexed = len(size)
         if size.sum() > w:
-            self.index([self.ids[i][a:] for i, a in zip(parts, start)])
-        free = np.ones(len(parts), bool)
-        for seed in range(len(parts)):
+            self.index()
+        for seed in range(len(size)):
             if not free[seed]:
                 continue
             free[seed] = False
+            if size.sum() > w and 4 * free.sum() < 3 * indexed:
+                self.forget(free)
+                indexed = free.sum()
             window, room = [(seed, size[seed])], w - size[seed]
             open_ = np.flatnonzero(free)
             if room and len(open_):
@@ -221,81 +210,85 @@ class Shard:
                     free[open_] = False
                 else:
                     ranked = open_[np.argsort(-self.scores(seed)[open_], kind="stable")]
-                    for j in ranked:
-                        if size[j] <= room:
-                            window.append((j, size[j]))
-                            free[j] = False
-                            room -= size[j]
-                            if not room:
-                                break
+                    fits = ranked[size[ranked] <= room]
+                    while len(fits):
+                        j = fits[0]
+                        window.append((j, size[j]))
+                        free[j] = False
+                        room -= size[j]
+                        fits = fits[1:][size[fits[1:]] <= room]
                     if room:
-                        window.append((next(j for j in ranked if free[j]), room))
+                        window.append((ranked[free[ranked]][0], room))
                         room = 0
-            pieces = []
+            found = []
             for j, n in window:
-                pieces.append((parts[j], start[j], n))
+                found.append((j, start[j], n))
                 start[j] += n
                 size[j] -= n
-            rest, at = sum(n for _, _, n in pieces), 0
+            rest, at = sum(n for _, _, n in found), 0
             while rest:
                 n = w if rest >= w else 1 << int(rest).bit_length() - 1
                 rest -= n
                 at = 0
                 while at < n:
-                    i, a, m = pieces.pop(0)
+                    i, a, m = found.pop(0)
                     take = min(m, n - at)
-                    yield i, a, take, s, at
+                    yield i, int(a), int(take), s, int(at)
                     at += take
                     if take < m:
-                        pieces.insert(0, (i, a + take, m - take))
+                        found.insert(0, (i, a + take, m - take))
                 s += 1
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2) -> DataFrame:
     """Pieces of documents, packed into sequences of `length` tokens.
 
-    A document is its text's ids by the tokenizers file `tokenizer`, then the id `end`. What
-    its full windows leave is its part. Documents are sorted by signatures of their parts'
-    terms over all the input, and cut into shards (at most SHARD_DOCS documents or about
-    SHARD_TOKENS tokens), indexed by BM25 over token ids with the statistics of all parts;
-    each seed's unused neighbours in its shard fill its window. Every id lies in exactly one
-    piece, and sequences are full but for the last ones of a shard, whose lengths are powers
-    of two: nothing is padded.
+    A document is its text's ids by the tokenizers file `tokenizer`, then the id `end`. Its
+    full windows are sequences by themselves; what they leave is its part. Parts are sorted
+    by signatures of their terms over all the input, and cut into shards (at most SHARD_DOCS
+    parts or about SHARD_TOKENS tokens), indexed by BM25 over token ids with the statistics
+    of all parts; each seed's unused neighbours in its shard fill its window. Every id lies
+    in exactly one piece, and sequences are full but for the last ones of a shard, whose
+    lengths are powers of two: nothing is padded.
 
-    docs: doc_id, text; other columns are ignored. A null or empty text is the one id `end`.
-    Repeated rows are documents of their own. No rows give no rows. Equal scores keep the
-    order of the rows.
+    docs: doc_id, text; other columns, of whatever names, are ignored. A null or empty text
+    is the one id `end`. Very long texts are tokenized whole, in time proportional to their
+    length. Repeated rows are documents of their own. No rows give no rows. Equal scores keep
+    the order of the rows.
 
     Returns doc_id long, start long, length long, ids binary (unsigned 32 bit, little
     endian), doc_tokens long, sequence_id long (by task and shard), offset long.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     names = [x.split()[0] for x in schema.split(", ")]
     coded_schema = "row long, doc_id long, ids binary, sig binary, term int, n long"
+    from tokenizers import Tokenizer
+
+    size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1)
+    kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")  # of ids on their way
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents by their ids; then statistics of the task's parts, in rows with a term."""
         from pyspark import TaskContext
 
         words, row = _words(tokenizer), TaskContext.get().partitionId() << 36
-        size = max(words.tokenizer.get_vocab_size(), end + 1)
         order, df, count, total = np.random.default_rng(0).permutation(size), np.zeros(size, np.int64), 0, 0
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
         fields = [x.split()[0] for x in coded_schema.split(", ")]
-        for b in batches:
-            for part in (b.slice(k, 2048) for k in range(0, b.num_rows, 2048)):
-                lists, sigs = words.ids(part.column(1), end), []
-                for x in lists:
-                    rest = x[len(x) // length * length :]
-                    terms = np.unique(rest)
-                    df[terms] += 1
-                    count += len(rest) > 0
-                    total += len(rest)
-                    sigs.append(signature(terms, order))
-                n = len(lists)
-                columns = [range(row, row + n), part.column(0), [x.tobytes() for x in lists], sigs, [None] * n, [None] * n]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=fields)
-                row += n
+        for b in pieces(batches, 1):
+            lists, sigs = words.ids(b.column(1), end), []
+            for x in lists:
+                rest = x[len(x) // length * length :]
+                terms = np.unique(rest)
+                df[terms] += 1
+                count += len(rest) > 0
+                total += len(rest)
+                sigs.append(signature(terms, order))
+            n = len(lists)
+            columns = [range(row, row + n), b.column(0), [x.astype(kind).tobytes() for x in lists], sigs, [None] * n, [None] * n]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=fields)
+            row += n
         if count:
             term = np.flatnonzero(df)
             none = [None] * (len(term) + 2)
@@ -314,24 +307,39 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 36
+        _words.cache_clear()  # a worker that made ids holds its words no longer
+        base, rows = TaskContext.get().partitionId() << 36, []
         shard = Shard(length, corpus)
 
+        def sequence(doc, start: int, ids: np.ndarray, every: int, offset: int, number: int) -> None:
+            rows.append((doc, start, len(ids), ids.astype("<u4").tobytes(), every, number, offset))
+
+        def made() -> Iterator[pa.RecordBatch]:
+            kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            rows.clear()
+
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal base
-            rows, most = [], -1
+            most = -1
             for i, a, n, s, at in shard.pack():
-                ids = shard.ids[i]
-                rows.append((shard.docs[i], int(a), int(n), ids[a : a + n].tobytes(), len(ids), base + s, int(at)))
+                doc, full = shard.docs[i]
+                sequence(doc, full + a, shard.parts[i][a : a + n], full + len(shard.parts[i]), at, base + s)
                 most = max(most, s)
             base += most + 1
-            if rows:
-                kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-        for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), b.column(1)):
-                if shard.add(doc, np.frombuffer(ids.as_py(), np.uint32)):
+            yield from made()
+
+        for b in pieces(batches, 1):
+            for doc, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = np.frombuffer(raw.as_py(), kind)
+                full = len(ids) // length * length
+                for k in range(0, full, length):
+                    sequence(doc, k, ids[k : k + length], len(ids), 0, base)
+                    base += 1
+                    if len(rows) >= SHARD_DOCS:
+                        yield from made()
+                if full < len(ids) and shard.add((doc, full), ids[full:].copy()):
                     yield from flush()
                     shard = Shard(length, corpus)
         yield from flush()

@@ -8,7 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined, written
 
 #: (rule, verdict): host and the start of the path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -68,7 +68,7 @@ def mine(labelled: DataFrame, rows: int = 50_000, support: float = 0.01, confide
     it would drop for a shorter one aren't mined: a token with one verdict only is a rule by
     itself, and of tokens on the same rows one stands for all."""
     mark = F.concat(F.lit("="), F.col("verdict"))
-    bounded = written(labelled.select("items", mark.alias("mark"), F.xxhash64("id").alias("h")).orderBy("h").limit(rows))
+    bounded = written(labelled.select("items", mark.alias("mark"), F.xxhash64("id").alias("h")).orderBy("h").limit(rows).repartition(16, "h"))
     n = bounded.count()
     h = [F.sum(x.cast("decimal(38)")) for x in (F.col("h"), F.xxhash64("h", F.lit(1)))]
     by = bounded.select(F.explode("items").alias("item"), "mark", "h").groupBy("item").agg(F.count("*").alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"), F.struct(*h).alias("on"))
@@ -103,7 +103,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, default: s
     then best supported, then the one with more tokens, then the blocking one decides, and
     without any `default`.
 
-    pages: page_id, url; other columns are ignored. A null URL, and one without ://, has an
+    pages: page_id, url; other columns, of whatever names, are ignored. Very long URLs are
+    taken whole. A null URL, and one without ://, has an
     empty host and path, no rule and the verdict `default`. Repeated rows are judged each; no
     rows give no rows.
 
@@ -117,9 +118,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, default: s
     learnt, own = pruned(mined), F.array_sort(standing(own, same))
     # equal token lists are judged once, which also takes hot hosts together
     asked = seen.where(F.col("rule").isNull() & (F.col("host") != "")).select(own.alias("items")).distinct()
-    index = learnt.select("rule", "verdict", "confidence", "support", F.size("items").alias("n"), F.explode("items").alias("item"))
-    hit = asked.select("items", F.explode("items").alias("item")).join(index, "item").groupBy("items", "rule").agg(F.count("*").alias("got"), F.first("n").alias("n"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
-    best = hit.where("got = n").groupBy("items").agg(F.max_by("verdict", F.struct("confidence", "support", "n", "verdict")).alias("mined"))
-    every = seen.select("*", F.when(F.col("rule").isNull() & (F.col("host") != ""), own).alias("items"))
-    out = every.join(best, "items", "left")
+    index = written(learnt.select("rule", "verdict", "confidence", "support", F.size("items").alias("n"), F.explode("items").alias("item")))
+    hit = joined(asked.select("items", F.explode("items").alias("item")), index, "item", index.count()).groupBy("items", "rule").agg(F.count("*").alias("got"), F.first("n").alias("n"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+    best = written(hit.where("got = n").groupBy("items").agg(F.max_by("verdict", F.struct("confidence", "support", "n", "verdict")).alias("mined")))
+    # rows that the mined rules don't judge aren't joined: their items would all be null
+    mined = joined(seen.where(F.col("rule").isNull() & (F.col("host") != "")).select("page_id", "host", "path", "rule", own.alias("items")), best, "items", best.count(), "left")
+    others = seen.where(F.col("rule").isNotNull() | (F.col("host") == "")).select("page_id", "host", "path", "rule", F.lit(None).cast("string").alias("mined"))
+    out = mined.select("page_id", "host", "path", "rule", "mined").union(others)
     return out.select("page_id", "host", "path", "rule", F.coalesce(verdict, F.col("mined"), F.lit(default)).alias("verdict"))

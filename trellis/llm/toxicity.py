@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, trim
+from .common import map_arrow, pieces, small_batches, trim
 
 #: Insults to start with; training adds the words that its labels show.
 INSULTS = """idiot moron stupid dumb loser scum trash garbage pathetic worthless disgusting clown fool jerk creep pig
@@ -23,7 +23,8 @@ SECOND_PERSON = set("you your yours yourself u ur du dich dir dein deine ihr euc
 #: Signs put in the place of letters.
 DISGUISE = str.maketrans("013457@$!", "oleastasi", "*._-")
 WORD = re.compile(r"[^\W\d_]+")
-MASKED = re.compile(r"[^\W\d_]+[0-9@$*!][\w@$*!]*[^\W_]")
+#: From the start of a run of letters, which is tried once however long it is.
+MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$*!][\w@$*!]*[^\W_]")
 LONG = re.compile(r"([^\W\d_])\1\1")
 NAMES = """log_words seed_rate seed_hits own_rate own_hits own_weight own_top own_kinds near_you you_rate capitals capital_words
     exclaims questions marks digits non_ascii masked masked_hits stretched distinct word_length line_length""".split()
@@ -164,7 +165,7 @@ def _arrow(f, kind: str):
     """mapInArrow of f over (text, toxic) rows in one go a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(b for b in batches if b.num_rows)
+        yield from f(b for b in pieces(batches, 1) if b.num_rows)
         trim()
 
     return run, kind
@@ -176,6 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, words: int = 2
     toxic documents of these rows have most more often than others, by log-odds of at
     least 3 and in at least 8 and two percent of the toxic ones. Features of the sample,
     `rows` short lists of numbers, are what the driver gets."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounds what is broadcast
@@ -229,10 +231,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Each document's probability to be labelled toxic, from its whole text alone.
 
-    docs: doc_id, text; labels: doc_id, toxic; other columns are ignored. Null and empty
-    texts are scored by what their features (zeros) say; repeated rows are scored each, and
-    the labels of a repeated doc_id count as toxic if one is. Without labels of both kinds
-    each score is the share of toxic labels, or 0. No rows give no rows.
+    docs: doc_id, text; labels: doc_id, toxic; other columns, of whatever names, are ignored.
+    Null and empty texts are scored by what their features (zeros) say; very long texts are
+    scored whole, in time proportional to their length; repeated rows are scored each, and
+    the labels of a repeated doc_id count as toxic if one is; null labels don't count.
+    Without labels of both kinds each score is the share of toxic labels, or 0. No rows give
+    no rows.
 
     Returns doc_id long, held_out boolean, score double, predicted int (score >= threshold).
     """
@@ -242,10 +246,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def tolerable(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs`, with all its columns, whose score is under the threshold."""
-    model = train(docs, labels)
+    model, at = train(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, at):
             if b.num_rows:
                 x = np.array([features(t, model.lexicon) for t in b.column("text").cast(pa.string()).to_pylist()])
                 yield b.filter(pa.array(model.scores(x) < threshold))

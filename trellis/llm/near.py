@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import trim, written
+from .common import joined, small_batches, trim, written
 
 #: Groups that n-grams are hashed into: the dimensions of a count vector.
 GROUPS = 64
@@ -24,8 +24,8 @@ BUCKET = 1_000_000
 PIVOTS = 8
 #: Pivots by which nodes are families.
 FAMILIES = 4
-#: Document ids that may be broadcast.
-BROADCAST_IDS = 1_000_000
+#: Document ids that may be broadcast, and nodes up to which a round isn't written in two.
+BROADCAST_IDS, BROADCAST_NODES = 1_000_000, 1_000_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -133,7 +133,11 @@ class RTree:
     bounds would suffice for a link with its smallest entry. The tree has the vectors by
     GROUPS dimensions; entries that it leaves are held against each other's finer vectors."""
 
-    def __init__(self, vectors: list[np.ndarray], percent: int):
+    def __init__(self, vectors: list[np.ndarray], percent: int, label: np.ndarray | None = None):
+        self.main = np.zeros(len(vectors), bool)
+        if label is not None:  # those of the label that most have need no search of their own
+            labels, place = np.unique(label, return_inverse=True)
+            self.main = place == np.bincount(place).argmax()
         points = np.concatenate([folded(v[None], GROUPS) for v in vectors])
         self.points, self.size, self.percent = points, points.sum(axis=1), percent
         self.width = np.array([len(v) for v in vectors])
@@ -152,7 +156,8 @@ class RTree:
             self.levels.append((top, low, high))
 
     def partners(self, i: int) -> np.ndarray:
-        """Places after i whose vectors may link with that of i."""
+        """Places after i, and those of the label that most have, whose vectors may link with
+        that of i."""
         point, size = self.points[i], self.size[i]
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -162,7 +167,7 @@ class RTree:
             nodes = (nodes[fit][:, None] * NODE + np.arange(NODE)).ravel()
             nodes = nodes[nodes < (len(self.levels[depth - 1][0]) if depth else len(self.order))]
         at = self.order[nodes]
-        at = at[at > i]
+        at = at[(at > i) | self.main[at]]
         at = at[links(np.minimum(self.points[at], point).sum(axis=1), size, self.size[at], self.percent)]
         own, out = self.fine[self.width[i]][self.row[i]], [at[:0]]
         for w in np.unique(self.width[at]):
@@ -177,11 +182,13 @@ def connected(edges: DataFrame) -> DataFrame:
     own label, so that paths halve; rounds are written to the shared folder."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
+    n = labels.count()
+    while True:  # hubs and the labels of large classes are hot keys
+        near = joined(both, labels.withColumnRenamed("node", "b"), "b", n).groupBy("a").agg(F.min("label").alias("m"))
         new = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("next"), F.col("label").alias("old"))
-        up = new.select(F.col("node").alias("up"), F.col("next").alias("over"))
-        new = written(new.join(up, new["next"] == up["up"]).select("node", F.least("next", "over").alias("label"), (F.col("old") != F.least("next", "over")).alias("moved")))
+        new = written(new) if n > BROADCAST_NODES else new
+        up = new.select(F.col("node").alias("next"), F.col("next").alias("over"))
+        new = written(joined(new, up, "next", n).select("node", F.least("next", "over").alias("label"), (F.col("old") != F.least("next", "over")).alias("moved")))
         labels = new.select("node", "label")
         if new.where("moved").isEmpty():
             return labels
@@ -227,13 +234,22 @@ def shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
+def blocks_of(size: Column) -> Column:
+    """Blocks of a group of this many members, in as many units each of them is."""
+    return F.when(size <= TREE, 1).otherwise(F.ceil(size / (TREE // 2))).cast("int")
+
+
+def in_units(groups: Column) -> Column:
+    """Members of groups of these sizes in all units."""
+    return F.coalesce(F.sum(groups * blocks_of(groups)), F.lit(0)).cast("long")
+
+
 def _in_units(members: DataFrame, rows: int, search, columns: list[str]) -> DataFrame:
     """Distinct (a, b) of what search(sig, label, other columns) finds in each group of
     members (key, size of the group, sig, label, ...). A group of more than TREE members is
     cut into blocks, of which every two meet in a unit of their own. About `rows` members in
-    all: many small units share a task's table."""
-    parts = F.ceil(F.col("size") / (TREE // 2)).cast("int")
-    m = members.withColumn("parts", F.when(F.col("size") <= TREE, 1).otherwise(parts)).withColumn("own", F.pmod(F.xxhash64("sig", F.lit(7)), F.col("parts")).cast("int"))
+    all units: many small units share a task's table."""
+    m = members.withColumn("parts", blocks_of(F.col("size"))).withColumn("own", F.pmod(F.xxhash64("sig", F.lit(7)), F.col("parts")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "label", *columns)
 
@@ -261,8 +277,8 @@ def _tree_pairs(members: DataFrame, rows: int, percent: int) -> DataFrame:
 
     def search(sig, label, family, points):
         family = [set(x) for x in family.to_pylist()]
-        tree = RTree([vector(x) for x in points.to_pylist()], percent)
-        for i in range(len(sig)):
+        tree = RTree([vector(x) for x in points.to_pylist()], percent, label)
+        for i in np.flatnonzero(~tree.main):
             at = tree.partners(i)
             at = at[label[at] != label[i]]
             at = at[[family[i].isdisjoint(family[j]) for j in at]] if family[i] and len(at) else at
@@ -276,7 +292,7 @@ def _family_links(members: DataFrame, rows: int, percent: int) -> DataFrame:
     links found so far connect."""
 
     def search(sig, label, points, grams):
-        tree = RTree([vector(x) for x in points.to_pylist()], percent)
+        tree = RTree([vector(x) for x in points.to_pylist()], percent, label)
         sets = [np.frombuffer(x, np.uint64) for x in grams.to_pylist()]
         first: dict[int, int] = {}
         parent = [first.setdefault(x, i) for i, x in enumerate(label.tolist())]
@@ -287,7 +303,7 @@ def _family_links(members: DataFrame, rows: int, percent: int) -> DataFrame:
                 i = parent[i]
             return i
 
-        for i in range(len(sig)):
+        for i in np.flatnonzero(~tree.main).tolist():
             for j in tree.partners(i).tolist():
                 x, y = find(i), find(j)
                 if x != y and links(shared(sets[i], sets[j]), len(sets[i]), len(sets[j]), percent):
@@ -358,7 +374,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     Nothing is capped: large groups are cut into blocks that meet pairwise. Sets are made
     again from the texts for the nodes of such pairs only.
 
-    docs: doc_id, text; other columns are ignored. Null texts and texts without words have
+    docs: doc_id, text; other columns, of whatever names, are ignored. Very long texts are
+    taken whole, in time proportional to their length. Null texts and texts without words have
     n_shingles 0 and are linked with nothing; rows with one doc_id are one document whose
     sets all count; a null doc_id is linked with nothing and is its own, null, component. No
     rows give no rows.
@@ -366,6 +383,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     Returns a row for each row: doc_id long, n_shingles long, component_id long (smallest
     doc_id reachable by links).
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,24 +451,26 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     members = own(family.join(several, "family")).select(F.col("family").alias("key"), "size", "sig", "label")
     apart = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     members = members.join(apart, "key").join(points, "sig").join(sets, "sig")
-    first = written(first.union(_family_links(members, several.agg(F.sum("size")).first()[0] or 0, percent)))
+    first = written(first.union(_family_links(members, several.agg(in_units(F.col("size"))).first()[0], percent)))
     # what isn't of one family, in the groups of shared anchors
     label = connected(first)
     of = family.join(several, "family", "left_semi").groupBy("sig").agg(F.array_sort(F.collect_set("family")).alias("family"))
     members = own(entries).join(of, "sig", "left").withColumn("family", F.coalesce("family", F.array().cast("array<bigint>")))
     apart = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     members = members.join(apart, "key").join(points, "sig").select("key", "size", "sig", "label", "family", "points")
-    pairs = written(_tree_pairs(members, entries.count(), percent))
+    pairs = written(_tree_pairs(members, groups.agg(in_units(F.col("members"))).first()[0], percent))
     more = written(_verified(pairs, sets_of(ends(pairs)), percent))
     label = connected(first.union(more))
 
     # rows of one doc_id are one document, whatever their sets
     ids = described.where("size > 0 and doc_id is not null").select("doc_id", "sig")
     rows = ids.join(label, ids["sig"] == label["node"], "left").select("doc_id", F.coalesce("label", "sig").alias("label"))
-    least = rows.groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = written(rows.join(least, "label").groupBy("doc_id").agg(F.min("least").alias("component_id"), F.count_distinct("label").alias("several")))
+    rows = written(rows)
+    least = written(rows.groupBy("label").agg(F.min("doc_id").alias("least")))
+    of_class = joined(rows, least, "label", least.count())
+    out = written(of_class.groupBy("doc_id").agg(F.min("least").alias("component_id"), F.count_distinct("label").alias("several")))
     if not out.where("several > 1").isEmpty():
-        whole = connected(rows.join(least, "label").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+        whole = connected(of_class.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
         out = whole.select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
     result = described.select("doc_id", F.col("size").alias("n_shingles")).join(out.select("doc_id", "component_id"), "doc_id", "left")
     return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

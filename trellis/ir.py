@@ -10,6 +10,8 @@ RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
 TYPE = RDF + "type"
+#: What a note is about: the subject, predicate and object of an edge.
+ABOUT = ("http://trellis/reifiesSubject", "http://trellis/reifiesPredicate", "http://trellis/reifiesObject")
 
 
 # ---- terms

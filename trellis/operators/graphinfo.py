@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ir import TYPE
-
-#: Columns of an annotation: the edge it is about.
-ABOUT = ("http://trellis/reifiesSubject", "http://trellis/reifiesPredicate", "http://trellis/reifiesObject")
+from ..ir import ABOUT, TYPE
 
 
 def labels(facts: DataFrame) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ir import TYPE, Group
 
+if TYPE_CHECKING:
+    from ..plans.compile import Dataset
+
 
 @dataclass
 class Policy:
@@ -58,3 +62,31 @@ def visible(spark: SparkSession, facts: DataFrame, policies: list[Policy], defau
         if not p.allow or p.required:
             denied = denied | (hit & ~says)
     return df.where(F.when(any_hit, allowed & ~denied).otherwise(F.lit(default_allow))).select(*columns)
+
+
+def secured(spark: SparkSession, data: Dataset, policies: list[Policy], default_allow: bool = False) -> Dataset:
+    """The dataset as a reader may see it: each graph's facts are those that the policies show,
+    below every scan, path, rule and index that is made of them."""
+    from ..plans.compile import Dataset
+    from ..sources.flakes import FlakeGraph
+
+    def seen(g: FlakeGraph) -> FlakeGraph:
+        return FlakeGraph(g.flakes, facts=visible(spark, g.facts(), policies, default_allow))
+
+    return Dataset(seen(data.default), {k: seen(g) for k, g in data.named.items()}, data.services, data.indexes)
+
+
+def forbidden(spark: SparkSession, flakes: DataFrame, new: DataFrame, policies: list[Policy], default_allow: bool = False) -> DataFrame:
+    """Of flakes to be appended, those that the policies of a writer don't allow: asserts are
+    judged by the state after them, retractions by the state before. An update goes through
+    only if there are none."""
+    from ..sources.flakes import FACT, current
+
+    new = new.select(flakes.columns)
+    states = ((True, current(flakes.union(new))), (False, current(flakes)))
+    out = []
+    for op, state in states:
+        seen = visible(spark, state, policies, default_allow).select(*FACT)
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"v.{c}")) for c in FACT]
+        out.append(new.where(F.col("op") == op).alias("n").join(seen.alias("v"), same, "left_anti"))
+    return out[0].union(out[1])

@@ -249,6 +249,11 @@ def materialised(facts: DataFrame, rules: list | None = None) -> DataFrame:
     raise RuntimeError("inference did not end")
 
 
+@dataclass(frozen=True)
+class Taken(Triple):
+    """A pattern that is one of the ways of another."""
+
+
 def expand(group: Group, subclasses: dict[str, list[str]], subproperties: dict[str, list[str]], inverses: dict[str, str] | None = None, most: int = 50, domains: dict[str, list[str]] | None = None, ranges: dict[str, list[str]] | None = None) -> Group:
     """A group's patterns over all subclasses, subproperties and inverse properties, as unions.
     The dicts hold closures; of more than `most` classes or properties a pattern takes those
@@ -256,7 +261,7 @@ def expand(group: Group, subclasses: dict[str, list[str]], subproperties: dict[s
     of; for a pattern of a class these count as well."""
     out = []
     for t in group.parts:
-        if not isinstance(t, Triple) or not isinstance(t.p, Iri):
+        if not isinstance(t, Triple) or isinstance(t, Taken) or not isinstance(t.p, Iri):
             out.append(t)
             continue
         ways: list = [(t,)]
@@ -264,22 +269,22 @@ def expand(group: Group, subclasses: dict[str, list[str]], subproperties: dict[s
             classes = [t.o.value, *subclasses.get(t.o.value, [])]
             if len(classes) > most:
                 c = Var(f"_c{len(out)}")
-                ways = [(Triple(t.s, t.p, c), Filter(Call("in", (c, *map(Iri, classes)))))]
+                ways = [(Taken(t.s, t.p, c), Filter(Call("in", (c, *map(Iri, classes)))))]
             else:
-                ways = [(Triple(t.s, t.p, Iri(c)),) for c in classes]
+                ways = [(Taken(t.s, t.p, Iri(c)),) for c in classes]
             for by, forth in ((domains or {}, True), (ranges or {}, False)):
                 names = dict.fromkeys(q for c in classes for p in by.get(c, []) for q in (p, *subproperties.get(p, [])))
                 other = Var(f"_d{len(out)}")
-                ways += [(Triple(t.s, Iri(p), other) if forth else Triple(other, Iri(p), t.s),) for p in names]
+                ways += [(Taken(t.s, Iri(p), other) if forth else Taken(other, Iri(p), t.s),) for p in names]
         else:
             names = [t.p.value, *subproperties.get(t.p.value, [])]
             turned = [(n, inverses[n]) for n in names if inverses and n in inverses]
             if len(names) > most:
                 p = Var(f"_p{len(out)}")
-                ways = [(Triple(t.s, p, t.o), Filter(Call("in", (p, *map(Iri, names)))))]
+                ways = [(Taken(t.s, p, t.o), Filter(Call("in", (p, *map(Iri, names)))))]
             else:
-                ways = [(Triple(t.s, Iri(p), t.o),) for p in names]
-            ways += [(Triple(t.o, Iri(q), t.s),) for _, q in turned]
+                ways = [(Taken(t.s, Iri(p), t.o),) for p in names]
+            ways += [(Taken(t.o, Iri(q), t.s),) for _, q in turned]
         if len(ways) == 1:
             out += ways[0]
         elif domains or ranges:  # a subject of a class counts once, by however many facts
@@ -302,6 +307,59 @@ def hierarchy(facts: DataFrame, predicate: str, most: int = 200_000) -> dict[str
     return {k: sorted(v) for k, v in out.items()}
 
 
+def rewriter(facts: DataFrame, ql: bool = False):
+    """A function from groups to groups that take in a schema's hierarchies (RDFS), and with `ql`
+    inverse properties, domains and ranges; for Compiler.rewrite."""
+    facts = facts.select("s", "p", "o")
+    classes, properties = hierarchy(facts, RDFS + "subClassOf"), hierarchy(facts, RDFS + "subPropertyOf")
+
+    def pairs(p: str, most: int = 200_000) -> list:
+        rows = _of(facts, p, "a", "b").distinct().limit(most + 1).collect()
+        if len(rows) > most:
+            raise RuntimeError(f"more than {most} facts of {p}")
+        return [(r.a, r.b) for r in rows]
+
+    inverses, domains, ranges = {}, {}, {}
+    if ql:
+        inverses = dict(sorted(x for a, b in pairs(OWL + "inverseOf") for x in ((a, b), (b, a))))
+        for p, by in ((RDFS + "domain", domains), (RDFS + "range", ranges)):
+            for a, c in sorted(pairs(p)):
+                by.setdefault(c, []).append(a)
+    return lambda g: expand(g, classes, properties, inverses, domains=domains or None, ranges=ranges or None)
+
+
+MODES = ("rdfs", "owl2ql", "owl2rl", "datalog")
+
+
+def reasoned(spark: SparkSession, data, modes: list[str], rules: list[Rule] | None = None):
+    """(dataset, rewrite) for a query under these modes: rdfs and owl2ql rewrite the query,
+    owl2rl and datalog make facts of the default graph. Where owl2rl has made its facts the
+    query isn't rewritten as well, for then answers would come twice."""
+    from ..plans.compile import Dataset
+    from ..sources.flakes import FlakeGraph
+
+    if unknown := set(modes) - set(MODES):
+        raise ValueError(f"unknown modes {sorted(unknown)}")
+    g = data.default
+    facts = g.facts().select("s", "p", "o", "dt", "lang")
+    if "owl2rl" in modes:
+        links = facts.where("dt = '@id'")
+        known = materialised(links.select("s", "p", "o"))
+        # literals are written of the same least subjects
+        labels = known.where(F.col("p") == OWL + "sameAs").select(F.col("s").alias("_s"), F.col("o").alias("_o"))
+        texts = facts.where("dt <> '@id'").join(labels, F.col("s") == F.col("_s"), "left").withColumn("s", F.coalesce("_o", "s")).drop("_s", "_o")
+        facts = kept(texts.unionByName(known.withColumn("dt", F.lit("@id")).withColumn("lang", F.lit(None).cast("string"))).distinct())
+    if "datalog" in modes:
+        made = datalog(spark, facts.select("s", "p", "o", "dt"), rules or [])
+        facts = made.join(facts.where("lang is not null"), ["s", "p", "o", "dt"], "left").select("s", "p", "o", "dt", "lang")
+    if facts is not None and {"owl2rl", "datalog"} & set(modes):
+        flakes = facts.selectExpr("cast(null as string) g", "s", "p", "o", "dt", "lang", "cast(null as int) i", "1L t", "true op")
+        g = FlakeGraph(flakes, facts=flakes)
+    plain = {"rdfs", "owl2ql"} & set(modes) and "owl2rl" not in modes
+    rewrite = rewriter(g.facts(), "owl2ql" in modes) if plain else None
+    return Dataset(g, data.named, data.services, data.indexes), rewrite
+
+
 @dataclass
 class Rule:
     """A Datalog rule: for each solution of `where`, the facts of `insert`."""
@@ -310,6 +368,32 @@ class Rule:
     insert: list[Triple]
 
 
+def rule(text: str, prefixes: dict[str, str] | None = None) -> Rule:
+    """A rule written as a SPARQL CONSTRUCT query."""
+    from ..parsers.sparql import parse
+
+    q = parse(text, prefixes)
+    if q.form != "construct":
+        raise ValueError("a rule is a CONSTRUCT query")
+    return Rule(q.where, q.template)
+
+
+def bundle(data, iri: str, most: int = 1000) -> DataFrame:
+    """The facts of a schema's graph and of those that it imports, directly or not."""
+    todo, done = [iri], {}
+    while todo:
+        name = todo.pop()
+        g = data.graph(name)
+        if g is None:
+            raise ValueError(f"no graph {name}")
+        done[name] = g.facts()
+        if len(done) > most:
+            raise RuntimeError(f"more than {most} imported graphs")
+        found = [r.o for r in done[name].where(F.col("p") == OWL + "imports").select("o").distinct().limit(most + 1).collect()]
+        todo += [x for x in sorted(found) if x not in done and x not in todo]
+    return reduce(DataFrame.union, done.values())
+
+
 def datalog(spark: SparkSession, facts: DataFrame, rules: list[Rule]) -> DataFrame:
     """facts (s, p, o, dt) with all that the rules insert, to a fixpoint."""
     from ..plans.compile import Compiler, Dataset

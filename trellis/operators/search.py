@@ -108,16 +108,25 @@ def vector_top(vectors: DataFrame, id: str, vector: str, query: list[float], k:
     return vectors.select(F.col(id).alias("id"), score.alias("score")).where("score is not null").orderBy(order, "id").limit(k)
 
 
+def around(y: float, x: float, metres: float) -> tuple[float, float, float | None, float | None]:
+    """South, north, west and east of the box that holds all within `metres` of a point; west and
+    east are None where it would hold a pole or cross the date line."""
+    dy = math.degrees(metres / S.EARTH_METRES) * (1 + 1e-9)
+    if abs(y) + dy < 90:
+        dx = math.degrees(math.asin(min(1.0, math.sin(min(math.pi / 2, metres / S.EARTH_METRES)) / math.cos(math.radians(y))))) * (1 + 1e-9)
+        if x - dx >= -180 and x + dx <= 180:
+            return y - dy, y + dy, x - dx, x + dx
+    return y - dy, y + dy, None, None
+
+
 def within(points: DataFrame, id: str, lat: str, lon: str, at: tuple[float, float], metres: float, limit: int | None = None) -> DataFrame:
     """(id, distance) of points at most `metres` away, nearest first. A box on the columns
     reaches the scan; the great-circle distance decides."""
     y, x = at
-    dy = math.degrees(metres / S.EARTH_METRES) * (1 + 1e-9)
-    box = F.col(lat).between(y - dy, y + dy)
-    if abs(y) + dy < 90:
-        dx = math.degrees(math.asin(min(1.0, math.sin(min(math.pi / 2, metres / S.EARTH_METRES)) / math.cos(math.radians(y))))) * (1 + 1e-9)
-        if x - dx >= -180 and x + dx <= 180:  # else the box would cross the date line
-            box = box & F.col(lon).between(x - dx, x + dx)
+    low, high, left, right = around(y, x, metres)
+    box = F.col(lat).between(low, high)
+    if left is not None:
+        box = box & F.col(lon).between(left, right)
     d = S.haversine(F.col(lat), F.col(lon), F.lit(y), F.lit(x))
     out = points.where(box).select(F.col(id).alias("id"), d.alias("distance")).where(F.col("distance") <= metres).orderBy("distance", "id")
     return out.limit(limit) if limit is not None else out
@@ -141,18 +150,81 @@ def point_in_ring(lat: Column, lon: Column, ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + crosses(i)) % 2 == 1
 
 
-def ring(wkt: Column) -> Column:
-    """The outer ring of a WKT polygon as array<struct<lat, lon>>."""
-    body = F.regexp_extract(wkt, r"(?i)polygon\s*\(\s*\(([^)]*)\)", 1)
-    return F.transform(F.split(F.trim(body), r"\s*,\s*"), lambda p: F.struct(F.element_at(F.split(p, r"\s+"), 2).cast("double").alias("lat"), F.element_at(F.split(p, r"\s+"), 1).cast("double").alias("lon")))
+def rings(wkt: Column) -> Column:
+    """The rings of a WKT polygon, holes among them: array<array<struct<lat, lon>>>."""
+    bodies = F.regexp_extract_all(F.regexp_replace(wkt, r"(?i)^\s*polygon\s*\(|\)\s*$", ""), F.lit(r"\(([^()]*)\)"), F.lit(1))
+    point = lambda p: F.struct(F.element_at(F.split(F.trim(p), r"\s+"), 2).cast("double").alias("lat"), F.element_at(F.split(F.trim(p), r"\s+"), 1).cast("double").alias("lon"))
+    return F.transform(bodies, lambda b: F.transform(F.split(b, ","), point))
+
+
+def inside(lat: Column, lon: Column, rings_: Column) -> Column:
+    """Whether a point lies in a polygon and in none of its holes: an odd number of rings."""
+    return F.size(F.filter(rings_, lambda r: point_in_ring(lat, lon, r))) % 2 == 1
+
+
+def _cut(a: Column, b: Column) -> Column:
+    """Whether an edge of the rings of a crosses one of b."""
+
+    def edges(rs: Column) -> Column:
+        return F.flatten(F.transform(rs, lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.struct(F.get(r, i - 1).alias("p"), F.get(r, i).alias("q")))))
+
+    def side(p, q, r) -> Column:
+        return (q["lon"] - p["lon"]) * (r["lat"] - p["lat"]) - (q["lat"] - p["lat"]) * (r["lon"] - p["lon"])
+
+    def cross(x, y) -> Column:
+        return (side(x["p"], x["q"], y["p"]) * side(x["p"], x["q"], y["q"]) < 0) & (side(y["p"], y["q"], x["p"]) * side(y["p"], y["q"], x["q"]) < 0)
+
+    other = edges(b)
+    return F.exists(F.transform(edges(a), lambda x: F.exists(other, lambda y: cross(x, y))), lambda x: x)
+
+
+def _celled(shapes: DataFrame, name: str, degrees: float) -> DataFrame:
+    """Polygons (id, wkt), a row for each grid cell that their boxes meet."""
+    p = shapes.select(F.col("id").alias(name), rings(F.col("wkt")).alias(f"{name}_rings"))
+    flat = F.flatten(f"{name}_rings")
+    low, high = (lambda c, f=f: F.floor(f(F.transform(flat, lambda q: q[c])) / degrees) for f in (F.array_min, F.array_max))
+    return p.withColumn("y", F.explode(F.sequence(low("lat"), high("lat")))).withColumn("x", F.explode(F.sequence(low("lon"), high("lon"))))
 
 
 def containing(points: DataFrame, polygons: DataFrame, degrees: float = 1.0) -> DataFrame:
-    """(point, polygon) of points (id, lat, lon) in polygons (id, wkt): polygons are dealt to
-    the grid cells that their boxes meet, points to theirs, and cells are joined on."""
-    p = polygons.select(F.col("id").alias("polygon"), ring(F.col("wkt")).alias("ring"))
-    low = lambda c: F.floor(F.array_min(F.transform("ring", lambda q: q[c])) / degrees)
-    high = lambda c: F.floor(F.array_max(F.transform("ring", lambda q: q[c])) / degrees)
-    p = p.withColumn("y", F.explode(F.sequence(low("lat"), high("lat")))).withColumn("x", F.explode(F.sequence(low("lon"), high("lon"))))
+    """(point, polygon) of points (id, lat, lon) in polygons (id, wkt) and not in their holes:
+    polygons are dealt to the grid cells that their boxes meet, points to theirs, and cells
+    are joined on."""
+    p = _celled(polygons, "polygon", degrees)
     q = points.select(F.col("id").alias("point"), "lat", "lon", F.floor(F.col("lat") / degrees).alias("y"), F.floor(F.col("lon") / degrees).alias("x"))
-    return q.join(p, ["y", "x"]).where(point_in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select("point", "polygon")
+    return q.join(p, ["y", "x"]).where(inside(F.col("lat"), F.col("lon"), F.col("polygon_rings"))).select("point", "polygon")
+
+
+def meeting(left: DataFrame, right: DataFrame, how: str = "intersects", degrees: float = 1.0) -> DataFrame:
+    """(a, b) of polygons (id, wkt) that intersect, or of which a is `within` b: they meet in a
+    grid cell, and their edges and corners decide. Edges that only touch don't cross."""
+    if how not in ("intersects", "within"):
+        raise ValueError(f"unknown relation {how}")
+    both = _celled(left, "a", degrees).join(_celled(right, "b", degrees), ["y", "x"]).dropDuplicates(["a", "b"])
+    a, b = F.col("a_rings"), F.col("b_rings")
+    corners = lambda x, y: F.transform(F.flatten(x), lambda p: inside(p["lat"], p["lon"], y))
+    if how == "within":
+        hole = F.exists(corners(F.slice(b, F.lit(2), F.size(b)), F.slice(a, F.lit(1), F.lit(1))), lambda x: x)  # a hole of b within a
+        fits = F.forall(corners(F.slice(a, F.lit(1), F.lit(1)), b), lambda x: x) & ~_cut(a, b) & ~hole
+    else:
+        fits = F.exists(corners(a, b), lambda x: x) | F.exists(corners(b, a), lambda x: x) | _cut(a, b)
+    return both.where(fits).select("a", "b")
+
+
+def nearby(points: DataFrame, at: DataFrame, metres: float) -> DataFrame:
+    """(point, place, distance) of points (id, lat, lon) at most `metres` from places of the same
+    columns: both are dealt to grid cells of that height, places to those around them too."""
+    degrees = max(math.degrees(metres / S.EARTH_METRES) * (1 + 1e-9), 1e-6)
+    # a band of latitude is cut into as many cells as the one next to it, nearer to the pole, has
+    # room for; around a pole it is one cell
+    band = lambda lat: F.when(lat < 89.9, F.greatest(F.floor(360 * F.cos(F.radians(lat)) / degrees) - 1, F.lit(1))).otherwise(F.lit(1))
+    edge = lambda y: F.greatest(F.abs(y * degrees), F.abs((y + 1) * degrees)) + degrees
+    row = lambda lat: F.floor(lat / degrees)
+    cell = lambda lon, y: F.floor((lon + 180) / 360 * band(edge(y)))
+    p = points.select(F.col("id").alias("point"), "lat", "lon", row(F.col("lat")).alias("y"))
+    p = p.withColumn("x", F.pmod(cell(F.col("lon"), F.col("y")), band(edge(F.col("y")))))
+    q = at.select(F.col("id").alias("place"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), row(F.col("lat")).alias("y0"))
+    q = q.withColumn("y", F.explode(F.array(*[F.col("y0") + i for i in (-1, 0, 1)])))
+    q = q.withColumn("x", F.explode(F.array_distinct(F.array(*[F.pmod(cell(F.col("lon2"), F.col("y")) + i, band(edge(F.col("y")))) for i in (-1, 0, 1)]))))
+    d = S.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    return p.join(q.select("place", "lat2", "lon2", "y", "x"), ["y", "x"]).select("point", "place", d.alias("distance")).where(F.col("distance") <= metres)

@@ -89,7 +89,9 @@ def update(spark: SparkSession, flakes: DataFrame, text: str, t: int, prefixes:
         if p.is_word("INSERT", "DELETE") and p.peek(1)[1].upper() == "DATA":
             kind = p.word("INSERT", "DELETE")
             p.next()
+            p.data = True
             rows = _rows(spark, _quads(p, None))
+            p.data = False
             new = (fl.insert if kind == "INSERT" else fl.delete)(flakes, rows, t)
         elif p.is_word("DELETE") and p.peek(1)[1].upper() == "WHERE":
             p.next(), p.next()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..ir import Agg, Bind, Call, Choice, Each, Exists, Filter, Group, InGraph, Inverse, Iri, Lit, Minus, NotIn, Optional, Query, Repeat, Search, Sequence, Service, Shortest, Sub, Triple, Union, Unwind, Values, Var, variables
+from ..ir import XSD, Agg, Bind, Call, Choice, Each, Exists, Filter, Group, InGraph, Inverse, Iri, Lit, Minus, NotIn, Optional, Query, Repeat, Search, Sequence, Service, Shortest, Sub, Triple, Union, Unwind, Values, Var, variables
 from . import paths
 from .expr import Expressions, Value, assigned
 from .frame import Frame, Info, is_term, joined, lexical, number_of, order_key, shown, united
@@ -16,16 +17,40 @@ from .frame import Frame, Info, is_term, joined, lexical, number_of, order_key,
 class Dataset:
     """Sources of facts by graph. default: facts that patterns outside GRAPH see, the union
     of several as a set; named: graphs by IRI; services: other datasets by name; indexes: for
-    searches, name to function(query, limit) -> (id, score)."""
+    searches, name to function(query, limit) -> (id, score); commits: (id, t, ts), for graphs
+    at a moment or commit."""
+
+    def __init__(self, default, named: dict | None = None, services: dict | None = None, indexes: dict | None = None, commits: DataFrame | None = None):
+        self.default, self.named, self.services, self.indexes, self.commits = default, named or {}, services or {}, indexes or {}, commits
+
+    def graph(self, iri: str):
+        """A named graph, or None; with @t:5, @iso:2024-05-01T00:00:00 or @commit:id behind its
+        name (of none, the default graph's) as it was then."""
+        m = re.fullmatch(r"(.*?)@(t|iso|commit):(.+)", iri)
+        if not m or iri in self.named:
+            return self.named.get(iri)
+        base = self.named.get(m[1]) if m[1] else self.default
+        if base is None:
+            return None
+        if m[2] == "t":
+            return base.at(int(m[3]))
+        if self.commits is None:
+            raise ValueError("a dataset without commits knows no moments")
+        if m[2] == "iso":
+            from ..sources.flakes import resolve_time
 
-    def __init__(self, default, named: dict | None = None, services: dict | None = None, indexes: dict | None = None):
-        self.default, self.named, self.services, self.indexes = default, named or {}, services or {}, indexes or {}
+            return base.at(resolve_time(self.commits, F.lit(m[3]).cast("timestamp")))
+        row = self.commits.where(F.col("id") == m[3]).agg(F.max("t").alias("t")).first()
+        if row.t is None:
+            raise ValueError(f"no commit {m[3]}")
+        return base.at(row.t)
 
 
 class Compiler:
     def __init__(self, spark: SparkSession, data: Dataset, correlated: bool = False):
         self.spark, self.data, self.correlated = spark, data, correlated
         self.source, self.fresh = data.default, 0
+        self.rewrite = None  # of groups, by a schema's hierarchies
         self.predicates: dict[str, str] = {}  # of the patterns that bind variables as objects
 
     def name(self) -> str:
@@ -59,6 +84,7 @@ class Compiler:
     def parts(self, g: Group, start: Frame | None = None) -> tuple[Frame, list]:
         """The frame of a group's patterns, and its filters, which are not yet applied."""
         f, filters, triples = start, [], []
+        g = self.rewrite(g) if self.rewrite else g
 
         def flush() -> None:
             nonlocal f, triples
@@ -140,6 +166,8 @@ class Compiler:
                 elif _has_exists(part):
                     f = self.exists_inside(f, part)
                 else:
+                    if (box := _box(part)) is not None:  # reaches the scan's statistics
+                        f = Frame(f.df.where(Expressions(f).condition(box)), f.info)
                     f = Frame(f.df.where(Expressions(f).condition(part)), f.info)
         return f
 
@@ -219,7 +247,7 @@ class Compiler:
             return Frame(self.spark.range(0).select(*[F.lit(None).cast("string").alias(n) for n in v.names]), {n: Info("iri") for n in v.names})
         from .frame import literal
 
-        from ..ir import RDF, XSD
+        from ..ir import RDF
 
         kinds = {bool: "boolean", int: "integer", float: "double", str: "string"}
 
@@ -440,9 +468,12 @@ class Compiler:
         if q.frm or q.frm_named:
             from ..sources.flakes import merged
 
-            named = self.data.named
-            data = Dataset(merged([named[i] for i in q.frm if i in named]) if q.frm else self.data.default, {i: named[i] for i in q.frm_named if i in named} if q.frm_named else named, self.data.services, self.data.indexes)
-            return Compiler(self.spark, data, self.correlated).run(replace(q, frm=[], frm_named=[]))
+            graphs = [g for i in q.frm if (g := self.data.graph(i)) is not None]
+            named = {i: g for i in q.frm_named if (g := self.data.graph(i)) is not None} if q.frm_named else self.data.named
+            data = Dataset(merged(graphs) if graphs else self.data.default, named, self.data.services, self.data.indexes, self.data.commits)
+            c = Compiler(self.spark, data, self.correlated)
+            c.rewrite = self.rewrite
+            return c.run(replace(q, frm=[], frm_named=[]))
         if q.form == "ask":
             f = self.group(q.where)
             return f.df.limit(1).agg((F.count("*") > 0).alias("ask"))
@@ -504,6 +535,29 @@ def _conjuncts(e) -> list:
     return [e]
 
 
+def _box(e):
+    """The box around geodistance(?lat, ?lon, y, x) < metres, for plain columns; None for
+    another condition, and where a box would meet a pole or the date line."""
+    from ..operators.search import around
+
+    if not isinstance(e, Call) or e.name not in ("<", "<=") or not isinstance(e.args[1], Lit):
+        return None
+    d, r = e.args
+    if not isinstance(d, Call) or d.name != "geodistance" or not (isinstance(d.args[0], Var) and isinstance(d.args[1], Var)):
+        return None
+    y, x = (a.value if isinstance(a, Lit) else -a.args[0].value if isinstance(a, Call) and a.name == "neg" and isinstance(a.args[0], Lit) else None for a in d.args[2:])
+    if y is None or x is None:
+        return None
+    low, high, left, right = around(float(y), float(x), float(r.value))
+    sides = [Call(">=", (d.args[0], Lit(low, XSD + "double"))), Call("<=", (d.args[0], Lit(high, XSD + "double")))]
+    if left is not None:
+        sides += [Call(">=", (d.args[1], Lit(left, XSD + "double"))), Call("<=", (d.args[1], Lit(right, XSD + "double")))]
+    out = sides[0]
+    for s in sides[1:]:
+        out = Call("and", (out, s))
+    return out
+
+
 def _has_exists(e) -> bool:
     if isinstance(e, Exists):
         return True

@@ -332,6 +332,8 @@ class Expressions:
         if v.info.kind == "mixed" and v.dt is not None:
             iri = v.dt == "@id"
             return Value(F.when(v.col.isNotNull(), iri & ~v.col.startswith("_:") if kind == "iri" else ~iri))
+        if v.info.kind == kind == "iri" and not v.info.template and not v.info.row:  # of names, or blank
+            return Value(F.when(v.col.isNotNull(), ~v.col.startswith("_:")))
         return Value(F.when(v.col.isNotNull(), F.lit((v.info.kind == kind or kind == "lit" and v.info.kind == "mixed") and not v.info.row)))
 
     def f_sameterm(self, a, b) -> Value:

@@ -325,6 +325,139 @@ def rdfs_many_classes(spark: SparkSession, d: str) -> DataFrame:
     return Compiler(spark, tables.replies(spark, d)).group(g).df.select("s")
 
 
+SCHEMA = [(V + "Turn", RDFS + "subClassOf", V + "Act"), (V + "next", RDFS + "subPropertyOf", V + "leads"), (V + "back", RDFS + "subPropertyOf", V + "leads"), (V + "next", OWL + "inverseOf", V + "follows"), (V + "prev", RDFS + "range", V + "Answered")]
+
+
+def _store(spark: SparkSession, d: str) -> Dataset:
+    flakes = tables.conversations(spark, d)
+    return Dataset(fl.FlakeGraph(flakes.union(fl.facts(spark, SCHEMA).select(flakes.columns))))
+
+
+@Q(f"SELECT {HERE} a, {NEXT} b FROM {LAST} WHERE turn < m UNION ALL SELECT {HERE}, {node('conv_id', '0')} FROM conversations WHERE turn > 0 AND turn % 3 = 0")
+def mode_rdfs(spark: SparkSession, d: str) -> DataFrame:
+    return sparql(spark, _store(spark, d), "SELECT ?a ?b WHERE { ?a a v:Act ; v:leads ?b }", PREFIXES, ["rdfs"])
+
+
+@Q(f"SELECT {NEXT} a, {HERE} b FROM {LAST} WHERE turn < m")
+def mode_owl2ql(spark: SparkSession, d: str) -> DataFrame:
+    return sparql(spark, _store(spark, d), "SELECT ?a ?b WHERE { ?a v:follows ?b . ?b a v:Answered }", PREFIXES, ["rdfs", "owl2ql"])
+
+
+@Q(f"SELECT {NEXT} a, {HERE} b, role r FROM {LAST} WHERE turn < m")
+def mode_owl2rl(spark: SparkSession, d: str) -> DataFrame:
+    """Facts are made, and the query isn't rewritten as well."""
+    return sparql(spark, _store(spark, d), "SELECT ?a ?b ?r WHERE { ?a v:follows ?b . ?b a v:Answered ; v:role ?r }", PREFIXES, ["rdfs", "owl2rl"])
+
+
+@Q(f"SELECT {node('conv_id', 'turn')} a, turn AS n FROM {LAST} WHERE turn + 2 <= m")
+def mode_datalog(spark: SparkSession, d: str) -> DataFrame:
+    from ..ir import Group, Iri, Triple, Var
+
+    a, b, c = Var("a"), Var("b"), Var("c")
+    rule = reasoning.Rule(Group((Triple(a, Iri(V + "next"), b), Triple(b, Iri(V + "next"), c))), [Triple(a, Iri(V + "skips"), c)])
+    return sparql(spark, _store(spark, d), "SELECT ?a ?n WHERE { ?a v:skips ?c ; v:number ?n }", PREFIXES, ["datalog"], [rule])
+
+
+@Q(f"SELECT {node('x.conv_id', 'x.turn')} a, {node('y.conv_id', 'y.turn')} b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn < y.turn AND y.turn < 3")
+def policy_under_path(spark: SparkSession, d: str) -> DataFrame:
+    """A path walks only what the reader may see: turns with a number under 3."""
+    from ..ir import Call, Filter, Group, Iri, Lit, Triple, Var
+    from ..operators import policy
+
+    low = Group((Triple(Var("this"), Iri(V + "number"), Var("n")), Filter(Call("<", (Var("n"), Lit(2, XSD + "integer"))))))
+    seen = policy.secured(spark, tables.replies(spark, d), [policy.Policy(properties=[V + "next"], query=low)])
+    return sparql(spark, seen, "SELECT ?a ?b WHERE { ?a v:next+ ?b }", PREFIXES)
+
+
+@Q(f"SELECT {HERE} a, {NEXT} b, turn AS n FROM {LAST} WHERE turn < m")
+def annotated_edges(spark: SparkSession, d: str) -> DataFrame:
+    """What is said of edges, by << >> and {| |}."""
+    flakes = tables.conversations(spark, d)
+    about = flakes.where(F.col("p") == V + "next").select("s", F.col("p").alias("q"), "o")
+    note = F.concat(F.lit("_:n"), F.md5(F.concat_ws("|", "s", "o")))
+    from ..ir import ABOUT
+
+    cells = F.array(*[F.struct(F.lit(a).alias("p"), F.col(c).alias("o")) for a, c in zip(ABOUT, ("s", "q", "o"))], F.struct(F.lit(V + "kind").alias("p"), F.lit(V + "Reply").alias("o")))
+    notes = about.select(note.alias("note"), F.explode(cells).alias("x")).selectExpr("cast(null as string) g", "note s", "x.p p", "x.o o", "'@id' dt", "cast(null as string) lang", "cast(null as int) i", "1L t", "true op")
+    data = Dataset(fl.FlakeGraph(flakes.union(notes)))
+    return sparql(spark, data, "SELECT ?a ?b ?n WHERE { ?a v:next ?b {| v:kind v:Reply |} ; v:number ?n . << ?a v:next ?b >> v:kind ?k }", PREFIXES)
+
+
+@Q(f"SELECT '{D}user/' || user_id s, count(*) n FROM (SELECT user_id, event_type FROM events, (SELECT max(event_id) m FROM events) WHERE event_id <= m // 2 GROUP BY ALL) GROUP BY 1")
+def tt_from_moment(spark: SparkSession, d: str) -> DataFrame:
+    """A graph at a time by the suffix of its name: by number, by moment and by commit."""
+    flakes = tables.event_flakes(spark, d)
+    e = spark.read.parquet(f"{d}/events.parquet")
+    m = e.agg(F.max("event_id")).first()[0] // 2
+    commits = e.select(F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("id"), F.col("event_id").alias("t"), F.timestamp_seconds(F.col("event_id")).alias("ts"))
+    data = Dataset(fl.FlakeGraph(flakes.limit(0)), {D + "events": fl.FlakeGraph(flakes)}, commits=commits)
+    text = "SELECT ?s (COUNT(?o) AS ?n) FROM <" + D + "events@{}> WHERE {{ ?s ?p ?o }} GROUP BY ?s"
+    moment = spark.range(1).select(F.date_format(F.timestamp_seconds(F.lit(m)), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+    one, two, three = (sparql(spark, data, text.format(x), PREFIXES) for x in (f"t:{m}", f"iso:{moment}", f"commit:c{m}"))
+    return one.intersect(two).intersect(three)
+
+
+@Q(f"SELECT {node('x.conv_id', 'x.turn')} s, {node('y.conv_id', 'y.turn')} o FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn < y.turn")
+def datalog_in_sparql(spark: SparkSession, d: str) -> DataFrame:
+    from .store import _facts
+
+    rules = [reasoning.rule("CONSTRUCT { ?a v:before ?b } WHERE { ?a v:next ?b }", PREFIXES), reasoning.rule("CONSTRUCT { ?a v:before ?c } WHERE { ?a v:before ?b . ?b v:before ?c }", PREFIXES)]
+    return reasoning.datalog(spark, _facts(spark, d), rules).where(F.col("p") == V + "before").select("s", "o")
+
+
+@Q("SELECT 'assert' AS kind, count(*) AS n FROM conversations WHERE role <> 'user' UNION ALL SELECT 'retract', count(*) FROM conversations WHERE role <> 'user'")
+def policy_of_writes(spark: SparkSession, d: str) -> DataFrame:
+    """A writer who may change numbers of users' turns alone."""
+    from ..ir import Group, Iri, Lit, Triple, Var
+    from ..operators import policy
+
+    flakes = tables.conversations(spark, d)
+    number = flakes.where(F.col("p") == V + "number")
+    new = fl.upsert(flakes, number.withColumn("o", F.concat("o", F.lit("0"))).withColumn("o", F.concat(F.lit("1"), "o")).select(*fl.FACT), 2)
+    own = Group((Triple(Var("this"), Iri(V + "role"), Lit("user", XSD + "string")),))
+    bad = policy.forbidden(spark, flakes, new, [policy.Policy(properties=[V + "number"], query=own)])
+    return bad.groupBy(F.when(F.col("op"), "assert").otherwise("retract").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@Q(f"SELECT {HERE} s FROM conversations")
+def schema_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Hierarchies over a schema's graph and what it imports."""
+    flakes = tables.conversations(spark, d)
+    parts = [(D + "a", [(D + "a", OWL + "imports", D + "b"), (V + "Turn", RDFS + "subClassOf", V + "Utterance")]), (D + "b", [(D + "b", OWL + "imports", D + "a"), (V + "Utterance", RDFS + "subClassOf", V + "Act")])]
+    named = {g: fl.FlakeGraph(fl.facts(spark, rows, graph=g), graph=g) for g, rows in parts}
+    schema = reasoning.bundle(Dataset(fl.FlakeGraph(flakes), named), D + "a").select("s", "p", "o")
+    facts = _links(flakes).union(schema)
+    return reasoning.materialised(facts, reasoning.RDFS_RULES).where((F.col("p") == TYPE) & (F.col("o") == V + "Act")).select("s")
+
+
+@Q("SELECT n_nationkey k, '+02:00' AS z, 'PT2H' AS t, 'Z' AS u, 'PT0S' AS w, '' AS e, TIMESTAMP '2024-03-01 10:30:00' AS d, DATE '2024-03-01' AS f, 1.5::DOUBLE x FROM nation")
+def fn_times(spark: SparkSession, d: str) -> DataFrame:
+    text = """SELECT ?k (TZ("2024-03-01T10:30:00+02:00") AS ?z) (STR(TIMEZONE("2024-03-01T10:30:00+02:00")) AS ?t) (TZ("2024-03-01T10:30:00Z") AS ?u) (STR(TIMEZONE("2024-03-01T10:30:00Z")) AS ?w)
+        (TZ("2024-03-01T10:30:00") AS ?e) (xsd:dateTime("2024-03-01T10:30:00") AS ?d) (xsd:date("2024-03-01") AS ?f) (xsd:double("1.5") AS ?x) WHERE { ?s v:n_nationkey ?k }"""
+    return sparql(spark, tables.graph(spark, d, ["nation"]), text, PREFIXES)
+
+
+@Q("SELECT n_name AS n, true b, true s, false i, 'abc' AS c, sha256('x') h FROM nation")
+def fn_bnode(spark: SparkSession, d: str) -> DataFrame:
+    text = 'SELECT ?n (isBlank(?x) AS ?b) (?x = ?y AS ?s) (isIRI(?x) AS ?i) (CONCAT("a", "b", "c") AS ?c) (SHA256("x") AS ?h) WHERE { ?a v:n_name ?n BIND(BNODE(?n) AS ?x) BIND(BNODE(?n) AS ?y) }'
+    return sparql(spark, tables.graph(spark, d, ["nation"]), text, PREFIXES)
+
+
+@Q(f"SELECT 'n_region' t, '{D}nation/' || n_nationkey a, '{D}region/' || n_regionkey b FROM nation")
+def cypher_relation(spark: SparkSession, d: str) -> DataFrame:
+    text = "MATCH (x:Nation)-[r:n_region]->(y:Region) RETURN type(r) AS t, startNode(r) AS a, endNode(r) AS b"
+    return cypher(spark, tables.graph(spark, d, ["nation", "region"]), text, V)
+
+
+@Q(f"SELECT '{D}nation/' || n_nationkey s, n_nationkey::VARCHAR k, n_name n, CASE WHEN n_regionkey > 1 THEN n_regionkey::VARCHAR END x FROM nation")
+def io_results_json(spark: SparkSession, d: str) -> DataFrame:
+    df = _nation_rows(spark, d)
+    lines = [r[0] for r in writers.bindings(df).collect()]  # one small document
+    import json
+
+    return readers.results_json(spark, json.dumps({"head": {"vars": df.columns}, "results": {"bindings": [json.loads(x) for x in lines]}}))
+
+
 # ---- constraints on turns: a property's parameters and the twin's rows (focus, path, value)
 
 P = shacl.Property

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm import mixing, near, packing, secrets, toxicity
-from trellis.llm.common import table, written
+from trellis.llm.common import table, written_alone
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Of the stages before, only the tables that they return remain."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = written_alone(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -271,6 +271,23 @@ def test_search(spark):
     assert {r.id: round(r.score, 9) for r in again.scores("red wine sky").collect()} == want
 
 
+def test_search_by_stems(spark):
+    docs = spark.createDataFrame([(1, "He runs daily"), (2, "running shoes"), (3, "a stone"), (4, "Runner's knee")], "id long, text string")
+    assert [r.id for r in search.TextIndex(docs, "id", "text", "en-GB", stem=True).top("run").collect()] == [2, 1]
+    assert search.TextIndex(docs, "id", "text").top("run").count() == 0
+    assert [r.id for r in search.TextIndex(docs, "id", "text", "xx", stop=["he"]).top("he runs").collect()] == [1]
+
+
+def test_stems():
+    """Words and stems of the algorithm's published sample."""
+    from trellis.functions.stem import english
+
+    pairs = """consign consign consignment consign consistency consist consistently consist consolation consol consolatory consolatori consolingly consol consonant conson conspicuously conspicu
+        conspiracy conspiraci conspirators conspir conspiring conspir constables constabl constancy constanc knackeries knackeri knave knave knavish knavish kneaded knead knees knee knelt knelt
+        knightly knight knitting knit knocker knocker knopp knopp skies sky dying die early earli news news succeed succeed""".split()
+    assert [english(w) for w in pairs[::2]] == pairs[1::2]
+
+
 def test_types_beyond_the_bound(spark, monkeypatch):
     from trellis.sources import flakes
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +20,29 @@ STOPWORDS = {
 }
 
 
-def terms(text: Column, language: str | None = "en") -> Column:
-    """Terms of a text: runs of letters and digits in lower case, without stop words."""
+def stems(words: Column) -> Column:
+    """English stems of an array of words, made once for each distinct word of a batch."""
+
+    @F.pandas_udf("array<string>")
+    def of(rows: pd.Series) -> pd.Series:
+        from ..functions.stem import english
+
+        known: dict[str, str] = {}
+        get = lambda w: known[w] if w in known else known.setdefault(w, english(w))
+        return rows.map(lambda ws: None if ws is None else [get(w) for w in ws])
+
+    return of(words)
+
+
+def terms(text: Column, language: str | None = "en", stem: bool = False, stop: list[str] | None = None) -> Column:
+    """Terms of a text: runs of letters and digits in lower case, without the stop words of the
+    language (a tag such as en-GB; a list of one's own for others), as stems if asked for
+    (English alone; of other languages words stay whole)."""
+    kind = (language or "").lower().partition("-")[0]
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    stop = STOPWORDS.get(language or "")
-    return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
+    stop = STOPWORDS.get(kind) if stop is None else stop
+    words = F.filter(words, lambda w: ~w.isin(stop)) if stop else words
+    return stems(words) if stem and kind == "en" else words
 
 
 def times(of: Column, word: str) -> Column:
@@ -40,16 +59,16 @@ class TextIndex:
     its own terms in each text, where they are: nothing is exploded or shuffled but what has
     one of them."""
 
-    def __init__(self, docs: DataFrame, id: str, text: str, language: str | None = "en"):
-        self.language, self.postings = language, None
-        self.texts = docs.select(F.col(id).alias("id"), terms(F.coalesce(F.col(text), F.lit("")), language).alias("terms"))
+    def __init__(self, docs: DataFrame, id: str, text: str, language: str | None = "en", stem: bool = False, stop: list[str] | None = None):
+        self.analyse, self.postings = (lambda c: terms(c, language, stem, stop)), None
+        self.texts = docs.select(F.col(id).alias("id"), self.analyse(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
 
     @classmethod
-    def of_postings(cls, postings: DataFrame, language: str | None = "en") -> TextIndex:
+    def of_postings(cls, postings: DataFrame, language: str | None = "en", stem: bool = False, stop: list[str] | None = None) -> TextIndex:
         """The index that postings() made, or streaming.feeds.keep_postings() keeps: with t and op,
         only what holds at last counts. A text without terms has no postings, and isn't counted."""
         self = cls.__new__(cls)
-        self.language, self.texts = language, None
+        self.analyse, self.texts = (lambda c: terms(c, language, stem, stop)), None
         if "op" in postings.columns:
             last = postings.groupBy("id", "length", "term", "tf").agg(F.max_by("op", "t").alias("op"))
             postings = last.where("op").drop("op")
@@ -62,7 +81,7 @@ class TextIndex:
         return t.groupBy("term", "id", "length").agg(F.count("*").alias("tf")).select("term", "id", "tf", "length")
 
     def wanted(self, spark, query: str) -> list[str]:
-        return [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(terms(F.lit(query), self.language)))).collect()]
+        return [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(self.analyse(F.lit(query))))).collect()]
 
     def statistics(self, query: str) -> tuple[list[str], list[float], float]:
         """The query's terms, their idf, and the mean length of the texts."""

@@ -109,7 +109,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 2.0
     tree. Scores are the cosines of the original vectors in double precision, each computed
     alike wherever it is, so that equal vectors tie. The index holds every row.
 
-    vectors: vec_id, embedding; other columns are ignored. Zero vectors take no part; see
+    vectors: vec_id, embedding; other columns, of whatever names, are ignored. Zero vectors take no part; see
     usable() for nulls, odd values and repeated ids. A query gets all other rows if they are
     fewer than k. No rows give no rows.
 

@@ -1,23 +1,24 @@
 """Searches of a stated query set against all vectors, in blocks.
 
-Vectors are packed into shards, queries into blocks; every block meets every shard once, in
-a task that makes a top list for each query, and the lists are merged in a tree.
+Vectors are packed into shards, queries into blocks; blocks are broadcast to the shards, some
+at a time, each shard makes a top list for each query, and the lists are merged in a tree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_KEYS, written
 
-#: Rows of a shard and of a block of queries; a query block of at most this many bytes is
-#: broadcast when it is the only one.
-SHARD_ROWS, BLOCK_ROWS, BROADCAST_BYTES = 4096, 4096, 8 << 20
+#: Rows of a shard and of a block of queries; blocks of at most this many bytes together, or one
+#: block, are broadcast to where the shards are.
+SHARD_ROWS, BLOCK_ROWS, BROADCAST_BYTES = 4096, 4096, 32 << 20
 #: Lists that one step of the merge tree puts together.
 FAN_IN = 32
 
@@ -29,7 +30,16 @@ def usable(vectors: DataFrame, also: Callable[[Column], Column] = lambda _: F.li
     v = F.col("embedding").cast("array<double>")
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     rows = vectors.where(F.col("vec_id").isNotNull() & fine & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector"))
-    return rows.where(also(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    rows = rows.where(also(F.col("vector")))
+    least = lambda df: df.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    again = written(rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"))
+    n = again.count()  # vectors themselves are shuffled only where ids repeat
+    if not n:
+        return rows
+    if n > BROADCAST_KEYS:
+        return least(rows)
+    again = F.broadcast(again)
+    return rows.join(again, "vec_id", "left_anti").unionByName(least(rows.join(again, "vec_id", "left_semi")))
 
 
 def _packed(rows: DataFrame, part: str, build: Callable[[np.ndarray, np.ndarray], bytes]) -> DataFrame:
@@ -60,15 +70,11 @@ def best_lists(vectors: DataFrame, is_query: Column, k: int, build: Callable, se
     n, q = rows.agg(F.count("*"), F.count_if(is_query)).first()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-q // BLOCK_ROWS))
     index = _packed(rows.withColumn("shard", F.pmod(spread, F.lit(shards)).cast("int")), "shard", build)
+    index = index.repartition(min(shards, max(2000, shards // 16)), "dim", "shard")
     ask = _packed(rows.where(is_query).withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int")), "block", matrix)
     ask = ask.select("dim", "block", F.col("ids").alias("qids"), F.col("data").alias("queries"))
-    widest = rows.agg(F.max("dim")).first()[0] or 0
-    if blocks == 1 and q * widest * 8 <= BROADCAST_BYTES:
-        pairs = index.withColumn("block", F.lit(0)).join(F.broadcast(ask), ["dim", "block"])
-    else:
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        pairs = written(index).withColumn("block", every(blocks)).join(ask.withColumn("shard", every(shards)), ["dim", "block", "shard"])
-    pairs = pairs.repartition(min(2000, shards * blocks), "dim", "block", "shard").select("shard", "dim", "ids", "data", "qids", "queries")
+    widest = rows.agg(F.max("dim")).first()[0] or 1
+    at_once = max(1, BROADCAST_BYTES // (BLOCK_ROWS * widest * 8))  # blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = pa.struct([("id", pa.int64()), ("score", pa.float64() if kind == "double" else pa.int64())])
@@ -80,14 +86,22 @@ def best_lists(vectors: DataFrame, is_query: Column, k: int, build: Callable, se
                 lists = [[{"id": int(i), "score": s.item()} for i, s in zip(*x)] for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array([shard] * len(qids), pa.int32()), pa.array(lists, pa.list_(made))], names=["query_id", "part", "found"])
 
-    lists = pairs.mapInArrow(run, f"query_id long, part int, found array<struct<id long, score {kind}>>")
-    best = lists.select("query_id", "part", F.transform("found", lambda x: F.struct((-x["score"]).alias("order"), x["id"].alias("vec_id"), x["score"].alias("score"))).alias("best"))
-    parts = shards
-    while True:
-        parts = -(-parts // FAN_IN)
-        best = best.groupBy("query_id", F.floor(F.col("part") / FAN_IN).cast("int").alias("part")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-        if parts == 1:
-            return best.select("query_id", "best")
+    def searched(asked: DataFrame) -> DataFrame:
+        pairs = index.join(F.broadcast(asked), "dim").select("shard", "dim", "ids", "data", "qids", "queries")
+        lists = pairs.mapInArrow(run, f"query_id long, part int, found array<struct<id long, score {kind}>>")
+        best = lists.select("query_id", "part", F.transform("found", lambda x: F.struct((-x["score"]).alias("order"), x["id"].alias("vec_id"), x["score"].alias("score"))).alias("best"))
+        parts = shards
+        while True:
+            parts = -(-parts // FAN_IN)
+            best = best.groupBy("query_id", F.floor(F.col("part") / FAN_IN).cast("int").alias("part")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+            if parts == 1:
+                return best.select("query_id", "best")
+
+    if blocks <= at_once:
+        return searched(ask)
+    # shards stay where they were written, and blocks come to them, some in each round
+    index, ask = written(index), written(ask)
+    return reduce(DataFrame.union, [written(searched(ask.where(F.col("block").between(b, b + at_once - 1)))) for b in range(0, blocks, at_once)])
 
 
 def ranked(best: DataFrame) -> DataFrame:

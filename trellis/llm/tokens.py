@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import map_arrow, small_batches
 
 SPACE = "▁"
 
@@ -60,7 +60,7 @@ class Counter:
         got = self.known.get(s)
         if got is None:
             got = self.viterbi(s)
-            if len(self.known) < self.most:
+            if len(self.known) < self.most and len(s) <= 64:
                 self.known[s] = got
         return got
 
@@ -95,8 +95,14 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """The number of pieces of each whole text under the unigram model that the vocabulary
     and scores of the sentencepiece file `model` make (spaces as marks, one put in front).
 
-    docs: doc_id, text; other columns are ignored. Null and empty texts have none. Repeated
-    rows are counted each; no rows give no rows.
+    The piece file at hand was trained for merges: its scores are minus the ranks of merges,
+    no log-probabilities. Read as a unigram model, it makes other pieces than its own
+    tokenizer does (on three texts 34 for its 19, 19 for its 13, 10 for its 8): the counts are
+    those of the unigram model.
+
+    docs: doc_id, text; other columns, of whatever names, are ignored. Null and empty texts
+    have none. Very long texts are counted whole, in time proportional to their length.
+    Repeated rows are counted each; no rows give no rows.
 
     Returns doc_id long, n_tokens long, n_chars long.
     """
@@ -110,4 +116,5 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
 
         return f
 
+    small_batches(docs.sparkSession)
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), make, "doc_id long, n_tokens long, n_chars long")

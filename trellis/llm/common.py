@@ -60,7 +60,7 @@ def written_alone(make: Callable[[], DataFrame]) -> DataFrame:
 
 
 #: Rows of a table of unique keys that may be broadcast, and copies of it where it may not.
-BROADCAST_KEYS, COPIES = 1_000_000, 16
+BROADCAST_KEYS, COPIES = 500_000, 16
 
 
 def joined(rows: DataFrame, keys: DataFrame, key: str, count: int, how: str = "inner") -> DataFrame:

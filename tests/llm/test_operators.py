@@ -183,6 +183,7 @@ def test_packing_against_slow_ranking():
 def test_near_copies_large_group(spark, monkeypatch):
     # one group of near copies, far more than a tree holds, in classes that hold others apart
     monkeypatch.setattr(near, "TREE", 128)
+    monkeypatch.setattr(near, "UNIT_BYTES", 40_000)
     rng = np.random.default_rng(2)
     base = [" ".join(f"b{k}w{j}" for j in range(60)) for k in range(3)]
     rows = []
@@ -692,7 +693,7 @@ def test_pipeline_odd(spark, odd, none, tmp_path):
     """Nulls, repeats, long texts, clashing columns; and empty tables."""
     import corpus_pipeline
 
-    toxic = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(20)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "cast(toxic as int) toxic", "'z' text")
+    toxic = spark.createDataFrame([(i, i % 2, i == 19) for i in range(20)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "cast(toxic as int) toxic", "'z' text")
     for k, (docs, labels) in enumerate(((odd, toxic), (none, toxic), (odd, toxic.limit(0)), (none, toxic.limit(0)))):
         d = tmp_path / str(k)
         docs.write.parquet(str(d / "documents.parquet"))

@@ -14,8 +14,8 @@ from .common import joined, small_batches, trim, written
 
 #: Groups that n-grams are hashed into: the dimensions of a count vector.
 GROUPS = 64
-#: Members of one R-tree, and entries of its nodes.
-TREE, NODE = 1024, 16
+#: Members of one R-tree, entries of its nodes, and bytes of sets in a block of a family.
+TREE, NODE, UNIT_BYTES = 4096, 16, 8 << 20
 #: A sixteenth of the documents is looked at for frequent n-grams, which are ordered last.
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 6, 200_000
 #: Anchors that are sorted together.
@@ -234,23 +234,18 @@ def shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def blocks_of(size: Column) -> Column:
-    """Blocks of a group of this many members, in as many units each of them is."""
-    return F.when(size <= TREE, 1).otherwise(F.ceil(size / (TREE // 2))).cast("int")
+def blocks_of(size: Column, most: int) -> Column:
+    """Blocks of a group, in as many units each of them is: one if all of it isn't more than two
+    blocks of `most`."""
+    return F.when(size <= 2 * most, 1).otherwise(F.ceil(size / most)).cast("int")
 
 
-def in_units(groups: Column) -> Column:
-    """Members of groups of these sizes in all units."""
-    return F.coalesce(F.sum(groups * blocks_of(groups)), F.lit(0)).cast("long")
-
-
-def _in_units(members: DataFrame, rows: int, search, columns: list[str]) -> DataFrame:
+def _in_units(members: DataFrame, buckets: int, search, columns: list[str]) -> DataFrame:
     """Distinct (a, b) of what search(sig, label, other columns) finds in each group of
-    members (key, size of the group, sig, label, ...). A group of more than TREE members is
-    cut into blocks, of which every two meet in a unit of their own. About `rows` members in
-    all units: many small units share a task's table."""
-    m = members.withColumn("parts", blocks_of(F.col("size"))).withColumn("own", F.pmod(F.xxhash64("sig", F.lit(7)), F.col("parts")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members (key, blocks of the group, sig, label, ...). Every two blocks of a group meet in a
+    unit of their own. Units are dealt to `buckets`: many small ones share a task's table."""
+    m = members.withColumn("own", F.pmod(F.xxhash64("sig", F.lit(7)), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "label", *columns)
 
     def run(t: pa.Table) -> pa.Table:
@@ -267,11 +262,11 @@ def _in_units(members: DataFrame, rows: int, search, columns: list[str]) -> Data
         trim()
         return pa.table({"a": pair[0].astype(np.int64), "b": pair[1].astype(np.int64)})
 
-    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, rows // 4000))).cast("int")
+    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, buckets))).cast("int")
     return m.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
-def _tree_pairs(members: DataFrame, rows: int, percent: int) -> DataFrame:
+def _tree_pairs(members: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Pairs of members of a group, of different labels and of no common family, whose bound
     in the group's R-tree leaves a link possible."""
 
@@ -284,10 +279,10 @@ def _tree_pairs(members: DataFrame, rows: int, percent: int) -> DataFrame:
             at = at[[family[i].isdisjoint(family[j]) for j in at]] if family[i] and len(at) else at
             yield np.full(len(at), sig[i]), sig[at]
 
-    return _in_units(members, rows, search, ["family", "points"])
+    return _in_units(members, buckets, search, ["family", "points"])
 
 
-def _family_links(members: DataFrame, rows: int, percent: int) -> DataFrame:
+def _family_links(members: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Links within families: the sets verify what the R-tree leaves, but for pairs that the
     links found so far connect."""
 
@@ -310,7 +305,7 @@ def _family_links(members: DataFrame, rows: int, percent: int) -> DataFrame:
                     parent[max(x, y)] = min(x, y)
                     yield sig[i], sig[j]
 
-    return _in_units(members, rows, search, ["points", "grams"])
+    return _in_units(members, buckets, search, ["points", "grams"])
 
 
 def _grouped(described: DataFrame) -> DataFrame:
@@ -443,22 +438,27 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     stars = drawn.where("sig <> pivot").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
     stars = written(_bounded(stars, points, percent))
     family = drawn.where(F.col("draw") < FAMILIES).select("sig", F.xxhash64("draw", "pivot").alias("family")).distinct()
-    several = written(family.groupBy("family").agg(F.count("*").alias("size")).where("size > 1"))
+    held = family.join(nodes.select("sig", (8 * F.col("size")).alias("bytes")), "sig")
+    several = held.groupBy("family").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes")).where("size > 1")
+    several = written(several.withColumn("blocks", blocks_of(F.col("bytes"), UNIT_BYTES)))
     sets = sets_of(ends(stars).union(family.join(several, "family", "left_semi").select("sig")))
     first = written(_verified(stars, sets, percent))
     label = connected(first)
     own = lambda df: df.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    members = own(family.join(several, "family")).select(F.col("family").alias("key"), "size", "sig", "label")
+    members = own(family.join(several, "family")).select(F.col("family").alias("key"), "blocks", "sig", "label")
     apart = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     members = members.join(apart, "key").join(points, "sig").join(sets, "sig")
-    first = written(first.union(_family_links(members, several.agg(in_units(F.col("size"))).first()[0], percent)))
+    rows, size = several.agg(*[F.coalesce(F.sum(F.col(c) * F.col("blocks")), F.lit(0)) for c in ("size", "bytes")]).first()
+    first = written(first.union(_family_links(members, max(rows // 4000, size // UNIT_BYTES), percent)))
     # what isn't of one family, in the groups of shared anchors
     label = connected(first)
     of = family.join(several, "family", "left_semi").groupBy("sig").agg(F.array_sort(F.collect_set("family")).alias("family"))
     members = own(entries).join(of, "sig", "left").withColumn("family", F.coalesce("family", F.array().cast("array<bigint>")))
     apart = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    members = members.join(apart, "key").join(points, "sig").select("key", "size", "sig", "label", "family", "points")
-    pairs = written(_tree_pairs(members, groups.agg(in_units(F.col("members"))).first()[0], percent))
+    blocks = blocks_of(F.col("size"), TREE // 2)
+    members = members.join(apart, "key").join(points, "sig").select("key", blocks.alias("blocks"), "sig", "label", "family", "points")
+    rows = groups.agg(F.coalesce(F.sum(F.col("members") * blocks_of(F.col("members"), TREE // 2)), F.lit(0))).first()[0]
+    pairs = written(_tree_pairs(members, rows // 4000, percent))
     more = written(_verified(pairs, sets_of(ends(pairs)), percent))
     label = connected(first.union(more))
 

@@ -3,10 +3,10 @@
 import pytest
 from compare import differences
 
-from trellis.queries import catalogue, extras, store
+from trellis.queries import catalogue, extras, store, terms
 
-QUERIES = {k: f for m in (catalogue, store, extras) for k, f in m.QUERIES.items()}
-SQL = {k: s for m in (catalogue, store, extras) for k, s in m.SQL.items()}
+QUERIES = {k: f for m in (catalogue, store, extras, terms) for k, f in m.QUERIES.items()}
+SQL = {k: s for m in (catalogue, store, extras, terms) for k, s in m.SQL.items()}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -159,7 +159,7 @@ def joined(l: Frame, r: Frame, how: str = "inner", on=None, merge: bool = False,
         if merge and not r.info[v].bound:
             c = c | b.isNull()
         cond = c if cond is None else cond & c
-    if merge and cond is not None and (loose := [v for v in shared if not (l.info[v].bound and r.info[v].bound)]) and len(loose) <= MOST_LOOSE:
+    if merge and cond is not None and (loose := [v for v in shared if not (l.info[v].bound and r.info[v].bound)]) and len(loose) <= MOST_LOOSE and _joins(l.df) + _joins(r.df) <= MOST_JOINS:
         return _by_bound(l, r, how, on, loose)
     info = dict(l.info)
     both = Frame(None, l.info | {v: i for v, i in r.info.items() if v not in l.info})
@@ -199,8 +199,13 @@ def joined(l: Frame, r: Frame, how: str = "inner", on=None, merge: bool = False,
     return Frame(df.select(*cols), info)
 
 
-#: Variables that may be unbound by which a join is split into equi-joins.
-MOST_LOOSE = 2
+#: Variables that may be unbound by which a join is split into equi-joins, and joins in the plans
+#: of its sides up to which it is, as these are repeated for each way.
+MOST_LOOSE, MOST_JOINS = 2, 60
+
+
+def _joins(df: DataFrame) -> int:
+    return df._jdf.queryExecution().analyzed().toString().count("Join ")
 
 
 def _by_bound(l: Frame, r: Frame, how: str, on, loose: list[str]) -> Frame:  # noqa: E741

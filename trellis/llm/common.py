@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -79,12 +80,26 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+@functools.lru_cache(1)
+def lean() -> None:
+    """Makes a Python worker give the memory of large arrays back when it frees them: it lives on
+    beside other tasks and stages."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+        for option, value in ((-8, 1), (-3, 1 << 20), (-1, 1 << 20)):  # arenas, mapped blocks, trimming
+            mallopt(option, value)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def trim() -> None:
-    """Gives a Python worker's free memory back: it lives on beside other tasks and stages."""
+    """Gives a Python worker's free memory back."""
+    lean()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
+    except (OSError, AttributeError):
         pass
 
 
@@ -103,6 +118,7 @@ def small_batches(spark: SparkSession) -> None:
 def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The batches, those with many rows or bytes of one column of texts in several parts. A
     text is never cut."""
+    lean()
     for b in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64)
         ends, at = np.cumsum(sizes), 0
@@ -117,6 +133,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     """mapInArrow with state made once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         f = make()
         for b in batches:
             if b.num_rows:

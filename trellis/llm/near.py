@@ -10,12 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, small_batches, trim, written
+from .common import joined, pieces, small_batches, trim, written
 
 #: Groups that n-grams are hashed into: the dimensions of a count vector.
 GROUPS = 64
 #: Members of one R-tree, entries of its nodes, and bytes of sets in a block of a family.
-TREE, NODE, UNIT_BYTES = 4096, 16, 8 << 20
+TREE, NODE, UNIT_BYTES = 4096, 16, 4 << 20
 #: A sixteenth of the documents is looked at for frequent n-grams, which are ordered last.
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 6, 200_000
 #: Anchors that are sorted together.
@@ -68,10 +68,9 @@ def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in parts, which bounds what a task holds."""
-    for b in batches:
-        yield from (b.slice(k, rows) for k in range(0, b.num_rows, rows))
+def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, by the bytes of a column of texts, which bounds what a task holds."""
+    yield from pieces(batches, column)
     trim()
 
 
@@ -382,7 +381,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):  # anchors come from the lower hashes
+        for b in sliced(batches, 0):  # anchors come from the lower hashes
             got = [x[x < np.uint64(int(0.4 * 2**64))] for x in ngram_sets(b.column(0), n)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got or [np.empty(0, np.uint64)]).view(np.int64))], names=["gram"])
 
@@ -391,7 +390,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(np.uint64)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, 1):
             sets = ngram_sets(b.column(1), n)
             cold, hot = [], []
             for x in sets:
@@ -419,7 +418,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     points = nodes.select("sig", "points")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, 1):
             sets = ngram_sets(b.column(1), n)
             keep = np.array([signature(x) == s for x, s in zip(sets, b.column(0).to_pylist())], bool)  # a doc_id may repeat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sig", "grams"]).filter(pa.array(keep))

@@ -591,6 +591,27 @@ def test_html_large_hosts(spark, monkeypatch):
     assert many[60] == f"{word('own10')} {word('few2')}" and many[300].startswith(word("u0") + " pair0x0") and many[301] == ""
 
 
+def test_html_large_hosts_other_blocks(spark, monkeypatch):
+    # runs that pages have in blocks of different kinds count the same in one array and in parts
+    word = lambda k, n=12: " ".join(f"{k}x{j}" for j in range(n))
+    rows = [(i, "http://big/x", f"<div>{word(f'u{i}')}</div><div>{word(f'aside{i}')}</div><div>{word(f'quoted{i}')}</div>") for i in range(20)]
+    rows += [(100 + i, "http://big/x", f"<nav>{word(f'aside{i}')}</nav><article><p>{word(f'own{i}')}</p><p>{word(f'quoted{i}')}</p></article>") for i in range(20)]
+    # in four articles, and in the menus of most pages; copies that differ in the menu are one page
+    rows += [(200 + i, "http://big/x", f"<article><p>{word(f'text{i}')}</p><p>{word('most')}</p></article>") for i in range(4)]
+    rows += [(300 + i, "http://big/x", f"<nav>{word('most')}</nav><article><p>{word(f'more{i}')}</p></article>") for i in range(70)]
+    rows += [(400 + i, "http://big/x", f"<nav>{word('rare')} {i}</nav><article>{word('copy')}</article>") for i in range(80)]
+    rows += [(500 + i, "http://big/x", f"<div>{word(f'last{i}')}</div><div>{word('rare') if i == 0 else word(f'nav{i}')}</div>") for i in range(3)]
+    rows += [(600 + i, "http://big/x", f"<nav>{word(f'nav{1}')} {i}</nav><div>{word('last1')}</div><div>{word('nav1')}</div>") for i in range(4)]
+    rows += [(700, "http://big/x", f"<article>{word('last2')}</article>"), (701, "http://big/x", f"<div>{word('copy')}</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    one = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert one[3] == word("u3") and one[103] == f"{word('own3')} {word('quoted3')}" and one[201] == word("text1")
+    assert one[400] == word("copy") and one[500] == word("last0") and one[501] == one[600] == f"{word('last1')} {word('nav1')}" and one[701] == ""
+    assert {r.page_id: r.text for r in html.extract(pages, part_bytes=2000).collect()} == one
+    monkeypatch.setattr(html, "BROADCAST_KEYS", -1)
+    assert {r.page_id: r.text for r in html.extract(pages, part_bytes=5000).collect()} == one
+
+
 @pytest.mark.parametrize(
     "page",
     [

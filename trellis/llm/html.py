@@ -258,8 +258,8 @@ class Pages:
         return np.flatnonzero(self.may & ~self.article & (self.size < length))
 
     def hashes(self, host: str, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of 64 bits of the runs that may be text, by the token where they start (0
-        where there is none), and of short(), the same in each task."""
+        """Keys of 64 bits of the runs, by the token where they start (0 where there is none),
+        and of short(), the same in each task."""
         import xxhash
 
         seed = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
@@ -270,7 +270,7 @@ class Pages:
             key = key * np.uint64(0x9E3779B97F4A7C15) + value[i : n + i]
             key ^= key >> np.uint64(29)
         if n:
-            out[:n] = np.where((self.segment[:n] == self.segment[length - 1 :]) & (self.in_article | self.open)[:n], key.view(np.int64), 0)
+            out[:n] = np.where(self.segment[:n] == self.segment[length - 1 :], key.view(np.int64), 0)
         short = [xxhash.xxh64_intdigest(self.texts[i], seed) for i in self.short(length)]
         return out, np.array(short, np.uint64).view(np.int64)
 
@@ -315,30 +315,48 @@ PART_BYTES, BROADCAST_HOSTS, BROADCAST_KEYS = 8_000_000, 500_000, 200_000
 SALTS = 64
 
 
+#: What a key is: a run outside articles, one on the share of a part's pages, one in an
+#: article, a short block.
+OPEN, SHARE, INSIDE, SHORT = 1, 2, 4, 8
+#: Whether a page's runs are looked for: not if its blocks are those of another, by themselves,
+#: or with those of pages of the same content, as one page.
+REPEATED, ALONE, TOGETHER = 0, 1, 2
+
+
 def across(parted: DataFrame, kinds: str, length: int, inside: float) -> DataFrame:
     """boilerplate() of hosts in several parts, with the same texts. parted: page_id, url,
     host, part, packed, content; pages with the same content are in one part.
 
-    1. The suffix array of each part gives the keys of the runs that may go: in articles those
-       on the share `inside` of the part's pages, for a run on that share of all the pages is
-       so in one part at least; outside all, with their numbers of pages.
-    2. The pages of the keys in articles are counted over all parts.
+    1. Each part gives the keys of its runs outside articles with the pages that have them
+       there, and from its suffix array those of any runs on the share `inside` of its pages,
+       for a run on that share of all the pages is so in one part at least.
+    2. Of the keys on such a share, and of those that one page alone has outside articles, the
+       pages that have them elsewhere, in articles, menus and the like, are counted in all
+       parts. No page is counted in both steps.
     3. Keys on enough pages, few or joined page by page, cover the tokens."""
     spark = parted.sparkSession
-    schema = f"{kinds}, host string, packed binary, content long, first boolean, key long, n long, whole boolean, pages long"
-    names = ["page_id", "url", "host", "packed", "content", "first", "key", "n", "whole", "pages"]
+    schema = f"{kinds}, host string, packed binary, content long, first boolean, looked int, key long, n long, kind int, pages long"
+    names = ["page_id", "url", "host", "packed", "content", "first", "looked", "key", "n", "kind", "pages"]
 
     def index(t: pa.Table) -> pa.Table:
         host, blobs = t.column("host")[0].as_py(), t.column("packed").to_pylist()
         p = Pages([unpacked(x) for x in blobs])
         first = np.zeros(len(blobs), bool)
         first[np.unique(p.content, return_index=True)[1]] = True
+        known: dict[bytes, int] = {}
+        new = np.array([known.setdefault(x, i) == i for i, x in enumerate(blobs)])
+        together = np.bincount(p.content[new], minlength=p.distinct)[p.content] > 1
+        looked = np.where(new, np.where(together, TOGETHER, ALONE), REPEATED)
         on, (keys, short) = p.on(length), p.hashes(host, length)
-        article = np.unique(keys[p.in_article & (keys != 0) & (on >= inside * p.distinct)])
+        share = np.unique(keys[(keys != 0) & (on >= inside * p.distinct - 1e-6)])
         open_ = np.flatnonzero(p.open & (keys != 0))
-        pairs = np.stack((np.concatenate((keys[open_], short)), p.content[np.concatenate((p.segment[open_] // 2, p.owner[p.short(length)]))]))
-        wholes, n = np.unique(np.unique(pairs, axis=1)[0], return_counts=True)
-        rows, more = len(blobs), len(article) + len(wholes)
+        made = [(share, np.zeros(len(share), np.int64), SHARE)]
+        for some, owner, kind in ((keys[open_], p.segment[open_] // 2, OPEN), (short, p.owner[p.short(length)], SHORT)):
+            pairs = np.unique(np.stack((some, p.content[owner])), axis=1)
+            made.append((*np.unique(pairs[0], return_counts=True), kind))
+        key, n = (np.concatenate([x[i] for x in made]) for i in (0, 1))
+        kind = np.repeat([k for _, _, k in made], [len(x) for x, _, _ in made])
+        rows, more = len(blobs), len(key)
         none = lambda kind, k: pa.nulls(k, kind)
         columns = [
             pa.concat_arrays([t.column("page_id").combine_chunks(), none(t.column("page_id").type, more + 1)]),
@@ -347,18 +365,22 @@ def across(parted: DataFrame, kinds: str, length: int, inside: float) -> DataFra
             pa.array(blobs + [None] * (more + 1), pa.binary()),
             pa.concat_arrays([t.column("content").combine_chunks(), none(pa.int64(), more + 1)]),
             pa.array(first.tolist() + [None] * (more + 1), pa.bool_()),
-            pa.array([None] * rows + np.concatenate((article, wholes)).tolist() + [None], pa.int64()),
-            pa.array([None] * (rows + len(article)) + n.tolist() + [None], pa.int64()),
-            pa.array([None] * rows + [False] * len(article) + [True] * len(wholes) + [None], pa.bool_()),
+            pa.array(looked.tolist() + [None] * (more + 1), pa.int32()),
+            pa.array([None] * rows + key.tolist() + [None], pa.int64()),
+            pa.array([None] * rows + n.tolist() + [None], pa.int64()),
+            pa.array([None] * rows + kind.tolist() + [None], pa.int32()),
             pa.array([None] * (rows + more) + [p.distinct], pa.int64()),
         ]
         trim()
         return pa.table(columns, names=names)
 
     made = written(parted.groupBy("host", "part").applyInArrow(index, schema))
-    pages = made.where("packed is not null").select("page_id", "url", "host", "packed", "content", "first")
+    pages = made.where("packed is not null").select("page_id", "url", "host", "packed", "content", "first", "looked")
     totals = written(made.where("pages is not null").groupBy("host").agg(F.sum("pages").alias("pages")))
-    asked = written(made.where("not whole").select("key").distinct())
+    counted = made.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.bit_or("kind").alias("kind"))
+    has = lambda kind: F.col("kind").bitwiseAND(kind) != 0
+    counted = written(counted.where(has(SHARE) | (has(OPEN) & (F.col("n") == 1)) | (F.col("n") > 1)))
+    asked = counted.where(has(SHARE) | (has(OPEN) & (F.col("n") == 1))).select("key")
     n_asked = asked.count()
 
     def known(keys: DataFrame, n: int):
@@ -366,43 +388,55 @@ def across(parted: DataFrame, kinds: str, length: int, inside: float) -> DataFra
         return spark.sparkContext.broadcast({r[0]: r[1] for r in keys.collect()}) if n <= BROADCAST_KEYS else None
 
     def runs(batches: Iterator[pa.RecordBatch], few) -> Iterator[pa.RecordBatch]:
-        """Distinct keys of each distinct page's articles, those of `few` if there are few."""
-        wanted = np.array(sorted(few.value), np.int64) if few else None
+        """Distinct keys of each page's runs that it hasn't outside articles too, those of
+        `few` if there are few, with the content of pages that are one together."""
+        wanted = np.sort(np.fromiter(few.value, np.int64, len(few.value))) if few else None
         for b in pieces(batches, 1):
-            found = []
-            for h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                p = Pages([unpacked(x)])
-                keys = p.hashes(h, length)[0][p.in_article]
-                found.append(np.unique(keys[np.isin(keys, wanted) if few else keys != 0]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["key"])
+            hosts, looked = np.array(b.column(0).to_pylist(), object), b.column(3).to_numpy()
+            content, blobs, found = b.column(2).to_numpy(), b.column(1).to_pylist(), [np.empty((3, 0), np.int64)]
+            for at in np.split(np.arange(b.num_rows), np.flatnonzero(hosts[1:] != hosts[:-1]) + 1):
+                p = Pages([unpacked(blobs[i]) for i in at])
+                keys = p.hashes(hosts[at[0]], length)[0]
+                use = np.flatnonzero((keys != 0) & (np.isin(keys, wanted) if few else True))
+                # by page and key, the places in articles first
+                use = use[np.lexsort((~p.in_article[use], keys[use], p.segment[use] // 2))]
+                own, key = p.segment[use] // 2, keys[use]
+                new = np.concatenate(([True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])))[: len(use)]
+                bare = np.bincount(np.cumsum(new) - 1, p.open[use])[: new.sum()] == 0 if len(use) else new
+                found.append(np.stack((key[new], at[own[new]], np.where(p.in_article[use[new]], INSIDE, 0)))[:, bare])
+            key, own, kind = np.concatenate(found, axis=1)
+            of = pa.array(content[own], pa.int64(), mask=looked[own] == ALONE)
+            yield pa.RecordBatch.from_arrays([pa.array(key), of, pa.array(kind, pa.int32())], names=["key", "content", "kind"])
         trim()
 
-    counted = made.where("whole").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").withColumn("article", F.lit(False))
     if n_asked:
         few = known(asked.withColumn("v", F.lit(0)), n_asked)
-        found = pages.where("first").select("host", "packed").mapInArrow(lambda batches: runs(batches, few), "key long")
+        found = pages.where(F.col("looked") != REPEATED).select("host", "packed", "content", "looked").mapInArrow(lambda batches: runs(batches, few), "key long, content long, kind int")
         found = found if few else found.join(asked, "key", "left_semi")
-        counted = counted.union(found.groupBy("key").agg(F.count("*").alias("n")).where("n >= 5").withColumn("article", F.lit(True)))
-    counted = written(counted.groupBy("key").agg(F.max(F.when(~F.col("article"), F.col("n"))).alias("outside"), F.max(F.when(F.col("article"), F.col("n"))).alias("inside")))
+        alone, together = found.where("content is null"), found.where("content is not null").groupBy("key", "content").agg(F.bit_or("kind").alias("kind"))
+        more = [x.groupBy("key").agg(F.count("*").alias("n"), F.bit_or("kind").alias("kind")) for x in (alone, together)]
+        counted = counted.union(more[0]).union(more[1]).groupBy("key").agg(F.sum("n").alias("n"), F.bit_or("kind").alias("kind"))
+    on_two, on_share = (has(OPEN) | has(SHORT)) & (F.col("n") > 1), has(SHARE) & has(INSIDE) & (F.col("n") >= 5)
+    counted = written(counted.where(on_two | on_share).select("key", "n"))
     n_counted = counted.count()
-    few = known(counted.select("key", F.struct("outside", "inside")), n_counted)
+    few = known(counted, n_counted)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for h, x, n, found in zip(*(b.column(c).to_pylist() for c in ("host", "packed", "pages", "found"))):
-                many = few.value if few else {y["key"]: (y["outside"], y["inside"]) for y in found or ()}
+                many = few.value if few else {y["key"]: y["n"] for y in found or ()}
                 p = Pages([unpacked(x)])
                 keys, short = p.hashes(h, length) if many else (np.zeros(len(p.tokens), np.int64), np.zeros(len(p.short(length)), np.int64))
-                on = [many.get(k, (0, 0))[a] or 0 for k, a in zip(keys.tolist(), p.in_article.tolist())] if many else keys
-                several = np.array([many.get(k, (0, 0))[0] or 0 for k in short.tolist()], np.int64)
+                on = [many.get(k, 0) for k in keys.tolist()] if many else keys
+                several = np.array([many.get(k, 0) for k in short.tolist()], np.int64)
                 texts += p.text(np.array(on, np.int64), several, length, max(5, inside * n))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
         trim()
 
     pages = pages.join(F.broadcast(totals) if totals.count() <= BROADCAST_HOSTS else totals, "host")
     if few:
-        pages = pages.withColumn("found", F.lit(None).cast("array<struct<key:long,outside:long,inside:long>>"))
+        pages = pages.withColumn("found", F.lit(None).cast("array<struct<key:long,n:long>>"))
     else:
         pages = _with_keys(pages, counted, length)
     return pages.select("page_id", "url", "host", "packed", "pages", "found").mapInArrow(clean, f"{kinds}, text string, n_chars long")
@@ -413,12 +447,16 @@ def _with_keys(pages: DataFrame, counted: DataFrame, length: int) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 2):
-            got = [np.unique(np.concatenate(Pages([unpacked(x)]).hashes(h, length))) for h, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            got = []
+            for h, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                p = Pages([unpacked(x)])
+                keys, short = p.hashes(h, length)
+                got.append(np.unique(np.concatenate((keys[(p.open | p.in_article) & (keys != 0)], short))))
             of = pa.array(np.repeat(np.arange(len(got)), [len(x) for x in got]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(np.concatenate(got), pa.int64())], names=["content", "host", "key"])
 
     pairs = pages.where("first").select("content", "host", "packed").mapInArrow(keys, "content long, host string, key long")
-    found = pairs.join(counted, "key").groupBy("content", "host").agg(F.collect_list(F.struct("key", "outside", "inside")).alias("found"))
+    found = pairs.join(counted, "key").groupBy("content", "host").agg(F.collect_list(F.struct("key", "n")).alias("found"))
     return pages.join(found, ["content", "host"], "left")
 
 
@@ -432,10 +470,10 @@ def packed(found: list[tuple[str, int]]) -> bytes:
 
 
 def hashed(found: list[tuple[str, int]]) -> int:
-    """Of the blocks that may be text, by which pages are distinct."""
+    """Of the blocks that may be text and their kind, by which pages are distinct."""
     import xxhash
 
-    return xxhash.xxh64_intdigest("\n".join(t for (t, _), k in zip(found, kept([k for _, k in found])) if k).encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest("\n".join(f"{kind}{t}" for (t, kind), k in zip(found, kept([k for _, k in found])) if k).encode("utf-8", "surrogatepass"))
 
 
 def unpacked(x: bytes) -> str:

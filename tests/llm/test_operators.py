@@ -334,6 +334,38 @@ def test_near_copies_brute_force(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == set(want.values()) and len(kept.columns) == len(documents(spark, rows).columns)
 
 
+def test_trees_against_all_pairs(monkeypatch):
+    rng = np.random.default_rng(8)
+    for case in range(40):
+        monkeypatch.setattr(near, "SEARCHES", int(rng.integers(1, 3000)))
+        base = [rng.integers(0, 2**63, int(rng.integers(1, 1500 if case % 3 else 60)), np.uint64) for _ in range(6)]
+        sets = [np.unique(np.append(x[rng.random(len(x)) < rng.choice([0.8, 0.97, 1.0])], rng.integers(0, 2**63, 1 + len(x) // 20, np.uint64))) for x in base for _ in range(12)]
+        vectors = [near.vector(near.counts(x)) for x in sets]
+        # groups from pairs to several levels of nodes, which share members
+        sizes = rng.choice([1, 2, 3, 17, 60, 300 if case % 8 == 0 else 5], 12)
+        group = np.repeat(np.sort(rng.choice(100, 12, replace=False)), sizes)
+        which, label = rng.integers(0, len(sets), len(group)), rng.integers(0, int(rng.integers(1, 9)), len(group))
+        got = [tuple(sorted(p)) for x in near.RTrees(vectors, which, group, 75, label).pairs() for p in zip(*[y.tolist() for y in x])]
+        want = set()
+        for i, j in zip(*[x.tolist() for x in np.nonzero(np.triu(group[:, None] == group, 1) & (label[:, None] != label))]):
+            x, y = vectors[which[i]], vectors[which[j]]
+            w = min(len(x), len(y))
+            if near.links(int(np.minimum(x.reshape(-1, w).sum(axis=0), y.reshape(-1, w).sum(axis=0)).sum()), int(x.sum()), int(y.sum()), 75):
+                want.add((i, j))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_trees_of_many_small_groups():
+    import time
+
+    rng = np.random.default_rng(9)
+    vectors = [near.vector(near.counts(np.unique(rng.integers(0, 2**63, 100, np.uint64)))) for _ in range(1000)]
+    which = rng.integers(0, 1000, 90_000)
+    t = time.process_time()
+    found = sum(len(i) for i, _ in near.RTrees(vectors, which, np.repeat(np.arange(30_000), 3), 75, np.tile(np.arange(3), 30_000)).pairs())
+    assert found and time.process_time() - t < 5  # 15 s by a tree and a search at a time
+
+
 def test_near_copies_odd(spark, odd, none):
     assert near.ngram_jaccard(none).count() == 0 and near.representatives(none).count() == 0
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in near.ngram_jaccard(odd).collect()]

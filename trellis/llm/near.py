@@ -18,6 +18,8 @@ GROUPS = 64
 TREE, NODE, UNIT_BYTES = 4096, 16, 4 << 20
 #: A sixteenth of the documents is looked at for frequent n-grams, which are ordered last.
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 6, 200_000
+#: Pairs of vectors that are held against each other at once.
+SEARCHES = 1 << 14
 #: Anchors that are sorted together.
 BUCKET = 1_000_000
 #: Members of a group that others are tried with before its tree.
@@ -106,18 +108,18 @@ def counts(grams: np.ndarray) -> bytes:
 
 
 def vector(points: bytes) -> np.ndarray:
-    return np.frombuffer(points, f"<u{points[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(points, f"<u{points[0]}", offset=1).astype(np.int32)
 
 
 def folded(points: np.ndarray, size: int) -> np.ndarray:
     """Count vectors (rows) by `size` dimensions."""
-    return points.reshape(len(points), -1, size).sum(axis=1, dtype=np.int64)
+    return points if points.shape[1] == size else points.reshape(len(points), -1, size).sum(axis=1, dtype=np.int32)
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The most that the sets of each count vector of x (rows) may share with that of y."""
-    size = min(x.shape[1], len(y))
-    return np.minimum(folded(x, size), folded(y[None], size)).sum(axis=1)
+    """The most that the sets of count vectors (rows of x and y) may share, row by row."""
+    size = min(x.shape[1], y.shape[1])
+    return np.minimum(folded(x, size), folded(y, size)).sum(axis=1, dtype=np.int32).astype(np.int64)
 
 
 def links(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int):
@@ -125,54 +127,93 @@ def links(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, pe
     return 100 * common >= percent * (a + b - common)
 
 
-class RTree:
-    """An R-tree over count vectors, packed by size: each node bounds the counts of its
-    entries from above and their sizes from both sides. What two sets have in common is at
-    most the sum of the lesser counts, so a node is entered only if that sum with its upper
-    bounds would suffice for a link with its smallest entry. The tree has the vectors by
-    GROUPS dimensions; entries that it leaves are held against each other's finer vectors."""
-
-    def __init__(self, vectors: list[np.ndarray], percent: int, label: np.ndarray | None = None):
-        self.main = np.zeros(len(vectors), bool)
-        if label is not None:  # those of the label that most have need no search of their own
-            labels, place = np.unique(label, return_inverse=True)
-            self.main = place == np.bincount(place).argmax()
-        points = np.concatenate([folded(v[None], GROUPS) for v in vectors])
-        self.points, self.size, self.percent = points, points.sum(axis=1), percent
+class RTrees:
+    """R-trees over count vectors, one for each group, packed by size: each node bounds the
+    counts of its entries from above and their sizes from both sides. What two sets have in
+    common is at most the sum of the lesser counts, so a node is entered only if that sum with
+    its upper bounds would suffice for a link with its smallest entry. The trees have the
+    vectors by GROUPS dimensions; entries that they leave are held against each other's finer
+    vectors. Many searches in many trees go down level by level together.
+
+    vectors: distinct ones; which: of each member, its vector; group: of each, ascending."""
+
+    def __init__(self, vectors: list[np.ndarray], which: np.ndarray, group: np.ndarray, percent: int, label: np.ndarray):
+        group = np.unique(group, return_inverse=True)[1]
+        self.which, self.group, self.percent, self.label = which, group, percent, label
+        # those of the label that most of a group have need no search of their own
+        by = np.lexsort((label, group))
+        new = np.flatnonzero(np.concatenate(([True], (group[by][1:] != group[by][:-1]) | (label[by][1:] != label[by][:-1]))))
+        many = np.diff(np.append(new, len(by)))
+        first = np.lexsort((-many, group[by][new]))
+        first = first[np.unique(group[by][new][first], return_index=True)[1]]
+        self.main = label == label[by][new][first][group]
+        self.points = np.concatenate([folded(v[None], GROUPS) for v in vectors])
+        self.size = self.points.sum(axis=1, dtype=np.int64)
         self.width = np.array([len(v) for v in vectors])
         self.fine, self.row = {}, np.empty(len(vectors), int)
-        for w in np.unique(self.width):
+        for w in np.unique(self.width[self.width > GROUPS]):
             at = np.flatnonzero(self.width == w)
             self.fine[w], self.row[at] = np.stack([vectors[i] for i in at]), np.arange(len(at))
         # by size, then within runs of sizes by where the mass lies
-        run = np.argsort(np.argsort(self.size, kind="stable")) // (NODE * NODE)
-        self.order = np.lexsort(((points * np.arange(points.shape[1])).sum(axis=1) / np.maximum(1, self.size), run))
-        top, low, high = points[self.order], self.size[self.order], self.size[self.order]
+        size, run = self.size[which], np.empty(len(which), int)
+        by = np.lexsort((size, group))
+        run[by] = self._place(group[by]) // (NODE * NODE)
+        mass = (self.points * np.arange(GROUPS)).sum(axis=1) / np.maximum(1, self.size)
+        self.order = np.lexsort((mass[which], run, group))
+        top, low, high, group = self.points[which[self.order]], size[self.order], size[self.order], group[self.order]
         self.levels = []
-        while len(top) > 1 or not self.levels:
-            cut = np.arange(0, len(top), NODE)
-            top, low, high = np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
-            self.levels.append((top, low, high))
-
-    def partners(self, i: int) -> np.ndarray:
-        """Places after i, and those of the label that most have, whose vectors may link with
-        that of i."""
-        point, size = self.points[i], self.size[i]
-        nodes = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            top, low, high = (x[nodes] for x in self.levels[depth])
+        while not self.levels or (group[1:] == group[:-1]).any():
+            cut = np.flatnonzero(self._place(group) % NODE == 0)
+            end = np.append(cut[1:], len(group))
+            top, low, high, group = np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), group[cut]
+            self.levels.append((top, low, high, cut, end))
+
+    @staticmethod
+    def _place(group: np.ndarray) -> np.ndarray:
+        """Of each row of ascending groups, its place in its group."""
+        return np.arange(len(group)) - np.searchsorted(group, group)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of members of a group, of different labels, whose vectors may link; in
+        parts, by members that are searched with."""
+        seek = np.flatnonzero(~self.main)
+        todo = [(len(self.levels) - 1, seek, self.group[seek])]  # level, members, nodes of it
+        while todo:
+            depth, i, node = todo.pop()
+            if len(i) > SEARCHES:
+                todo += [(depth, i[k : k + SEARCHES], node[k : k + SEARCHES]) for k in range(0, len(i), SEARCHES)][::-1]
+                continue
+            if depth < 0:
+                yield self._near(i, self.order[node])
+                continue
+            top, low, high, begin, end = self.levels[depth]
+            size, low, high = self.size[self.which[i]], low[node], high[node]
             least = np.maximum(low, -(-self.percent * size // 100))  # sizes that can link
-            fit = (100 * size >= self.percent * low) & (100 * high >= self.percent * size) & links(np.minimum(top, point).sum(axis=1), size, least, self.percent)
-            nodes = (nodes[fit][:, None] * NODE + np.arange(NODE)).ravel()
-            nodes = nodes[nodes < (len(self.levels[depth - 1][0]) if depth else len(self.order))]
-        at = self.order[nodes]
-        at = at[(at > i) | self.main[at]]
-        at = at[links(np.minimum(self.points[at], point).sum(axis=1), size, self.size[at], self.percent)]
-        own, out = self.fine[self.width[i]][self.row[i]], [at[:0]]
-        for w in np.unique(self.width[at]):
-            near = at[self.width[at] == w]
-            out.append(near[links(overlap(self.fine[w][self.row[near]], own), size, self.size[near], self.percent)])
-        return np.concatenate(out)
+            fit = np.flatnonzero((100 * size >= self.percent * low) & (100 * high >= self.percent * size))
+            common = np.minimum(top[node[fit]], self.points[self.which[i[fit]]]).sum(axis=1, dtype=np.int32).astype(np.int64)
+            fit = fit[links(common, size[fit], least[fit], self.percent)]
+            if len(fit):
+                begin, n = begin[node[fit]], (end - begin)[node[fit]]
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                todo.append((depth - 1, np.repeat(i[fit], n), np.repeat(begin, n) + inner))
+
+    def _near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of pairs of entries of which a link is possible, each once."""
+        use = ((j > i) | self.main[j]) & (self.label[i] != self.label[j])
+        i, j = i[use], j[use]
+        x, y = self.which[i], self.which[j]
+        use = links(np.minimum(self.size[x], self.size[y]), self.size[x], self.size[y], self.percent)
+        i, j, x, y = i[use], j[use], x[use], y[use]
+        use = links(overlap(self.points[x], self.points[y]), self.size[x], self.size[y], self.percent)
+        i, j, x, y = i[use], j[use], x[use], y[use]
+        use = np.ones(len(i), bool)
+        finer = np.flatnonzero(np.minimum(self.width[x], self.width[y]) > GROUPS)
+        for w, v in np.unique(np.stack((self.width[x[finer]], self.width[y[finer]])), axis=1).T.tolist():
+            at = finer[(self.width[x[finer]] == w) & (self.width[y[finer]] == v)]
+            for k in range(0, len(at), some := max(1, SEARCHES * GROUPS // max(w, v))):
+                a = at[k : k + some]
+                use[a] = links(overlap(self.fine[w][self.row[x[a]]], self.fine[v][self.row[y[a]]]), self.size[x[a]], self.size[y[a]], self.percent)
+        return i[use], j[use]
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -218,7 +259,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             fine = []
             for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist()):
                 x, y = vector(x), vector(y)
-                fine.append(bool(links(overlap(x[None], y)[0], x.sum(), y.sum(), percent)))
+                fine.append(bool(links(overlap(x[None], y[None])[0], x.sum(), y.sum(), percent)))
             yield t.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
@@ -240,9 +281,10 @@ def blocks_of(size: Column, most: int) -> Column:
 
 
 def _in_units(members: DataFrame, buckets: int, search, columns: list[str]) -> DataFrame:
-    """Distinct (a, b) of what search(sig, label, other columns) finds in each group of
+    """Distinct (a, b) of what search(sig, label, unit, other columns) finds in the groups of
     members (key, blocks of the group, sig, label, ...). Every two blocks of a group meet in a
-    unit of their own. Units are dealt to `buckets`: many small ones share a task's table."""
+    unit of their own. Units are dealt to `buckets`: many small ones share a task's table, and
+    are searched together."""
     m = members.withColumn("own", F.pmod(F.xxhash64("sig", F.lit(7)), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "label", *columns)
@@ -251,11 +293,13 @@ def _in_units(members: DataFrame, buckets: int, search, columns: list[str]) -> D
         keys = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
         sig, label = t.column("sig").to_numpy(), t.column("label").to_numpy()
         order = np.lexsort(keys[::-1])
-        edge = np.flatnonzero((np.diff(keys[:, order], axis=1) != 0).any(axis=0)) + 1
+        new = np.concatenate(([True], (np.diff(keys[:, order], axis=1) != 0).any(axis=0)))
+        unit = np.cumsum(new) - 1
+        several = np.bincount(unit, label[order] != label[order[new]][unit]) > 0
+        order, unit = order[several[unit]], unit[several[unit]]
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in np.split(order, edge):
-            if len(at) > 1 and (label[at] != label[at[0]]).any():
-                found += search(sig[at], label[at], *[t.column(c).take(pa.array(at)) for c in columns])
+        if len(order):
+            found += search(sig[order], label[order], unit, *[t.column(c).take(pa.array(order)) for c in columns])
         a, b = (np.concatenate([np.atleast_1d(x[k]) for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
         pair = np.unique(np.sort(np.stack((a, b)), axis=0), axis=1)
         trim()
@@ -269,14 +313,13 @@ def _tree_pairs(members: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Pairs of members of a group, of different labels and of no common family, whose bound
     in the group's R-tree leaves a link possible."""
 
-    def search(sig, label, family, points):
-        family = [set(x) for x in family.to_pylist()]
-        tree = RTree([vector(x) for x in points.to_pylist()], percent, label)
-        for i in np.flatnonzero(~tree.main):
-            at = tree.partners(i)
-            at = at[label[at] != label[i]]
-            at = at[[family[i].isdisjoint(family[j]) for j in at]] if family[i] and len(at) else at
-            yield np.full(len(at), sig[i]), sig[at]
+    def search(sig, label, unit, family, points):
+        one, which = np.unique(sig, return_index=True, return_inverse=True)[1:]
+        family = [set(x) for x in family.take(pa.array(one)).to_pylist()]
+        for i, j in RTrees([vector(x) for x in points.take(pa.array(one)).to_pylist()], which, unit, percent, label).pairs():
+            apart = np.fromiter((family[x].isdisjoint(family[y]) for x, y in zip(which[i].tolist(), which[j].tolist())), bool, len(i))
+            if apart.any():
+                yield sig[i[apart]], sig[j[apart]]
 
     return _in_units(members, buckets, search, ["family", "points"])
 
@@ -285,9 +328,9 @@ def _family_links(members: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Links within families: the sets verify what the R-tree leaves, but for pairs that the
     links found so far connect."""
 
-    def search(sig, label, points, grams):
-        tree = RTree([vector(x) for x in points.to_pylist()], percent, label)
-        sets = [np.frombuffer(x, np.uint64) for x in grams.to_pylist()]
+    def search(sig, label, unit, points, grams):
+        one, which = np.unique(sig, return_index=True, return_inverse=True)[1:]
+        sets = [np.frombuffer(x, np.uint64) for x in grams.take(pa.array(one)).to_pylist()]
         first: dict[int, int] = {}
         parent = [first.setdefault(x, i) for i, x in enumerate(label.tolist())]
 
@@ -297,10 +340,10 @@ def _family_links(members: DataFrame, buckets: int, percent: int) -> DataFrame:
                 i = parent[i]
             return i
 
-        for i in np.flatnonzero(~tree.main).tolist():
-            for j in tree.partners(i).tolist():
+        for some in RTrees([vector(x) for x in points.take(pa.array(one)).to_pylist()], which, unit, percent, label).pairs():
+            for i, j in zip(*[x.tolist() for x in some]):
                 x, y = find(i), find(j)
-                if x != y and links(shared(sets[i], sets[j]), len(sets[i]), len(sets[j]), percent):
+                if x != y and links(shared(sets[which[i]], sets[which[j]]), len(sets[which[i]]), len(sets[which[j]]), percent):
                     parent[max(x, y)] = min(x, y)
                     yield sig[i], sig[j]
 
